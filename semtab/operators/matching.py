@@ -281,9 +281,8 @@ def _cascade(lv, rv, total, judge: _PairJudge, c: JoinCascade, lc: str, rc: str,
     named = lv.select(F.col("_l").alias(lc))
     mapped = sem_map(named, c.map_instruction or default_map, judge.model, out="_mapped", examples=c.map_examples)
     mapped = mapped.select(col(lc).alias("_l"), "_mapped")
-    as_right = _similar(
-        mapped.withColumn("_both", F.concat_ws(" ", "_mapped")), "_both", "_l", c.embedder, "_vec"
-    ).select(F.col("_l").alias("_lk"), F.col("_vec").alias("_lv"))
+    as_right = _similar(mapped, "_mapped", "_l", c.embedder, "_vec").select(
+        F.col("_l").alias("_lk"), F.col("_vec").alias("_lv"))
     plans = []
     for name, l in (("search", plain), ("map-search", as_right)):
         learnt, asked = _learn(l, r, total, judge, c)

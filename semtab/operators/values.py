@@ -32,10 +32,17 @@ def like_pattern(text: str) -> str:
 
 
 def condition(df: DataFrame, column: str, op: str, value) -> Column:
-    """One comparison of a column with a literal."""
+    """One comparison of a column with a literal, or with the one-row table of an aggregate."""
     if op not in COMPARISONS:
         raise ValueError(f"operator {op!r} is not one of {COMPARISONS}")
     c, dtype = col(column), dtype_of(df, column)
+    if isinstance(value, DataFrame):
+        if op == "like":
+            raise ValueError("like takes a text, not a scalar table")
+        literal = value.scalar()
+        compare = {"eq": c == literal, "ne": ~c.eqNullSafe(literal), "gt": c > literal,
+                   "lt": c < literal, "ge": c >= literal, "le": c <= literal}
+        return compare[op]
     if value is None or (isinstance(value, str) and value == "nan") or value != value:
         if op not in ("eq", "ne"):
             raise ValueError(f"operator {op!r} does not apply to a missing value")
