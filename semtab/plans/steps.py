@@ -54,6 +54,11 @@ class Run:
     history: list[dict] = field(default_factory=list)
     error: str | None = None
 
+    @property
+    def scalars(self) -> list[int]:
+        """The steps that returned a scalar."""
+        return [i for i, n in enumerate(self.names) if n is None]
+
     @property
     def answer(self) -> DataFrame | None:
         return self.results[-1] if self.results else None
@@ -69,9 +74,14 @@ def derived_name(table: str, op: str, taken: Mapping[str, object]) -> str:
 
 _BOUND = re.compile(r"@step(\d+)")
 
+#: Stored steps use this word for the first scalar of the process.
+PLACEHOLDER = "<placeholder>"
+
 
-def bind(text: str, results: Sequence[DataFrame]) -> str:
-    """Replace ``@stepN`` in an instruction by the scalar of step ``N``."""
+def bind(text: str, results: Sequence[DataFrame], scalars: Sequence[int] = ()) -> str:
+    """Replace ``@stepN`` in an instruction by the scalar of step ``N``, the placeholder by the first one."""
+    if PLACEHOLDER in text and scalars:
+        text = text.replace(PLACEHOLDER, f"@step{scalars[0]}")
     return _BOUND.sub(lambda m: str(results[int(m.group(1))].first()[0]), text)
 
 
@@ -119,7 +129,12 @@ def run_steps(
 def _apply(step: Step, run: Run, model, embedder) -> tuple[DataFrame, bool]:
     if step.op not in OPERATORS:
         raise ValueError(f"operator {step.op!r} is not one of {OPERATORS}")
-    value = lambda a: run.results[a.step] if isinstance(a, Ref) else a
+
+    def value(a):
+        if a == PLACEHOLDER and run.scalars:
+            a = Ref(run.scalars[0])
+        return run.results[a.step] if isinstance(a, Ref) else a
+
     args, options = [value(a) for a in step.args], dict(step.options)
     if step.op == "value_calculate":
         return values.value_calculate(*args, **options), True
@@ -139,7 +154,7 @@ def _apply(step: Step, run: Run, model, embedder) -> tuple[DataFrame, bool]:
         other = run.tables[args[0]]
         if step.op == "join":
             return values.join(df, other, *args[1:], **options), False
-        return sem_join(df, other, bind(args[1], run.results), model, **options), False
+        return sem_join(df, other, bind(args[1], run.results, run.scalars), model, **options), False
     if step.op == "sem_cluster_by":
         return _cluster(df, args, options, model, embedder), False
     by_value = {
@@ -148,7 +163,7 @@ def _apply(step: Step, run: Run, model, embedder) -> tuple[DataFrame, bool]:
     }
     if step.op in by_value:
         return by_value[step.op](df, *args, **options), False
-    instruction = bind(args[0], run.results)
+    instruction = bind(args[0], run.results, run.scalars)
     if step.op == "sem_topk":
         return sem_topk(df, instruction, args[1], model, embedder=embedder, **options), False
     by_meaning = {"sem_filter": sem_filter, "sem_map": sem_map, "sem_agg": sem_agg}

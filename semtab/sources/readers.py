@@ -125,9 +125,11 @@ def scan_description_csv(spark: SparkSession, path: str, encoding: str | None =
     )
 
 
-def scan_process_json(spark: SparkSession, path: str, schema: T.StructType = PROCESS) -> DataFrame:
-    """Stored JSON documents, one per file, from a folder tree, with their ``file``."""
-    reader = spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True)
+def scan_process_json(
+    spark: SparkSession, path: str, schema: T.StructType = PROCESS, multiline: bool = True
+) -> DataFrame:
+    """Stored JSON documents from a folder tree, with their ``file``: one per file, or one per line."""
+    reader = spark.read.schema(schema).option("multiLine", multiline).option("recursiveFileLookup", True)
     return reader.json(path).withColumn("file", F.input_file_name())
 
 
