@@ -100,7 +100,10 @@ def first_wins(text: str) -> bool:
 
 
 def slots(spark: SparkSession) -> int:
-    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    """Tasks to spread model calls over: all cores, or the shuffle width where it was raised for large data."""
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cores = spark.sparkContext.defaultParallelism
+    return max(cores, width) if width > 200 else cores
 
 
 def reply_column(context: Column, model: AnswerModel, spec: PromptSpec, logprobs: bool = False) -> Column:

@@ -56,7 +56,7 @@ def components(edges: DataFrame, max_rounds: int = 60, task_edges: int = 100_000
     mark = _mark(edges)
     for _ in range(max_rounds):
         if mark[0] <= task_edges:
-            return edges.groupBy(F.lit(0)).applyInPandas(_union_in_task, edges.schema)
+            return edges.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(_union_in_task, edges.schema)
         edges = stage(_small_star(_large_star(_small_star(edges))), "edges")
         now = _mark(edges)
         if now == mark:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from semtab.functions.claims import distinct_holes, fill_claim, row_text
-from semtab.models.answering import call_in_batches
+from semtab.models.answering import call_in_batches, slots
 from semtab.models.base import AnswerModel, count_tokens
 from semtab.models.prompts import PromptSpec
 from semtab.runtime import col, missing, require_columns, stage, tasks_for
@@ -112,7 +112,7 @@ def sem_agg(
     partition_by: str | None = None,
     order_by: str | Sequence[str] | None = None,
     budget: int | None = None,
-    rows_per_task: int = 1000,
+    rows_per_task: int = 4096,
     stats: bool = False,
 ):
     """Answer an instruction over all rows as one text, or as one per group.
@@ -140,8 +140,10 @@ def sem_agg(
     )
     budget = budget or model.context_tokens - model.reply_tokens
     size = docs.agg(F.count("*").alias("n"), F.sum(F.length("_doc")).alias("c")).first()
-    tasks = max(tasks_for(size["n"], rows_per_task), tasks_for((size["c"] or 0) // 4, 8 * budget))
-    tasks = min(tasks, MAX_TASKS)
+    prompts = tasks_for((size["c"] or 0) // 4, budget)
+    # all cores while each has some prompts, then one batch of prompts per task
+    by_prompts = max(min(slots(df.sparkSession), tasks_for(prompts, 4)), tasks_for(prompts, model.batch_size))
+    tasks = min(max(tasks_for(size["n"], rows_per_task), by_prompts), MAX_TASKS)
     asked: list[DataFrame] = []
     claim = fill_claim(instruction)
     order = o or ["_doc"]

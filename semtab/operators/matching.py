@@ -120,6 +120,9 @@ def _judge_all(lv: DataFrame, rv: DataFrame, sizes, judge: _PairJudge, broadcast
     def run_pair(lp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
         return judge(lp["_l"].tolist(), rp["_r"].tolist())
 
+    # an explicit width: merging small partitions would put many blocks of calls into one task
+    n = max(slots(spark), min(kl * kr, 100_000))
+    l, r = l.repartition(n, "_a", "_b"), r.repartition(n, "_a", "_b")
     return l.groupBy("_a", "_b").cogroup(r.groupBy("_a", "_b")).applyInPandas(run_pair, PAIRS)
 
 
@@ -231,15 +234,15 @@ def _similar(values: DataFrame, text: str, name: str, embedder: Embedder, out: s
     return stage(coded.select(name, out), "vectors")
 
 
-def _learn(l: DataFrame, r: DataFrame, total: int, judge: _PairJudge, c: JoinCascade) -> tuple[Thresholds, int]:
+def _learn(l: DataFrame, r: DataFrame, size: tuple, total: int, judge: _PairJudge, c: JoinCascade) -> tuple[Thresholds, int]:
     """Thresholds from a judged sample of pairs, weighted by their similarity."""
     def sums(lk, left, rk, right):
         s = _clipped(V.inner_products(left, right))
         return pd.DataFrame({"_n": [float(s.size)], "_root": [float(np.sqrt(s).sum())]})
 
-    root = V.every_block(l, r, sums, _SUMS).agg(F.sum("_root")).first()[0] or 0.0
-    few = l.orderBy("_lk").limit(tasks_for(250, max(1, total // max(l.count(), 1))))
-    near = V.nearest(few, r, 250, V.hits_schema(T.StringType(), T.StringType()))
+    root = V.every_block(l, r, sums, _SUMS, measured=size).agg(F.sum("_root")).first()[0] or 0.0
+    few = l.orderBy("_lk").limit(tasks_for(250, max(1, size[0])))
+    near = V.nearest(few, r, 250, V.hits_schema(T.StringType(), T.StringType()), measured=size)
     first = near.orderBy("_lk", F.desc("_score"), "_rk").limit(250).collect()
     scores = _clipped(np.array([row["_score"] for row in first]))
     draws, correction = draw_sample(scores, total, root, c.sample, c.seed)
@@ -260,14 +263,14 @@ def _learn(l: DataFrame, r: DataFrame, total: int, judge: _PairJudge, c: JoinCas
     return learnt, len(drawn)
 
 
-def _bands(l: DataFrame, r: DataFrame, t: Thresholds) -> tuple[int, int, int]:
+def _bands(l: DataFrame, r: DataFrame, size: tuple, t: Thresholds) -> tuple[int, int, int]:
     def count(lk, left, rk, right):
         s = _clipped(V.inner_products(left, right))
         high, low = s >= t.positive, (s <= t.negative) & (s < t.positive)
         return pd.DataFrame({"_high": [int(high.sum())], "_low": [int(low.sum())],
                              "_middle": [int((~high & ~low).sum())]})
 
-    row = V.every_block(l, r, count, _BANDS).agg(*[F.sum(f.name).alias(f.name) for f in _BANDS]).first()
+    row = V.every_block(l, r, count, _BANDS, measured=size).agg(*[F.sum(f.name).alias(f.name) for f in _BANDS]).first()
     return row["_high"] or 0, row["_low"] or 0, row["_middle"] or 0
 
 
@@ -283,10 +286,11 @@ def _cascade(lv, rv, total, judge: _PairJudge, c: JoinCascade, lc: str, rc: str,
     mapped = mapped.select(col(lc).alias("_l"), "_mapped")
     as_right = _similar(mapped, "_mapped", "_l", c.embedder, "_vec").select(
         F.col("_l").alias("_lk"), F.col("_vec").alias("_lv"))
+    size = V.measure(r, "_rv")
     plans = []
     for name, l in (("search", plain), ("map-search", as_right)):
-        learnt, asked = _learn(l, r, total, judge, c)
-        plans.append((name, l, learnt, asked, _bands(l, r, learnt)))
+        learnt, asked = _learn(l, r, size, total, judge, c)
+        plans.append((name, l, learnt, asked, _bands(l, r, size, learnt)))
     chosen = plans[0] if plans[0][4][2] < plans[1][4][2] else plans[1]
     name, l, t, _, (high, low, middle) = chosen
     learning = plans[0][3] + plans[1][3] + as_right.count()
@@ -302,7 +306,7 @@ def _cascade(lv, rv, total, judge: _PairJudge, c: JoinCascade, lc: str, rc: str,
         asked = judge([lk[i] for i in rows], list(rk), open_pairs[rows])
         return pd.concat([sure, asked]) if len(asked) else sure
 
-    pairs = V.pairs_above(l, r, min(t.negative, t.positive) - 1e-9, settle, PAIRS)
+    pairs = V.pairs_above(l, r, min(t.negative, t.positive) - 1e-9, settle, PAIRS, measured=size)
     report = {
         "plan": name,
         "pos_threshold": t.positive,

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from semtab.functions.claims import choice_of, distinct_holes, fill_claim, row_text
-from semtab.models.answering import call_in_batches, first_wins, with_replies
+from semtab.models.answering import call_in_batches, first_wins, slots, with_replies
 from semtab.models.base import AnswerModel, ConfidenceCascade, Embedder
 from semtab.models.prompts import PromptSpec
 from semtab.operators.retrieval import embed
@@ -27,7 +27,8 @@ from semtab.operators.vectors import dot_column
 from semtab.runtime import col, dtype_of, is_numeric, missing, pick, require_columns, stage
 
 METHODS = ("quick", "heap", "naive", "quick-sem")
-LOCAL_ROWS = 512
+LOCAL_ROWS = 512  # documents that one task may order by itself
+SAMPLE = 24  # documents among which a pivot is chosen
 
 
 def two_documents(first: str, second: str) -> str:
@@ -98,7 +99,38 @@ def _finish(
         out.loc[out.index[:1], ["_calls", "_tokens"]] = [judge.calls, judge.tokens]
         return out[schema.fieldNames()]
 
-    return docs.groupBy(*by).applyInPandas(run, schema)
+    # an explicit width: merging small partitions would put all calls into one task
+    return docs.repartition(slots(docs.sparkSession), *by).groupBy(*by).applyInPandas(run, schema)
+
+
+def _choose_pivots(sized: DataFrame, by: list[str], k: int, turn: int, model: AnswerModel, spec: PromptSpec) -> DataFrame:
+    """One pivot per open segment, taken from about ``SAMPLE`` of its documents ranked by one task.
+
+    A pivot just behind the wanted share of the segment leaves few documents for the
+    next round, so that the total stays near one call per document.
+    """
+    fields = {f.name: f for f in sized.schema.fields}
+    more = [T.StructField("_pivot", T.StringType()), T.StructField("_pm", T.LongType()),
+            T.StructField("_calls", T.LongType()), T.StructField("_tokens", T.LongType())]
+    schema = T.StructType([*[fields[b] for b in by], *more])
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        judge = _Judge(model, spec)
+        wanted = (k - pdf["_seg"].iloc[0]) / pdf["_size"].iloc[0]
+        texts = sorted(pdf["_doc"])
+        at = min(len(texts), int(len(texts) * min(wanted, 0.5)) + 2)
+        pivot = _select(texts, at, judge)[-1]
+        out = pdf[pdf["_doc"] == pivot].iloc[:1]
+        return out.assign(_pivot=pivot, _pm=out["_m"], _calls=judge.calls, _tokens=judge.tokens)[schema.fieldNames()]
+
+    draw = F.xxhash64("_doc", F.lit(turn))
+    drawn = sized.where(F.pmod(draw, F.ceil(F.col("_size") / SAMPLE)) == 0)
+    ranked = drawn.repartition(slots(sized.sparkSession), *by).groupBy(*by).applyInPandas(run, schema)
+    # a segment without any drawn document falls back to the one with the least hash
+    spare = sized.groupBy(*by).agg(F.min_by(F.struct("_doc", "_m"), draw).alias("_s"))
+    return spare.join(ranked, by, "left").select(
+        *by, F.coalesce("_pivot", "_s._doc").alias("_pivot"), F.coalesce("_pm", "_s._m").alias("_pm"),
+        F.coalesce("_calls", F.lit(0)).alias("_calls"), F.coalesce("_tokens", F.lit(0)).alias("_tokens"))
 
 
 def _quick(
@@ -110,42 +142,41 @@ def _quick(
     finished: list[DataFrame] = []
     for turn in range(1000):
         sizes = state.groupBy(*by).agg(F.count("*").alias("_size"))
+        counted = sizes.agg(F.count_if(F.col("_size") > local_rows), F.count_if(F.col("_size") <= local_rows)).first()
+        if not counted[0]:
+            return [*finished, _finish(state, by, k, model, spec, _select)]
         sized = state.join(sizes, by)
-        small = sized.where(F.col("_size") <= local_rows).drop("_size")
-        finished.append(_finish(small, by, k, model, spec, _select))
-        open_segments = sizes.where(F.col("_size") > local_rows).count()
-        if not open_segments:
-            return finished
-        big = sized.where(F.col("_size") > local_rows).drop("_size")
+        if counted[1]:
+            small = sized.where(F.col("_size") <= local_rows).drop("_size")
+            finished.append(_finish(small, by, k, model, spec, _select))
+        big = sized.where(F.col("_size") > local_rows)
         if turn == 0 and first_pivot is not None:
-            pivots = first_pivot
+            known = docs.select(F.col("_doc").alias("_pivot"), F.col("_m").alias("_pm"))
+            zero = F.lit(0).cast("long")
+            pivots = first_pivot.join(known, "_pivot").withColumns({"_calls": zero, "_tokens": zero})
         else:
-            pivots = big.groupBy(*by).agg(F.min_by("_doc", F.xxhash64("_doc", F.lit(turn))).alias("_pivot"))
-        # pivots are one row per open segment; the optimizer broadcasts them while they are few
+            pivots = _choose_pivots(big, by, k, turn, model, spec)
+        # one row per open segment; the optimizer broadcasts them while they are few
         pivots = stage(pivots, "pivots")
-        faced = big.join(pivots, by)
+        faced = big.join(pivots.drop("_calls", "_tokens"), by).where("_doc != _pivot")
         asked = with_replies(
-            faced.where("_doc != _pivot"),
-            F.concat(F.lit("\nDocument 1:\n"), "_doc", F.lit("\nDocument 2:\n"), "_pivot"), model, spec,
-        )
+            faced, F.concat(F.lit("\nDocument 1:\n"), "_doc", F.lit("\nDocument 2:\n"), "_pivot"), model, spec)
         judged = stage(
-            asked.select(*by, "_doc", "_m", "_pivot", (choice_of(F.col("_reply.text")) == 1).alias("_ahead"),
+            asked.select(*by, "_doc", "_m", (choice_of(F.col("_reply.text")) == 1).alias("_ahead"),
                          F.col("_reply.prompt_tokens").alias("_t")),
             "judged",
         )
-        ahead = judged.groupBy(*by).agg(
+        wins = judged.groupBy(*by).agg(
             F.coalesce(F.sum(F.when(F.col("_ahead"), F.col("_m"))), F.lit(0)).alias("_wins"),
-            F.count("*").alias("_calls"), F.sum("_t").alias("_tokens"),
+            F.count("*").alias("_c"), F.sum("_t").alias("_t"),
         )
-        own = big.select(*by, "_doc", "_m").join(
-            pivots.select(*by, F.col("_pivot").alias("_doc")), [*by, "_doc"])
-        placed = stage(own.join(ahead, by), "placed")
-        finished.append(
-            placed.select(*by, "_doc", "_m", (F.col("_seg") + F.col("_wins")).alias("_rank"), "_calls", "_tokens"))
-        counts = placed.select(*by, "_wins", F.col("_m").alias("_pm"))
-        moved = judged.join(counts, by).withColumn(
+        placed = pivots.join(wins, by)
+        finished.append(placed.select(
+            *by, F.col("_pivot").alias("_doc"), F.col("_pm").alias("_m"), (F.col("_seg") + F.col("_wins")).alias("_rank"),
+            (F.col("_calls") + F.col("_c")).alias("_calls"), (F.col("_tokens") + F.col("_t")).alias("_tokens")))
+        moved = judged.drop("_t").join(placed.select(*by, "_wins", "_pm"), by).withColumn(
             "_seg", F.when(F.col("_ahead"), F.col("_seg")).otherwise(F.col("_seg") + F.col("_wins") + F.col("_pm")))
-        state = stage(moved.where(F.col("_seg") < k).select(*g, "_doc", "_m", "_seg"), "segments")
+        state = moved.where(F.col("_seg") < k).select(*g, "_doc", "_m", "_seg")
     raise RuntimeError("the comparisons do not settle")
 
 
@@ -213,6 +244,8 @@ def _naive(
         out.loc[out.index[:1], ["_calls", "_tokens"]] = [judge.calls, judge.tokens]
         return out[schema.fieldNames()]
 
+    n = slots(docs.sparkSession)
+    left, right = left.repartition(n, *by), right.repartition(n, *by)
     votes = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(run, schema)
     total = votes.groupBy(*g, "_doc").agg(*[F.sum(c).alias(c) for c in ("_votes", "_calls", "_tokens")])
     total = stage(total, "votes")

@@ -11,7 +11,7 @@ from semtab.models.answering import pair_score_column, vector_column
 from semtab.models.base import Embedder, PairScorer
 from semtab.operators import vectors as V
 from semtab.operators.components import components
-from semtab.runtime import col, dtype_of, missing, pick, require_columns
+from semtab.runtime import col, dtype_of, missing, pick, require_columns, stage
 
 
 def embed(df: DataFrame, column: str, embedder: Embedder, out: str = "vec") -> DataFrame:
@@ -153,6 +153,7 @@ def sem_dedup(
         .distinct()
         .withColumn("_id", F.md5(F.col("_value").cast("string")))
     )
+    nodes = stage(nodes, "nodes")
     left = nodes.select(F.col("_id").alias("_lk"), F.col("_vec").alias("_lv"))
     right = nodes.select(F.col("_id").alias("_rk"), F.col("_vec").alias("_rv"))
     schema = T.StructType([T.StructField("_u", T.StringType()), T.StructField("_v", T.StringType())])

@@ -42,13 +42,12 @@ def running_total(
         for pdf in batches:
             if not len(pdf):
                 continue
+            starts = np.zeros(len(pdf), dtype=bool)
             if group:
-                ids = pdf[group].apply(tuple, axis=1) if len(group) > 1 else pdf[group[0]]
-                starts = (ids != ids.shift()).to_numpy()
-                starts[0] = ids.iloc[0] != last
-                last = ids.iloc[-1]
-            else:
-                starts = np.zeros(len(pdf), dtype=bool)
+                for g in group:
+                    starts |= (pdf[g] != pdf[g].shift()).to_numpy()
+                starts[0] = tuple(pdf[group].iloc[0]) != last
+                last = tuple(pdf[group].iloc[-1])
             run = pdf[weight].to_numpy().cumsum()
             before = np.where(starts, run - pdf[weight].to_numpy(), 0)
             base = np.maximum.accumulate(np.where(starts, before, -1))
@@ -88,11 +87,22 @@ def running_total(
     )
 
 
-def exact_median(df: DataFrame, group: Sequence[str], column: str, out: str) -> DataFrame:
-    """Exact median per group: values are counted first, then picked by position."""
+def exact_median(
+    df: DataFrame, group: Sequence[str], column: str, out: str, in_memory: int = 1_000_000
+) -> DataFrame:
+    """Exact median per group, from counted values.
+
+    One aggregate holds a group's distinct values up to ``in_memory`` of them; beyond
+    that the counted values are sorted across the cluster and picked by position.
+    """
     keys = [col(g) for g in group]
-    counts = df.groupBy(*keys, col(column).cast("double").alias("_v")).agg(F.count("*").alias("_c"))
-    upto = running_total(counts, group, ["_v"], "_c")
+    value = col(column).cast("double")
+    counts = df.groupBy(*keys, value.alias("_v")).agg(F.count("*").alias("_c"))
+    widths = df.groupBy(*keys).agg(F.approx_count_distinct(value).alias("_n"))
+    if (widths.agg(F.max("_n")).first()[0] or 0) <= in_memory:
+        return counts.groupBy(*keys).agg(F.percentile("_v", F.lit(0.5), F.col("_c")).alias(out))
+    counts = stage(counts, "counted")
+    upto = stage(running_total(counts, group, ["_v"], "_c"), "positions")
     sizes = upto.groupBy(*keys).agg(F.sum("_c").alias("_n"))
     lower, upper = F.floor((F.col("_n") + 1) / 2), F.floor((F.col("_n") + 2) / 2)
     start = F.col("_upto") - F.col("_c")

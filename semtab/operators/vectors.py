@@ -271,9 +271,10 @@ def match_cells(
 def every_block(
     left: DataFrame, right: DataFrame, kernel: Kernel, schema: T.StructType,
     broadcast_bytes: int = BROADCAST_BYTES, block_rows: int = BLOCK_ROWS,
+    measured: tuple[int, int, float] | None = None,
 ) -> DataFrame:
     """Run a kernel that returns totals over all blocks of left against right rows."""
-    n, dim, _ = measure(right, "_rv")
+    n, dim, _ = measured or measure(right, "_rv")
     if fits_broadcast(n, dim, broadcast_bytes):
         return match_broadcast(left, right, kernel, schema)
     nl, nr = -(-max(left.count(), 1) // block_rows), -(-n // block_rows)
@@ -324,9 +325,10 @@ def match_broadcast(left: DataFrame, right: DataFrame, kernel: Kernel, schema: T
 def pairs_above(
     left: DataFrame, right: DataFrame, floor: float, kernel: Kernel, schema: T.StructType,
     broadcast_bytes: int = BROADCAST_BYTES, block_rows: int = BLOCK_ROWS,
+    measured: tuple[int, int, float] | None = None,
 ) -> DataFrame:
     """Exact matching at a fixed floor: ``kernel`` sees every pair with a product above it."""
-    n, dim, longest = measure(right, "_rv")
+    n, dim, longest = measured or measure(right, "_rv")
     if fits_broadcast(n, dim, broadcast_bytes):
         return match_broadcast(left, right, kernel, schema)
     cells = Cells(right, "_rk", "_rv", n, longest, block_rows)
@@ -337,13 +339,14 @@ def pairs_above(
 def nearest(
     left: DataFrame, right: DataFrame, k: int, schema: T.StructType,
     broadcast_bytes: int = BROADCAST_BYTES, block_rows: int = BLOCK_ROWS,
+    measured: tuple[int, int, float] | None = None,
 ) -> DataFrame:
     """The ``k`` best right rows of every left row as ``_lk _rk _score``, exact at any size.
 
     Large right sides take two rounds: the nearest cells give each left row ``k``
     candidates, whose worst score then limits which other cells it has to visit.
     """
-    n, dim, longest = measure(right, "_rv")
+    n, dim, longest = measured or measure(right, "_rv")
     if fits_broadcast(n, dim, broadcast_bytes):
         return match_broadcast(left, right, best(k), schema)
     cells = Cells(right, "_rk", "_rv", n, longest, block_rows)

@@ -6,8 +6,11 @@ DataFrame and returns a DataFrame or a small Python value.
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +19,7 @@ from pyspark.sql import types as T
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "semtab") -> SparkSession:
     """A single-machine session for tests and benchmarks."""
-    return (
+    spark = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -25,6 +28,26 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
         .config("spark.driver.memory", "8g")
         .getOrCreate()
     )
+    ship(spark)
+    return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Let Python workers import this package: by path on one machine, as an archive on a cluster.
+
+    Not needed where the package is installed on the executors or given to
+    ``spark-submit --py-files``.
+    """
+    sc = spark.sparkContext
+    home = Path(__file__).resolve().parent
+    if sc.master.startswith("local"):
+        paths = [p for p in sc.environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+        if str(home.parent) not in paths:
+            sc.environment["PYTHONPATH"] = os.pathsep.join([str(home.parent), *paths])
+    elif not getattr(sc, "_semtab_shipped", False):
+        archive = shutil.make_archive(f"{tempfile.mkdtemp()}/{home.name}", "zip", home.parent, home.name)
+        sc.addPyFile(archive)
+        sc._semtab_shipped = True
 
 
 def col(name: str) -> Column:

@@ -192,10 +192,16 @@ def _add_topk(name: str, **options) -> None:
 _add_topk("sem_topk_quick")
 _add_topk("sem_topk_heap", method="heap")
 _add_topk("sem_topk_naive", method="naive")
-_add_topk("sem_topk_quick_sem", method="quick-sem", embedder=HashEmbedder(32), local_rows=24)
 _add_topk("sem_topk_cascade", cascade=(R.ALPHABET, 0.5))
 
 
+@query("SELECT c_custkey, c_name FROM customer ORDER BY c_name, c_custkey LIMIT 40")
+def sem_topk_quick_sem(t):
+    out = sem_topk(t.customer, "Which {c_name} comes first?", 40, R.ALPHABET, key="c_custkey", method="quick-sem",
+                   embedder=HashEmbedder(32))
+    return out.select("c_custkey", "c_name")
+
+
 @query("""SELECT p_partkey, p_name, p_brand, CAST(place AS INTEGER) AS place FROM
           (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_name, p_partkey) AS place FROM part)
           WHERE place <= 3""")
@@ -230,9 +236,9 @@ def sem_agg_ordered(t):
     return sem_agg(t.conversations, "What was said last in {text}?", R.LAST, group_by="conv_id", order_by="turn")
 
 
-@query("SELECT lang, max(text) AS _output FROM documents GROUP BY lang")
+@query("SELECT lang, CAST(max(length(text)) AS VARCHAR) AS _output FROM documents GROUP BY lang")
 def sem_agg_documents(t):
-    return sem_agg(t.documents, "Which {text} comes last?", R.LARGEST, group_by="lang")
+    return sem_agg(t.documents, "How long is the longest {text}?", R.LONGEST, group_by="lang")
 
 
 @query("SELECT p_brand, max(p_name) AS _output FROM part GROUP BY p_brand")

@@ -154,9 +154,9 @@ def _add_group(func: str, sql: str) -> None:
 
     def run(t):
         df = V.groupby(t.lineitem, ["l_returnflag", "l_linestatus"], "l_extendedprice", func)
-        return df.withColumn(out, F.round(F.col(out).cast("double"), 2))
+        return df.withColumn(out, F.round(F.col(out).cast("double"), 3))
 
-    query(f"""SELECT l_returnflag, l_linestatus, round(CAST({sql} AS DOUBLE), 2) AS {out}
+    query(f"""SELECT l_returnflag, l_linestatus, round(CAST({sql} AS DOUBLE), 3) AS {out}
               FROM lineitem GROUP BY l_returnflag, l_linestatus""", name=f"groupby_{func}")(run)
 
 

@@ -17,7 +17,7 @@ _STEPS = ", ".join(str(i / 50) for i in range(51))
 
 
 @query(f"""WITH q AS (SELECT quantile_cont(value, [{_STEPS}]) AS q FROM events)
-           SELECT event_id, round(least(greatest((len(list_filter(q.q, e -> e <= value)) - 1) / 50.0, 0), 1), 6) AS calibrated
+           SELECT event_id, round(least(greatest((len(list_filter(q.q, lambda e: e <= value)) - 1) / 50.0, 0), 1), 6) AS calibrated
            FROM events, q""")
 def calibrate(t):
     return C.calibrate(t.events, "value").select("event_id", F.round("calibrated", 6).alias("calibrated"))
@@ -231,9 +231,9 @@ def _ops(t):
     return t.events.select(F.col("user_id").alias("case"), F.col("event_id").alias("pos"), op.alias("operator"))
 
 
-@query(f"""WITH o AS ({_OPS_SQL}), s AS (SELECT user_id, min(event_id) FILTER (op = 'orderby') AS at FROM o GROUP BY 1)
+@query(f"""WITH o AS ({_OPS_SQL}), s AS (SELECT user_id, min(event_id) FILTER (op = 'orderby') AS s_at FROM o GROUP BY 1)
            SELECT o.user_id AS "case", CAST(count(*) FILTER (op IN ('filter', 'sem_filter')
-                  AND (at IS NULL OR event_id < at)) AS INTEGER) AS filters, any_value(at) IS NOT NULL AS sorts
+                  AND (s_at IS NULL OR event_id < s_at)) AS INTEGER) AS filters, any_value(s_at) IS NOT NULL AS sorts
            FROM o JOIN s ON o.user_id = s.user_id GROUP BY 1""")
 def filters_before_sort(t):
     return Ev.filters_before_sort(_ops(t))

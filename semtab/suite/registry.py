@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from semtab.runtime import ship
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -14,6 +16,7 @@ class Tables:
     """The test tables of one folder, read on demand."""
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
+        ship(spark)
         self.spark, self.folder = spark, folder.rstrip("/")
 
     def __getattr__(self, name: str) -> DataFrame:

@@ -61,5 +61,11 @@ LARGEST = fold_with(max)
 LAST = fold_with(lambda values: values[-1])
 
 
+LONGEST = RuleModel(
+    lambda spec, c: str(max(len(whole(p)) if spec.task == "fold" else int(p) for p in parts_of(c))),
+    context_tokens=4_000,
+)
+
+
 def trailing_number(text: str) -> int:
     return int(re.search(r"(\d+)$", text).group(1))
