@@ -90,7 +90,7 @@ def scan_csv(
 
 
 def detect_encoding(spark: SparkSession, path: str, probe_bytes: int = 1 << 16) -> str:
-    """utf-8 (with or without mark) where the head of the file decodes so, else windows-1252."""
+    """utf-8 (with or without mark) where the head of the file decodes so, else iso-8859-1."""
     first = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, probe_bytes).alias("c")).first()
     head = bytes(first["c"]) if first and first["c"] is not None else b""
     for cut in range(4):  # the probe may end inside a character
@@ -99,7 +99,7 @@ def detect_encoding(spark: SparkSession, path: str, probe_bytes: int = 1 << 16)
             return "utf-8"
         except UnicodeDecodeError:
             continue
-    return "windows-1252"
+    return "iso-8859-1"
 
 
 def scan_description_csv(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 import sys
 import time
 
@@ -53,7 +54,7 @@ def main() -> None:
 
     folder = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     only = sys.argv[2:]
-    spark = local_session(8)
+    spark = local_session(8, int(os.environ.get("PARTITIONS", "8")))
     spark.sparkContext.setLogLevel("ERROR")
     con, sqls, bad = connect(folder), oracle_sql(), 0
     for name, run in queries().items():
