@@ -106,6 +106,11 @@ def slots(spark: SparkSession) -> int:
     return max(cores, width) if width > 200 else cores
 
 
+def spread(df: DataFrame, parallel: int | None = None) -> DataFrame:
+    """Rows dealt out over ``parallel`` tasks, all cores by default; 0 leaves them where they are."""
+    return df if parallel == 0 else df.repartition(parallel or slots(df.sparkSession))
+
+
 def reply_column(context: Column, model: AnswerModel, spec: PromptSpec, logprobs: bool = False) -> Column:
     """A reply struct for every row text."""
 
@@ -133,13 +138,14 @@ def with_replies(
 
     Rows are spread over all task slots, since calls cost far more than the move and
     a short list of distinct inputs would otherwise end up in one task; ``parallel``
-    bounds how many tasks call the model at a time. ``memo`` names a
+    bounds how many tasks call the model at a time. ``parallel=0`` saves that move where
+    the inputs are large enough to fill all tasks anyway. ``memo`` names a
     Parquet folder of earlier replies: known prompts are looked up, new ones are
     answered once, appended, and found again after a lost executor.
     """
     if memo is not None:
         return _with_memo(df, context, model, spec, out, logprobs, parallel, memo)
-    df = df.repartition(parallel or slots(df.sparkSession))
+    df = spread(df, parallel)
     return df.withColumn(out, reply_column(context, model, spec, logprobs))
 
 
@@ -165,7 +171,7 @@ def _with_memo(df, context, model, spec, out, logprobs, parallel, memo) -> DataF
     )
     wanted = keyed.select("_prompt", "_context").dropDuplicates(["_prompt"])
     fresh = wanted.join(_read_memo(df, memo).select("_prompt"), "_prompt", "left_anti")
-    fresh = fresh.repartition(parallel or slots(df.sparkSession))
+    fresh = spread(fresh, parallel)
     answered = fresh.withColumn("_known", reply_column(F.col("_context"), model, spec, logprobs))
     answered.select("_prompt", "_known", F.lit(run).alias("_run")).write.mode("append").parquet(memo)
     # two jobs may have answered the same prompt: keep the reply of one of them

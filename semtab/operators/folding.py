@@ -77,8 +77,12 @@ def _level(docs: DataFrame, keys: list[str], order: list[str], model: AnswerMode
             yield answered()
 
     by = [*keys, *order]
-    ranged = docs.repartitionByRange(tasks, *by).sortWithinPartitions(*by) if tasks > 1 else \
-        docs.coalesce(1).sortWithinPartitions(*by)
+    if not by:
+        ranged = docs.coalesce(tasks)  # rows are read where and as they lie
+    elif tasks > 1:
+        ranged = docs.repartitionByRange(tasks, *by).sortWithinPartitions(*by)
+    else:
+        ranged = docs.coalesce(1).sortWithinPartitions(*by)
     return stage(ranged.mapInPandas(run, schema), "fold")
 
 
@@ -98,7 +102,7 @@ def _fold(docs: DataFrame, keys: list[str], order: list[str], model: AnswerModel
         if before is not None and rows >= before and tasks == 1:
             raise ValueError("answers are too long to fold: no two fit into one prompt; raise the budget")
         tasks = min(tasks_for(rows, rows_per_task), max(1, tasks // 2))
-        before, task = rows, "fold_again"
+        before, task, order = rows, "fold_again", order or ["_first"]
 
 
 def sem_agg(
@@ -120,7 +124,7 @@ def sem_agg(
     The named columns make up a row's text, all columns when the instruction names
     none. Rows of one ``partition_by`` value share no first-level prompt with
     others; once each partition has its summary, these are folded. Rows are read
-    in ``order_by`` order, by their text otherwise.
+    in ``order_by`` order, otherwise as they lie.
     """
     names = distinct_holes(instruction)
     if all_cols or not names:
@@ -134,9 +138,10 @@ def sem_agg(
     g = [f"_g{i}" for i in range(len(groups))]
     o = [f"_o{i}" for i in range(len(ordering))]
     part = [col(partition_by).alias("_p")] if partition_by else []
+    text = row_text(df, names)
     docs = kept.select(
         *[col(c).alias(a) for c, a in zip(groups, g)], *part,
-        *[col(c).alias(a) for c, a in zip(ordering, o)], row_text(df, names).alias("_doc"),
+        *[col(c).alias(a) for c, a in zip(ordering, o)], F.xxhash64(text).alias("_first"), text.alias("_doc"),
     )
     budget = budget or model.context_tokens - model.reply_tokens
     size = docs.agg(F.count("*").alias("n"), F.sum(F.length("_doc")).alias("c")).first()
@@ -146,7 +151,8 @@ def sem_agg(
     tasks = min(max(tasks_for(size["n"], rows_per_task), by_prompts), MAX_TASKS)
     asked: list[DataFrame] = []
     claim = fill_claim(instruction)
-    order = o or ["_doc"]
+    # without a wanted order a fixed hash spreads the rows of a group; one single group needs no move at all
+    order = o or (["_first"] if g or part else [])
     folded = _fold(docs, [*g, "_p"] if part else g, order, model, claim, tasks, rows_per_task, budget, "fold", asked)
     if part:
         rows = folded.count()

@@ -25,7 +25,7 @@ from semtab.operators import vectors as V
 from semtab.operators.cascade import Thresholds, draw_sample, learn_thresholds
 from semtab.operators.ranking import refuse_numeric
 from semtab.operators.semantic import sem_map
-from semtab.runtime import col, missing, pick, require_columns, stage, tasks_for
+from semtab.runtime import col, key_hash, missing, pick, require_columns, stage, tasks_for
 
 BROADCAST_BYTES = 32 << 20
 BLOCK_VALUES = 1024
@@ -134,9 +134,17 @@ def _size(values: DataFrame, name: str) -> tuple[int, int]:
 def bring_back(left: DataFrame, right: DataFrame, pairs: DataFrame, lc: str, rc: str, extra: dict[str, str]) -> DataFrame:
     """Rows of both sides for accepted value pairs; clashing columns become ``c:left`` and ``c:right``."""
     clash = set(left.columns) & set(right.columns)
-    r = right.select(*[pick(right, c).alias(f"_r{i}") for i, c in enumerate(right.columns)])
-    joined = left.join(pairs, pick(left, lc) == F.col("_l")).join(
-        r, F.col("_r") == F.col(f"_r{right.columns.index(rc)}"))
+    hashed = pairs.select(
+        *[h.alias(f"_p{i}") for i, h in enumerate(key_hash(pairs, ["_l"]) + key_hash(pairs, ["_r"]))],
+        *[F.col(a) for a in extra],
+    )
+    l1, l2 = key_hash(left, [lc])
+    r = right.select(
+        *[pick(right, c).alias(f"_r{i}") for i, c in enumerate(right.columns)],
+        *[h.alias(f"_s{i}") for i, h in enumerate(key_hash(right, [rc]))],
+    )
+    joined = left.join(hashed, (l1 == F.col("_p0")) & (l2 == F.col("_p1"))).join(
+        r, (F.col("_p2") == F.col("_s0")) & (F.col("_p3") == F.col("_s1")))
     out = [pick(left, c).alias(f"{c}:left" if c in clash else c) for c in left.columns]
     out += [F.col(f"_r{i}").alias(f"{c}:right" if c in clash else c) for i, c in enumerate(right.columns)]
     out += [F.col(a).alias(b) for a, b in extra.items()]

@@ -7,19 +7,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from semtab.models.answering import pair_score_column, vector_column
+from semtab.models.answering import pair_score_column, spread, vector_column
 from semtab.models.base import Embedder, PairScorer
 from semtab.operators import vectors as V
 from semtab.operators.components import components
-from semtab.runtime import col, dtype_of, missing, pick, require_columns, stage
+from semtab.runtime import col, dtype_of, key_hash, missing, pick, require_columns, same_key, stage
 
 
 def embed(df: DataFrame, column: str, embedder: Embedder, out: str = "vec") -> DataFrame:
     """Add a vector for a text column; each distinct text is encoded once."""
     require_columns(df, [column])
-    texts = df.where(~missing(df, column)).select(col(column).alias("_k0")).distinct()
-    coded = texts.withColumn("_vec", vector_column(F.col("_k0").cast("string"), embedder))
-    joined = df.join(coded, pick(df, column) == F.col("_k0"), "left")
+    texts = df.where(~missing(df, column)).select(col(column)).distinct()
+    coded = spread(texts.select(*key_hash(texts, [column]), col(column).cast("string").alias("_text")))
+    coded = coded.select("_h1", "_h2", vector_column(F.col("_text"), embedder).alias("_vec"))
+    joined = df.join(coded, same_key(df, [column]), "left")
     return joined.select(*[pick(df, c) for c in df.columns if c != out], F.col("_vec").alias(out))
 
 
@@ -113,16 +114,22 @@ def sim_join(
         pick(left, left_key).alias("_lk"), pick(left, left_vec).alias("_lv"))
     rv = right.where(pick(right, right_vec).isNotNull()).select(
         pick(right, right_key).alias("_rk"), pick(right, right_vec).alias("_rv"))
-    if approx:
-        n, _, longest = V.measure(rv, "_rv")
+    n, dim, longest = V.measure(rv, "_rv")
+    if not approx and V.fits_broadcast(n, dim, broadcast_bytes):
+        # the hits come as one more column: left rows stay where they are
+        hit = V.hits_column(pick(left, left_vec), rv, k, schema["_rk"].dataType)
+        kept = left.where(pick(left, left_vec).isNotNull()).withColumn("_hit", F.explode(hit))
+        found = kept.withColumns({"_lk": pick(left, left_key), "_rk": F.col("_hit._rk"), "_score": F.col("_hit._score")})
+    elif approx:
         cells = V.Cells(rv, "_rk", "_rv", n, longest, block_rows)
         first = lv.withColumn("_cells", cells.visits(F.col("_lv"), None, k))
         hits = V.top_per_left(V.match_cells(first, rv, cells, V.best(k), schema, block_rows), k)
+        found = left.join(hits, pick(left, left_key) == F.col("_lk"))
     else:
-        hits = V.nearest(lv, rv, k, schema, broadcast_bytes, block_rows)
+        hits = V.nearest(lv, rv, k, schema, broadcast_bytes, block_rows, (n, dim, longest))
+        found = left.join(hits, pick(left, left_key) == F.col("_lk"))
     r = right.select(*[pick(right, c).alias(f"_r{i}") for i, c in enumerate(right.columns)])
-    joined = left.join(hits, pick(left, left_key) == F.col("_lk")).join(
-        r, F.col("_rk") == F.col(f"_r{right.columns.index(right_key)}"))
+    joined = found.join(r, F.col("_rk") == F.col(f"_r{right.columns.index(right_key)}"))
     out = [pick(left, c).alias(f"{c}{lsuffix}" if c in clash else c) for c in left.columns]
     out.append(F.col("_score").alias(f"_scores{score_suffix}"))
     out += [F.col(f"_r{i}").alias(f"{c}{rsuffix}" if c in clash else c) for i, c in enumerate(right.columns)]
@@ -163,6 +170,6 @@ def sem_dedup(
     names = nodes.select(F.col("_id").alias("_u"), "_value").distinct()
     named = members.join(names, "_u")
     keep = named.groupBy("_v").agg(F.min("_value").alias("_keep"))
-    dropped = named.join(keep, "_v").where(F.col("_value") != F.col("_keep")).select("_value")
-    return df.join(dropped, pick(df, value_col) == F.col("_value"), "left_anti")
+    dropped = named.join(keep, "_v").where(F.col("_value") != F.col("_keep")).select("_u")
+    return df.join(dropped, F.md5(pick(df, value_col).cast("string")) == F.col("_u"), "left_anti")
 

@@ -2,7 +2,7 @@
 
 Every step asks the model once per distinct input: the referenced columns are
 projected, rows with a missing value dropped, repeats removed by an aggregate that
-combines before the shuffle, and the answers joined back by equality.
+combines before the shuffle, and the answers joined back by a hash of the inputs.
 """
 
 from __future__ import annotations
@@ -17,38 +17,27 @@ from pyspark.sql import types as T
 from semtab.functions.claims import (
     answer_of, bool_of, distinct_holes, explanation_of, fill_claim, list_of_bools, row_text,
 )
-from semtab.models.answering import call_in_batches, slots, usage, with_replies
+from semtab.models.answering import call_in_batches, spread, usage, with_replies
 from semtab.models.base import AnswerModel
 from semtab.models.prompts import PromptSpec, shots_from
-from semtab.runtime import col, missing, pick, require_columns, stage
+from semtab.runtime import col, key_hash, missing, pick, require_columns, same_key, stage
+
+
+KEY = ["_h1", "_h2"]
 
 
 def distinct_inputs(df: DataFrame, names: Sequence[str], keep_missing: bool = False) -> DataFrame:
-    """Distinct values of the named columns, renamed ``_k0 _k1 …``, with their row text ``_context``."""
+    """Distinct values of the named columns: their hashes ``_h1 _h2`` and their row text ``_context``."""
     if not names:
         raise ValueError("the instruction names no {column}")
-    require_columns(df, list(names))
+    names = list(names)
+    require_columns(df, names)
     keys = df.select(*[col(n) for n in names])
     if not keep_missing:
         for n in names:
             keys = keys.where(~missing(df, n))
     keys = keys.distinct()
-    return keys.select(
-        *[pick(keys, n).alias(f"_k{i}") for i, n in enumerate(names)], row_text(keys, list(names)).alias("_context")
-    )
-
-
-def match_inputs(df: DataFrame, names: Sequence[str], null_safe: bool = False) -> Column:
-    """Join condition between rows of ``df`` and renamed distinct inputs."""
-    on = None
-    for i, n in enumerate(names):
-        same = pick(df, n).eqNullSafe(F.col(f"_k{i}")) if null_safe else pick(df, n) == F.col(f"_k{i}")
-        on = same if on is None else on & same
-    return on
-
-
-def _key_names(names: Sequence[str]) -> list[str]:
-    return [f"_k{i}" for i in range(len(names))]
+    return keys.select(*key_hash(keys, names), row_text(keys, names).alias("_context"))
 
 
 def _read_answer(spec: PromptSpec, reply: Column) -> tuple[Column, Column]:
@@ -123,9 +112,9 @@ def keep_accepted(
     if raw:
         extra.append(F.col("_reply.text").alias(f"raw_output{suffix}"))
     if not extra:
-        return df.join(accepted.select(*_key_names(names)), match_inputs(df, names), "left_semi")
-    answered = accepted.select(*_key_names(names), *extra)
-    return df.join(answered, match_inputs(df, names)).drop(*_key_names(names))
+        return df.join(accepted.select(*KEY), same_key(df, list(names)), "left_semi")
+    answered = accepted.select(*KEY, *extra)
+    return df.join(answered, same_key(df, list(names))).drop(*KEY)
 
 
 def sem_filter_batch(
@@ -147,8 +136,7 @@ def sem_filter_batch(
     if rows_per_prompt < 1:
         raise ValueError("rows_per_prompt is 1 or more")
     names = distinct_holes(claim)
-    inputs = distinct_inputs(df, names)
-    inputs = inputs.repartition(parallel or slots(df.sparkSession))
+    inputs = spread(distinct_inputs(df, names), parallel)
     spec = PromptSpec("judge_list", fill_claim(claim), shots=shots_from(examples, names, None))
     keys = [f for f in inputs.schema.fields if f.name != "_context"]
     schema = T.StructType([*keys, T.StructField("_at", T.IntegerType()), T.StructField("_size", T.IntegerType()),
@@ -172,7 +160,7 @@ def sem_filter_batch(
     asked = inputs.mapInPandas(ask, schema)
     verdicts = list_of_bools(F.col("_text"), F.col("_size"), on_error, default)
     accepted = asked.where(F.element_at(verdicts, F.col("_at")))
-    return df.join(accepted.select(*key_names), match_inputs(df, names), "left_semi")
+    return df.join(accepted.select(*KEY), same_key(df, names), "left_semi")
 
 
 def sem_map(
@@ -212,10 +200,8 @@ def sem_map(
         extra[f"explanation{out}"] = why
     if raw:
         extra[f"raw_output{out}"] = F.col("_reply.text")
-    answered = asked.select(
-        *_key_names(names), *[c.alias(f"_a{i}") for i, c in enumerate(extra.values())]
-    )
-    joined = df.join(answered, match_inputs(df, names), "left" if keep_nulls else "inner")
+    answered = asked.select(*KEY, *[c.alias(f"_a{i}") for i, c in enumerate(extra.values())])
+    joined = df.join(answered, same_key(df, names), "left" if keep_nulls else "inner")
     columns = [pick(df, c).alias(f"{c}_x" if c in extra else c) for c in df.columns]
     columns += [
         F.col(f"_a{i}").alias(f"{c}_y" if c in df.columns else c) for i, c in enumerate(extra)
@@ -260,11 +246,11 @@ def sem_extract(
         read = F.when(whole.isNull(), F.raise_error(F.concat(F.lit("reply is not a JSON object: "), text)).cast(shape))\
             .otherwise(read)
     answered = asked.withColumn("_read", read).select(
-        *_key_names(names),
+        *KEY,
         *[F.col("_read").getField(f).alias(f"_a{i}") for i, f in enumerate(wanted)],
         text.alias("_raw"),
     )
-    joined = df.join(answered, match_inputs(df, names, null_safe=True))
+    joined = df.join(answered, same_key(df, names))
     columns = [pick(df, c) for c in df.columns if c not in wanted]
     columns += [F.col(f"_a{i}").alias(f) for i, f in enumerate(wanted)]
     if raw:

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from semtab.runtime import stage
 
@@ -322,6 +323,32 @@ def match_broadcast(left: DataFrame, right: DataFrame, kernel: Kernel, schema: T
     return left.select("_lk", "_lv").mapInPandas(run, schema)
 
 
+def hits_column(vector: Column, right: DataFrame, k: int, key_type: T.DataType) -> Column:
+    """The ``k`` best rows of a right side of checked size, as an array of ``_rk _score`` for every vector."""
+    held = right.toPandas()
+    shared = right.sparkSession.sparkContext.broadcast((held["_rk"].to_numpy(), matrix(held["_rv"])))
+    step = max(1, 4_000_000 // max(len(held), 1))
+    kernel = best(k)
+    arrow_key = to_arrow_type(key_type)
+
+    def run(vectors: pa.Array) -> pa.Array:
+        rk, r = shared.value
+        shape = pa.struct([("_rk", arrow_key), ("_score", pa.float64())])
+        if not len(rk) or not len(vectors):
+            return pa.array([[] for _ in range(len(vectors))], pa.list_(shape))
+        m = arrow_matrix(vectors)
+        parts = [kernel(np.arange(at, min(at + step, len(m))), m[at : at + step], rk, r) for at in range(0, len(m), step)]
+        hits = pd.concat(parts)
+        each = len(hits) // len(m)
+        values = pa.StructArray.from_arrays(
+            [pa.array(hits["_rk"].to_numpy(), arrow_key), pa.array(hits["_score"].to_numpy())], ["_rk", "_score"])
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, len(hits) + 1, each), pa.int32()), values)
+
+    run.__annotations__ = {"vectors": pa.Array, "return": pa.Array}
+    shape = T.StructType([T.StructField("_rk", key_type), T.StructField("_score", T.DoubleType())])
+    return F.arrow_udf(run, T.ArrayType(shape))(vector)
+
+
 def pairs_above(
     left: DataFrame, right: DataFrame, floor: float, kernel: Kernel, schema: T.StructType,
     broadcast_bytes: int = BROADCAST_BYTES, block_rows: int = BLOCK_ROWS,

@@ -11,7 +11,7 @@ from semtab.functions.claims import bool_of
 from semtab.models.answering import with_replies
 from semtab.models.base import AnswerModel
 from semtab.models.prompts import PromptSpec
-from semtab.runtime import col, pick
+from semtab.runtime import col, pick, split_join
 
 # Fixed values of the published scoring.
 CASES_PER_BUCKET = 143
@@ -156,26 +156,27 @@ def plan_set_equal(prediction: DataFrame, truth: DataFrame, case: str = "case")
 
     Both sides hold ``case operator params``, one row per step.
     """
-    def plans(df: DataFrame, out: str) -> DataFrame:
-        step = F.struct(col("operator").alias("o"), key_params(col("operator"), col("params")).alias("p"))
-        return df.groupBy(col(case).alias("case")).agg(F.collect_list(step).alias(out))
-
-    both = plans(prediction, "_p").join(plans(truth, "_t"), "case", "right")
-    same = (
-        (F.size("_p") == F.size("_t"))
-        & (F.size(F.array_except("_p", "_t")) == 0)
-        & (F.size(F.array_except("_t", "_p")) == 0)
-    )
-    return both.select("case", F.coalesce(same, F.lit(False)).alias("same"))
+    def marked(df: DataFrame, p: int) -> DataFrame:
+        return df.select(
+            col(case).alias("case"), col("operator").alias("o"), key_params(col("operator"), col("params")).alias("a"),
+            F.lit(p).alias("p"), F.lit(1 - p).alias("t"))
+
+    each = marked(prediction, 1).union(marked(truth, 0)).groupBy("case", "o", "a").agg(
+        F.sum("p").alias("p"), F.sum("t").alias("t"))
+    per_case = each.groupBy("case").agg(
+        F.sum("p").alias("np"), F.sum("t").alias("nt"), F.every((F.col("p") > 0) & (F.col("t") > 0)).alias("all"))
+    return per_case.where("nt > 0").select("case", ((F.col("np") == F.col("nt")) & F.col("all")).alias("same"))
 
 
 def filters_before_sort(steps: DataFrame, case: str = "case", op: str = "operator", pos: str = "pos") -> DataFrame:
     """Per case, the number of filters before the first sort and whether there is one."""
-    sort_at = F.min(F.when(col(op).isin(*SORTS), col(pos)))
-    at = F.sort_array(F.collect_list(F.when(col(op).isin(*FILTERS), col(pos))))
-    grouped = steps.groupBy(col(case).alias("case")).agg(sort_at.alias("_s"), at.alias("_f"))
-    before = F.size(F.filter("_f", lambda p: F.col("_s").isNull() | (p < F.col("_s"))))
-    return grouped.select("case", before.alias("filters"), F.col("_s").isNotNull().alias("sorts"))
+    mine = steps.select(col(case).alias("case"), col(op).alias("op"), col(pos).alias("pos"))
+    cases = mine.groupBy("case").agg(F.min(F.when(F.col("op").isin(*SORTS), F.col("pos"))).alias("_s"))
+    filters = split_join(mine.where(F.col("op").isin(*FILTERS)), cases, "case")
+    early = filters.where("_s IS NULL OR pos < _s").groupBy("case").agg(F.count("*").alias("n"))
+    counted = cases.join(early, "case", "left")
+    return counted.select(
+        "case", F.coalesce("n", F.lit(0)).cast("int").alias("filters"), F.col("_s").isNotNull().alias("sorts"))
 
 
 def order_valid(prediction: DataFrame, truth: DataFrame, case: str = "case", op: str = "operator", pos: str = "pos") -> DataFrame:
