@@ -8,7 +8,7 @@ import uuid
 import pandas as pd
 from pyspark.sql import functions as F
 
-from semtab.functions.claims import holes_column
+from semtab.functions import claims as C
 from semtab.functions.sql import qa_over, register_sql_functions
 from semtab.models.base import HashEmbedder, RuleModel
 from semtab.operators import values as V
@@ -274,10 +274,48 @@ def cluster_summary_(t):
           GROUP BY holes""")
 def claim_holes(t):
     claim = F.concat(F.lit("{p_name} of {{x}} in {"), F.when(F.col("p_size") % 2 == 0, "p_brand").otherwise("p_type:left"), F.lit("}"))
-    out = t.part.select(F.array_join(holes_column(claim), ",").alias("holes"))
+    out = t.part.select(F.array_join(C.holes_column(claim), ",").alias("holes"))
     return out.groupBy("holes").agg(F.count("*").alias("n"))
 
 
+@query("""SELECT '[P_name]: «' || p_name || '»' || chr(10) || '[P_size]: «' || p_size || '»' || chr(10) AS text,
+                 CAST(count(*) AS BIGINT) AS n FROM part GROUP BY 1""")
+def prompt_text(t):
+    return t.part.select(C.row_text(t.part, ["p_name", "p_size"]).alias("text")).groupBy("text").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT p_partkey, '[P_name:left]: «' || p_name || '»' || chr(10) || chr(10) ||
+                 '[P_brand:right]: «' || p_brand || '»' || chr(10) AS text FROM part""")
+def pair_text(t):
+    text = C.pair_text(C.row_text(t.part, ["p_name"], ["p_name:left"]), C.row_text(t.part, ["p_brand"], ["p_brand:right"]))
+    return t.part.select("p_partkey", text.alias("text"))
+
+
+@query("""SELECT doc_id, n_chars % 2 = 0 AS verdict, regexp_replace(text, '^\\n+|\\n+$', '', 'g') AS why,
+                 CASE WHEN n_chars % 2 = 0 THEN ' True' ELSE ' False' END AS answer FROM documents
+          WHERE strpos(text, 'Answer:') = 0""")
+def parse_cot(t):
+    docs = t.documents.where(~F.col("text").contains("Answer:"))
+    reply = F.concat(F.lit("Reasoning:\n"), "text", F.lit("\n\nAnswer: "), F.when(F.col("n_chars") % 2 == 0, "True").otherwise("False"))
+    replies = docs.select("doc_id", reply.alias("r"))
+    return replies.select("doc_id", C.bool_of(C.answer_of(F.col("r"))).alias("verdict"),
+                          C.explanation_of(F.col("r")).alias("why"), C.answer_of(F.col("r")).alias("answer"))
+
+
+@query("SELECT event_id, contains(event_type, 'e') AS verdict FROM events")
+def parse_bool(t):
+    reply = F.when(F.col("event_type").contains("e"), F.concat(F.lit("True: "), "event_type")).otherwise("It is False.")
+    return t.events.select("event_id", C.bool_of(reply).alias("verdict"))
+
+
+@query("SELECT o_orderkey, CAST(o_orderkey % 2 + 1 AS INTEGER) AS choice FROM orders")
+def parse_choice(t):
+    number = (F.col("o_orderkey") % 2 + 1).cast("string")
+    reply = F.when(F.col("o_custkey") % 2 == 0, F.concat(F.lit("Document 1 or Document 2? Document "), number)).otherwise(
+        F.concat(F.lit("number "), number))
+    return t.orders.select("o_orderkey", C.choice_of(reply).alias("choice"))
+
+
 # --- models as data --------------------------------------------------------
 
 
@@ -319,13 +357,15 @@ def llm_map_sql(t):
         part=t.part)
 
 
-@query("""SELECT p_brand, s_name FROM (SELECT DISTINCT p_brand FROM part) JOIN supplier
-          ON right(p_brand, 1) = right(s_name, 1)""")
+@query("""SELECT p_brand, s_name FROM (SELECT DISTINCT p_brand, p_size FROM part) JOIN supplier
+          ON p_size = s_nationkey AND right(p_brand, 1) = right(s_name, 1)""")
 def llm_join_sql(t):
+    """An equality beside the judged condition keeps the pairs few."""
     register_sql_functions(t.spark, SQL_MODEL)
     return t.spark.sql(
-        "SELECT p_brand, s_name FROM {brands} JOIN {suppliers} ON llm_join('same ending', p_brand, s_name)",
-        brands=t.part.select("p_brand").distinct(), suppliers=t.supplier)
+        """SELECT p_brand, s_name FROM {brands} JOIN {suppliers}
+           ON p_size = s_nationkey AND llm_join('same ending', p_brand, s_name)""",
+        brands=t.part.select("p_brand", "p_size").distinct(), suppliers=t.supplier)
 
 
 @query("SELECT p_brand, max(p_name) AS answer FROM part GROUP BY p_brand")

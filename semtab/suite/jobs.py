@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from semtab.models.base import count_tokens as tokens_in
 from semtab.models.prompts import PromptSpec
 from semtab.operators import cascade as C
 from semtab.plans import evaluate as Ev
@@ -40,6 +41,16 @@ def true_prob(t):
     return reply.select("event_id", F.round(C.true_prob(F.col("r")), 6).alias("p"))
 
 
+@query("""WITH a AS (SELECT count(*) AS n, sum(sqrt(value / 100)) AS r FROM events)
+          SELECT event_id, round((0.5 * sqrt(value / 100) / r + 0.5 / n) * n, 6) AS weight_n,
+                 round((1.0 / n) / (0.5 * sqrt(value / 100) / r + 0.5 / n), 6) AS correction FROM events, a""")
+def importance_sample(t):
+    scored = t.events.select("event_id", (F.col("value") / 100).alias("s"))
+    out = C.sample_weights(scored, "s")
+    n = t.events.agg(F.count("*").alias("n")).scalar()
+    return out.select("event_id", F.round(F.col("weight") * n, 6).alias("weight_n"), F.round("correction", 6).alias("correction"))
+
+
 # --- estimates -------------------------------------------------------------
 
 
@@ -63,13 +74,13 @@ def call_estimate_topk(t):
     return P.topk_calls(t.part, "Which {p_name} is best?", 10).select(F.round("calls", 4).alias("calls"))
 
 
-@query("""SELECT CAST(sum(ceil(length(text) / 4.0) + (SELECT 0)) AS BIGINT) AS tokens FROM documents""")
+_JUDGE = PromptSpec("judge", "Text is good")
+_FIXED = sum(tokens_in(m["content"]) for m in _JUDGE.messages(""))
+
+
+@query(f"SELECT CAST(sum(ceil(length(text) / 4.0) + {_FIXED}) AS BIGINT) AS tokens FROM documents")
 def count_tokens(t):
-    spec = PromptSpec("judge", "{text} is good")
-    fixed = P.prompt_tokens(t.documents.limit(1), F.lit(""), spec).first()["tokens"]
-    total = P.prompt_tokens(t.documents, F.col("text"), spec)
-    return total.crossJoin(t.documents.agg(F.count("*").alias("n"))).select(
-        (F.col("tokens") - F.col("n") * fixed).cast("long").alias("tokens"))
+    return P.prompt_tokens(t.documents, F.col("text"), _JUDGE)
 
 
 @query("""SELECT DISTINCT x AS "column" FROM (SELECT unnest([p_type, 'p_name', 'p_brand', 'p_size']) AS x FROM part)""")
@@ -239,6 +250,21 @@ def filters_before_sort(t):
     return Ev.filters_before_sort(_ops(t))
 
 
+@query(f"""WITH o AS (SELECT user_id, event_id, op FROM ({_OPS_SQL})),
+               s AS (SELECT user_id, min(event_id) FILTER (op = 'orderby') AS a, min(event_id) FILTER (op = 'map') AS b FROM o GROUP BY 1),
+               f AS (SELECT o.user_id AS u, any_value(a) AS a,
+                     count(*) FILTER (op IN ('filter', 'sem_filter') AND (a IS NULL OR event_id < a)) AS m,
+                     count(*) FILTER (op IN ('filter', 'sem_filter') AND (b IS NULL OR event_id < b)) AS g
+                     FROM o JOIN s ON o.user_id = s.user_id GROUP BY 1)
+           SELECT u AS "case", a IS NULL OR m = g AS valid FROM f""")
+def order_valid(t):
+    """The true plan is the same list with the sort standing where the projections are."""
+    ops = _ops(t)
+    truth = ops.withColumn("operator", F.when(F.col("operator") == "map", "sem_topk").when(
+        F.col("operator") == "orderby", "head").otherwise(F.col("operator")))
+    return Ev.order_valid(ops, truth)
+
+
 @query("""WITH m AS (SELECT l_orderkey AS c, sum(l_tax) AS a, sum(l_linenumber) AS b FROM lineitem WHERE l_returnflag <> 'R' GROUP BY 1),
                g AS (SELECT l_orderkey AS c, sum(l_tax) AS a, sum(l_linenumber) AS b FROM lineitem WHERE l_returnflag <> 'N' GROUP BY 1)
           SELECT round(avg(CASE WHEN g.a > 0 THEN m.a / g.a ELSE 0 END), 6) AS total_cost,
