@@ -134,9 +134,13 @@ def _size(values: DataFrame, name: str) -> tuple[int, int]:
 def bring_back(left: DataFrame, right: DataFrame, pairs: DataFrame, lc: str, rc: str, extra: dict[str, str]) -> DataFrame:
     """Rows of both sides for accepted value pairs; clashing columns become ``c:left`` and ``c:right``."""
     clash = set(left.columns) & set(right.columns)
-    hashed = pairs.select(
-        *[h.alias(f"_p{i}") for i, h in enumerate(key_hash(pairs, ["_l"]) + key_hash(pairs, ["_r"]))],
-        *[F.col(a) for a in extra],
+    # written out: pairs hold model answers, and only their true size tells how to join them
+    hashed = stage(
+        pairs.select(
+            *[h.alias(f"_p{i}") for i, h in enumerate(key_hash(pairs, ["_l"]) + key_hash(pairs, ["_r"]))],
+            *[F.col(a) for a in extra],
+        ),
+        "pairs",
     )
     l1, l2 = key_hash(left, [lc])
     r = right.select(

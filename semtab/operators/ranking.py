@@ -319,9 +319,12 @@ def sem_topk(
         ranked = stage(ranked, "ranked")
 
     places = ranked.where(F.col("_rank").isNotNull()).select(*g, "_doc", "_rank")
-    # places of one document are unique, and at most k documents per group are needed
-    w = Window.partitionBy(*g).orderBy("_rank", "_doc")
-    places = places.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k).drop("_n")
+    # every document has at least one row: k documents per group are enough
+    if g:
+        w = Window.partitionBy(*g).orderBy("_rank", "_doc")
+        places = places.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k).drop("_n")
+    else:
+        places = places.orderBy("_rank", "_doc").limit(k)
     side = places.select(*[F.col(a).alias(f"_p{a}") for a in g], F.col("_doc").alias("_pdoc"), "_rank")
     on = doc == F.col("_pdoc")
     for c, a in zip(groups, g):

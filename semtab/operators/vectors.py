@@ -307,9 +307,9 @@ def _block_runner(kernel: Kernel, schema: T.StructType):
 
 def match_broadcast(left: DataFrame, right: DataFrame, kernel: Kernel, schema: T.StructType) -> DataFrame:
     """Run ``kernel`` with the whole right side, of checked size, in every task; nothing is shuffled."""
-    held = right.toPandas()
-    shared = left.sparkSession.sparkContext.broadcast((held["_rk"].to_numpy(), matrix(held["_rv"])))
-    step = max(1, 4_000_000 // max(len(held), 1))
+    held = held_matrix(right)
+    shared = left.sparkSession.sparkContext.broadcast(held)
+    step = max(1, 4_000_000 // max(len(held[0]), 1))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rk, r = shared.value
@@ -323,11 +323,18 @@ def match_broadcast(left: DataFrame, right: DataFrame, kernel: Kernel, schema: T
     return left.select("_lk", "_lv").mapInPandas(run, schema)
 
 
+def held_matrix(right: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and vectors of a right side of checked size."""
+    table = right.select("_rk", "_rv").toArrow()
+    return table["_rk"].to_pandas().to_numpy(), arrow_matrix(pa.concat_arrays(table["_rv"].chunks)) if len(
+        table) else np.zeros((0, 0))
+
+
 def hits_column(vector: Column, right: DataFrame, k: int, key_type: T.DataType) -> Column:
     """The ``k`` best rows of a right side of checked size, as an array of ``_rk _score`` for every vector."""
-    held = right.toPandas()
-    shared = right.sparkSession.sparkContext.broadcast((held["_rk"].to_numpy(), matrix(held["_rv"])))
-    step = max(1, 4_000_000 // max(len(held), 1))
+    held = held_matrix(right)
+    shared = right.sparkSession.sparkContext.broadcast(held)
+    step = max(1, 4_000_000 // max(len(held[0]), 1))
     kernel = best(k)
     arrow_key = to_arrow_type(key_type)
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from semtab.models.base import count_tokens as tokens_in
@@ -9,6 +12,7 @@ from semtab.models.prompts import PromptSpec
 from semtab.operators import cascade as C
 from semtab.plans import evaluate as Ev
 from semtab.plans import prep as P
+from semtab.runtime import stage
 from semtab.suite import rules as R
 from semtab.suite.registry import query
 
@@ -141,6 +145,31 @@ def sample_added(t):
     return out.select("o_orderkey", "o_custkey", "o_totalprice")
 
 
+_KEYS = [
+    ("lineitem", "orders", "l_orderkey", "o_orderkey"), ("lineitem", "part", "l_partkey", "p_partkey"),
+    ("lineitem", "supplier", "l_suppkey", "s_suppkey"), ("orders", "customer", "o_custkey", "c_custkey"),
+    ("customer", "nation", "c_nationkey", "n_nationkey"), ("supplier", "nation", "s_nationkey", "n_nationkey"),
+    ("nation", "region", "n_regionkey", "r_regionkey"),
+]
+_KEYS_SQL = " UNION ALL ".join(
+    f"SELECT '{c}' AS c, '{p}' AS p WHERE NOT EXISTS (SELECT 1 FROM {c} WHERE {cc} NOT IN (SELECT {pc} FROM {p}))"
+    for c, p, cc, pc in _KEYS)
+
+
+@query(f"""WITH e AS ({_KEYS_SQL}) SELECT x.c || ' ' || x.p || ' ' || y.p AS path FROM e x JOIN e y ON x.p = y.c
+           WHERE y.p <> x.c""")
+def fk_paths(t):
+    """Paths over three tables along the keys that hold in the data."""
+    held = []
+    for child, parent, cc, pc in _KEYS:
+        orphans = getattr(t, child).select(F.col(cc).alias("k")).join(
+            getattr(t, parent).select(F.col(pc).alias("k")), "k", "left_anti")
+        held.append(orphans.agg(F.count("*").alias("n")).where("n = 0").select(
+            F.lit(child).alias("child"), F.lit(parent).alias("parent")))
+    edges = stage(functools.reduce(DataFrame.unionByName, held), "keys")
+    return P.fk_paths(edges, 3).select(F.array_join("path", " ").alias("path"))
+
+
 # --- evaluation ------------------------------------------------------------
 
 
