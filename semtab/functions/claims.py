@@ -90,6 +90,7 @@ def bool_of(answer: Column, on_error: str = "raise", default: bool = True) -> Co
 
 def choice_of(reply: Column) -> Column:
     """1 or 2: the last ``Document N`` of a reply, or its last number."""
+    # fixed value: the pattern that names a document
     named = F.regexp_extract_all(reply, F.lit(r"(?i)Document[\s*](\d+)"), F.lit(1))
     numbers = F.regexp_extract_all(reply, F.lit(r"(\d+)"), F.lit(1))
     last = F.coalesce(F.try_element_at(named, F.lit(-1)), F.try_element_at(numbers, F.lit(-1)))

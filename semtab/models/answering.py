@@ -88,6 +88,7 @@ def why(spec: PromptSpec, text: str) -> str | None:
     return head.partition("Reasoning:\n")[2].strip("\n") if "Reasoning:\n" in head else head.strip("\n")
 
 
+# Fixed value: how a comparison reply names the document it picks.
 _NAMED = re.compile(r"Document[\s*](\d+)", re.I)
 
 

@@ -140,15 +140,20 @@ def bucket_macro_avg_fixed(detail: DataFrame, case_id: str = "case_id") -> DataF
 
 def key_params(operator: Column, params: Column) -> Column:
     """The arguments of a stored step without the tables it works on, cleaned; a value join's pair is sorted."""
-    parts = F.split(params, ";;")
-    rest = lambda n: F.slice(parts, n + 1, F.greatest(F.size(parts) - n, F.lit(0)))
-    chosen = (
-        F.when(operator == "join", F.array_sort(rest(2)))
-        .when(operator == "sem_join", rest(2))
-        .when(operator == "value_calculate", parts)
-        .otherwise(rest(1))
+    quotes = "[\"']"
+
+    def behind(parts: Column, n: int) -> Column:
+        return F.slice(parts, n + 1, F.greatest(F.size(parts) - n, F.lit(0)))
+
+    # cleaning the whole text at once spares a pass over every argument
+    clean = F.split(F.trim(F.regexp_replace(params, quotes, "")), r"\s*;;\s*")
+    pair = F.array_sort(behind(F.split(params, ";;"), 2))
+    return (
+        F.when(operator == "join", F.transform(pair, lambda p: F.trim(F.regexp_replace(p, quotes, ""))))
+        .when(operator == "sem_join", behind(clean, 2))
+        .when(operator == "value_calculate", clean)
+        .otherwise(behind(clean, 1))
     )
-    return F.transform(chosen, lambda p: F.trim(F.regexp_replace(p, "[\"']", "")))
 
 
 def plan_set_equal(prediction: DataFrame, truth: DataFrame, case: str = "case") -> DataFrame:
