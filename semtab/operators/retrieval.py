@@ -15,11 +15,11 @@ from semtab.runtime import col, dtype_of, key_hash, missing, pick, require_colum
 
 
 def embed(df: DataFrame, column: str, embedder: Embedder, out: str = "vec") -> DataFrame:
-    """Add a vector for a text column; each distinct text is encoded once."""
+    """Add a vector for a text column; each distinct text is encoded once and its vector written out."""
     require_columns(df, [column])
     texts = df.where(~missing(df, column)).select(col(column)).distinct()
     coded = spread(texts.select(*key_hash(texts, [column]), col(column).cast("string").alias("_text")))
-    coded = coded.select("_h1", "_h2", vector_column(F.col("_text"), embedder).alias("_vec"))
+    coded = stage(coded.select("_h1", "_h2", vector_column(F.col("_text"), embedder).alias("_vec")), "vectors")
     joined = df.join(coded, same_key(df, [column]), "left")
     return joined.select(*[pick(df, c) for c in df.columns if c != out], F.col("_vec").alias(out))
 

@@ -3,6 +3,10 @@
 Every step asks the model once per distinct input: the referenced columns are
 projected, rows with a missing value dropped, repeats removed by an aggregate that
 combines before the shuffle, and the answers joined back by a hash of the inputs.
+
+Answers are written out when the operator is called: however often its result is
+read, or recomputed after a lost executor, nothing is asked again, and the true size
+of the answers decides how they are joined.
 """
 
 from __future__ import annotations
@@ -90,14 +94,13 @@ def sem_filter(
 
     ``explain`` and ``raw`` add ``explanation{suffix}`` and ``raw_output{suffix}``;
     worked examples with ``strategy="cot"`` imply ``explain``. ``stats`` returns
-    ``(rows, usage)`` and writes the replies once to serve both.
+    ``(rows, usage)``.
     """
     judged, names, spec = judge_inputs(
         df, claim, model, examples=examples, strategy=strategy, on_error=on_error, default=default,
         parallel=parallel, memo=memo,
     )
-    if stats:
-        judged = stage(judged.drop("_context"), "sem_filter")
+    judged = stage(judged.drop("_context"), "sem_filter")
     explain = explain or (strategy == "cot" and examples is not None)
     out = keep_accepted(df, judged.where(F.col("_verdict")), names, explain, raw, suffix)
     return (out, usage(judged)) if stats else out
@@ -159,8 +162,8 @@ def sem_filter_batch(
 
     asked = inputs.mapInPandas(ask, schema)
     verdicts = list_of_bools(F.col("_text"), F.col("_size"), on_error, default)
-    accepted = asked.where(F.element_at(verdicts, F.col("_at")))
-    return df.join(accepted.select(*KEY), same_key(df, names), "left_semi")
+    accepted = stage(asked.where(F.element_at(verdicts, F.col("_at"))).select(*KEY), "sem_filter")
+    return df.join(accepted, same_key(df, names), "left_semi")
 
 
 def sem_map(
@@ -190,8 +193,7 @@ def sem_map(
     asked = with_replies(
         distinct_inputs(df, names), F.col("_context"), model, spec, parallel=parallel, memo=memo
     )
-    if stats:
-        asked = stage(asked.drop("_context"), "sem_map")
+    asked = stage(asked.drop("_context"), "sem_map")
     answer, why = _read_answer(spec, F.col("_reply"))
     if postprocess is not None:
         answer = postprocess(F.col("_reply.text"))
@@ -250,6 +252,7 @@ def sem_extract(
         *[F.col("_read").getField(f).alias(f"_a{i}") for i, f in enumerate(wanted)],
         text.alias("_raw"),
     )
+    answered = stage(answered, "sem_extract")
     joined = df.join(answered, same_key(df, names))
     columns = [pick(df, c) for c in df.columns if c not in wanted]
     columns += [F.col(f"_a{i}").alias(f) for i, f in enumerate(wanted)]

@@ -11,7 +11,7 @@ from semtab.functions.claims import bool_of
 from semtab.models.answering import with_replies
 from semtab.models.base import AnswerModel
 from semtab.models.prompts import PromptSpec
-from semtab.runtime import col, pick, split_join
+from semtab.runtime import col, pick, split_join, stage
 
 # Fixed values of the published scoring.
 CASES_PER_BUCKET = 143
@@ -69,7 +69,7 @@ def judged_agreement(
     pairs = answers.select(col(prediction).alias("_p"), col(truth).alias("_t"), text.alias("_context")).distinct()
     spec = PromptSpec("agree", "The prediction has no factual error against the reference.")
     judged = with_replies(pairs, F.col("_context"), model, spec)
-    judged = judged.select("_p", "_t", bool_of(F.col("_reply.text")).alias("_agree"))
+    judged = stage(judged.select("_p", "_t", bool_of(F.col("_reply.text")).alias("_agree")), "judged")
     on = pick(answers, prediction).eqNullSafe(F.col("_p")) & pick(answers, truth).eqNullSafe(F.col("_t"))
     return answers.join(judged, on).select(*[pick(answers, c) for c in answers.columns], F.col("_agree").alias(out))
 

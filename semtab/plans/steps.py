@@ -1,7 +1,7 @@
 """Running a stored process: a list of typed steps over named tables.
 
-Every step adds a lazy table under a derived name; nothing is computed until a
-result is read, so steps that lead nowhere cost nothing.
+Every step adds a table under a derived name. Relational steps are lazy: those that lead
+nowhere cost nothing.
 """
 
 from __future__ import annotations
@@ -21,7 +21,6 @@ from semtab.operators.matching import sem_join
 from semtab.operators.ranking import sem_topk
 from semtab.operators.retrieval import embed
 from semtab.operators.semantic import sem_filter, sem_map
-from semtab.runtime import stage
 
 OPERATORS = (
     "filter", "join", "agg", "head", "groupby", "orderby", "map", "column_calculate", "value_calculate",
@@ -92,20 +91,17 @@ def run_steps(
     embedder: Embedder | None = None,
     *,
     stop_when_empty: bool = False,
-    stage_answers: bool = True,
 ) -> Run:
     """Apply the steps in order. An error, or an empty table if asked for, ends the run and is recorded.
 
-    ``stage_answers`` writes the result of steps that call a model, so that several
-    later steps can read it without new calls.
+    Steps by value stay lazy. Steps that call a model write its answers when they are
+    applied, so several later steps can read them without new calls.
     """
     run = Run(dict(tables))
     for i, step in enumerate(steps):
         began = time.perf_counter()
         try:
             out, scalar = _apply(step, run, model, embedder)
-            if stage_answers and step.op.startswith("sem_"):
-                out = stage(out, step.op)
             empty = stop_when_empty and not scalar and out.isEmpty()
         except Exception as e:
             run.error = f"step {i} ({step.op}): {e}"
@@ -174,7 +170,7 @@ def _cluster(df, args, options, model, embedder) -> DataFrame:
     column, k, agg_col, func = args
     if embedder is None:
         raise ValueError("sem_cluster_by needs an embedder")
-    vectors = stage(embed(df, column, embedder, "_vec"), "vectors")
+    vectors = embed(df, column, embedder, "_vec")
     return cluster_summary(vectors, column, "_vec", k, agg_col, func, model, **options)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from semtab.models.base import HashEmbedder, OverlapScorer
 from semtab.operators import retrieval as E
-from semtab.runtime import stage, staging_root
+from semtab.runtime import staging_root
 from semtab.suite.registry import query
 
 #: A fixed query vector for the 64-valued test embeddings.
@@ -85,7 +85,7 @@ def sem_dedup_cells(t):
 
 @query()
 def sem_dedup_text(t):
-    coded = stage(E.embed(t.documents.select("doc_id", "text"), "text", HashEmbedder(64), "vec"), "coded")
+    coded = E.embed(t.documents.select("doc_id", "text"), "text", HashEmbedder(64), "vec")
     return E.sem_dedup(coded, "text", "vec", 0.97).select("doc_id")
 
 
@@ -101,7 +101,7 @@ def sem_index(t):
 def sim_join_text(t):
     """The passage of the benchmark table that is most like each document."""
     coder = HashEmbedder(64)
-    docs = stage(E.embed(t.documents.select("doc_id", "text"), "text", coder, "vec").drop("text"), "coded")
-    items = stage(E.embed(t.benchmark, "text", coder, "vec"), "coded")
+    docs = E.embed(t.documents.select("doc_id", "text"), "text", coder, "vec").drop("text")
+    items = E.embed(t.benchmark, "text", coder, "vec")
     out = E.sim_join(docs, items, "vec", "vec", 1, left_key="doc_id", right_key="item_id", lsuffix="_l", rsuffix="_r")
     return out.select("doc_id", "item_id", F.round("_scores", 6).alias("_scores"))

@@ -91,6 +91,14 @@ def test_filter_asks_once_per_distinct_input(things):
     assert two.calls == things.where("name IS NOT NULL").select("name", "brand").distinct().count()
 
 
+def test_chained_steps_ask_nothing_twice(things):
+    first, second = Counting(lambda c: str("gear" in c)), Counting(lambda c: "x")
+    out = sem_map(sem_filter(things, "{name} is a gear", first), "shorten {name}", second)
+    out.count()
+    out.groupBy("_map").count().collect()
+    assert (first.calls, second.calls) == (3, 2)
+
+
 def test_filter_result_does_not_depend_on_partitions(things):
     want = rows(sem_filter(things, "{name} is a gear", GEAR))
     assert rows(sem_filter(things.repartition(7), "{name} is a gear", GEAR)) == want
