@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from semtab.llm.language import held_out, identify_languages, learn_profiles
 from semtab.llm.mixing import mix_sources
+from semtab.llm.simhash import simhash_components
 from semtab.llm.tokens import count_tokens
+from semtab.llm.urls import filter_urls, rule_table
 from semtab.runtime import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,6 +51,39 @@ def op5_mix_sources(table) -> DataFrame:
     )
 
 
+@query()
+def op7_simhash(table) -> DataFrame:
+    return simhash_components(table("documents"), shingle_words=4, max_bits=4)
+
+
+URL_RULES = [
+    ("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"),
+]
+
+
+@query(
+    """
+    WITH u AS (
+        SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+    ), p AS (
+        SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+               regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+        FROM u
+    ), r(verdict, h, t) AS (
+        VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')
+    ), fit AS (
+        SELECT page_id, h || t AS rule, verdict, row_number() OVER (PARTITION BY page_id ORDER BY length(h || t) DESC, length(h) DESC) AS n
+        FROM p JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, t)
+    )
+    SELECT p.page_id, host, path, fit.rule, coalesce(fit.verdict, 'allow') AS verdict
+    FROM p LEFT JOIN fit ON p.page_id = fit.page_id AND fit.n = 1
+    """
+)
+def op8_url_filter(table) -> DataFrame:
+    pages = table("pages")
+    return filter_urls(pages, rule_table(pages.sparkSession, URL_RULES))
+
+
 @query()
 def op10_token_counts(table) -> DataFrame:
     import public_tokenizers
