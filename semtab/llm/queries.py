@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from semtab.llm.language import held_out, identify_languages, learn_profiles
+from semtab.llm.line_dedup import dedup_lines
 from semtab.llm.mixing import mix_sources
 from semtab.llm.simhash import simhash_components
 from semtab.llm.tokens import count_tokens
@@ -84,6 +85,40 @@ def op8_url_filter(table) -> DataFrame:
     return filter_urls(pages, rule_table(pages.sparkSession, URL_RULES))
 
 
+@query(
+    """
+    WITH l AS (
+        SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS at, unnest(string_split(text, chr(10))) AS raw FROM documents
+    ), c AS (
+        SELECT doc_id, at, trim(raw, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS line FROM l WHERE regexp_matches(raw, '[^\\x20\\x09-\\x0D]')
+    ), n AS (
+        SELECT doc_id, at, line, lead(line) OVER d AS line2, lead(at) OVER d AS at2,
+               len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) >= 50 AS long
+        FROM c WINDOW d AS (PARTITION BY doc_id ORDER BY at)
+    ), r AS (
+        SELECT doc_id, [at, at2] AS places, row_number() OVER (PARTITION BY line, line2 ORDER BY doc_id, at) AS nth FROM n WHERE line2 IS NOT NULL
+        UNION ALL
+        SELECT doc_id, [at] AS places, row_number() OVER (PARTITION BY line ORDER BY doc_id, at) AS nth FROM n WHERE long
+    ), g AS (
+        SELECT DISTINCT doc_id, unnest(places) AS at FROM r WHERE nth > 1
+    ), t AS (
+        SELECT l.doc_id, string_agg(raw, chr(10) ORDER BY l.at) FILTER (WHERE g.at IS NULL) AS text,
+               string_agg(l.at, ',' ORDER BY l.at) FILTER (WHERE g.at IS NOT NULL) AS removed, count(g.at) AS n_removed
+        FROM l LEFT JOIN g ON l.doc_id = g.doc_id AND l.at = g.at GROUP BY l.doc_id
+    )
+    SELECT doc_id, n_removed, coalesce(removed, '') AS removed, md5(coalesce(text, '')) AS text_md5 FROM t
+    """
+)
+def op9_line_dedup(table) -> DataFrame:
+    out = dedup_lines(table("documents"), min_lines=2, long_words=50, removed_col="_removed")
+    return out.select(
+        "doc_id",
+        F.size("_removed").cast("long").alias("n_removed"),
+        F.array_join(F.col("_removed").cast("array<string>"), ",").alias("removed"),
+        F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"),
+    )
+
+
 @query()
 def op10_token_counts(table) -> DataFrame:
     import public_tokenizers
