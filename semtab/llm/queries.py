@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from semtab.llm.decontaminate import find_leaks
 from semtab.llm.language import held_out, identify_languages, learn_profiles
 from semtab.llm.line_dedup import dedup_lines
 from semtab.llm.mixing import mix_sources
@@ -43,6 +44,13 @@ def op1_language_id(table) -> DataFrame:
     return identify_languages(docs, profiles).withColumn("held_out", out)
 
 
+@query()
+def op4_decontaminate(table) -> DataFrame:
+    """One row per document and item it holds."""
+    leaks = find_leaks(table("documents"), table("benchmark"), shingle_words=5, similarity=0.8)
+    return leaks.select(F.col("_id").alias("doc_id"), F.col("_item").alias("item_id"), "similarity", "start_word")
+
+
 @query()
 def op5_mix_sources(table) -> DataFrame:
     plan = mix_sources(table("documents"))
@@ -88,23 +96,23 @@ def op8_url_filter(table) -> DataFrame:
 @query(
     """
     WITH l AS (
-        SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS at, unnest(string_split(text, chr(10))) AS raw FROM documents
+        SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS place, unnest(string_split(text, chr(10))) AS raw FROM documents
     ), c AS (
-        SELECT doc_id, at, trim(raw, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS line FROM l WHERE regexp_matches(raw, '[^\\x20\\x09-\\x0D]')
+        SELECT doc_id, place, trim(raw, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS line FROM l WHERE regexp_matches(raw, '[^\\x20\\x09-\\x0D]')
     ), n AS (
-        SELECT doc_id, at, line, lead(line) OVER d AS line2, lead(at) OVER d AS at2,
+        SELECT doc_id, place, line, lead(line) OVER d AS line2, lead(place) OVER d AS place2,
                len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) >= 50 AS long
-        FROM c WINDOW d AS (PARTITION BY doc_id ORDER BY at)
+        FROM c WINDOW d AS (PARTITION BY doc_id ORDER BY place)
     ), r AS (
-        SELECT doc_id, [at, at2] AS places, row_number() OVER (PARTITION BY line, line2 ORDER BY doc_id, at) AS nth FROM n WHERE line2 IS NOT NULL
+        SELECT doc_id, [place, place2] AS places, row_number() OVER (PARTITION BY line, line2 ORDER BY doc_id, place) AS nth FROM n WHERE line2 IS NOT NULL
         UNION ALL
-        SELECT doc_id, [at] AS places, row_number() OVER (PARTITION BY line ORDER BY doc_id, at) AS nth FROM n WHERE long
+        SELECT doc_id, [place] AS places, row_number() OVER (PARTITION BY line ORDER BY doc_id, place) AS nth FROM n WHERE long
     ), g AS (
-        SELECT DISTINCT doc_id, unnest(places) AS at FROM r WHERE nth > 1
+        SELECT DISTINCT doc_id, unnest(places) AS place FROM r WHERE nth > 1
     ), t AS (
-        SELECT l.doc_id, string_agg(raw, chr(10) ORDER BY l.at) FILTER (WHERE g.at IS NULL) AS text,
-               string_agg(l.at, ',' ORDER BY l.at) FILTER (WHERE g.at IS NOT NULL) AS removed, count(g.at) AS n_removed
-        FROM l LEFT JOIN g ON l.doc_id = g.doc_id AND l.at = g.at GROUP BY l.doc_id
+        SELECT l.doc_id, string_agg(raw, chr(10) ORDER BY l.place) FILTER (WHERE g.place IS NULL) AS text,
+               string_agg(l.place, ',' ORDER BY l.place) FILTER (WHERE g.place IS NOT NULL) AS removed, count(g.place) AS n_removed
+        FROM l LEFT JOIN g ON l.doc_id = g.doc_id AND l.place = g.place GROUP BY l.doc_id
     )
     SELECT doc_id, n_removed, coalesce(removed, '') AS removed, md5(coalesce(text, '')) AS text_md5 FROM t
     """
