@@ -12,8 +12,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from semtab.llm.common import keyed, mark_of, whole_text
+from semtab.llm.common import keyed, whole_text
 from semtab.runtime import col, require_columns
 
 #: Bytes of text that are hashed at once, and what a longer text is cut into.
@@ -277,18 +278,16 @@ def find_leaks(
     shingle. Items without words match nothing; equal items are each reported. A missing
     or empty text has no windows. Rows with the same id and text may give a row each.
     """
-    require_columns(benchmark, [item_id_col, item_text_col])
     plain = keyed(docs, id_col, text_col)
-    items = benchmark.select(col(item_id_col).alias("_item"), whole_text(item_text_col).alias("_text"))
-    item_type = items.schema["_item"].dataType
-    schema = T.StructType([*plain.schema.fields[:2], T.StructField("_item", item_type), T.StructField("similarity", T.DoubleType()), T.StructField("start_word", T.LongType())])
-    total = items.count()
-    passes = max(1, -(-total // items_per_pass))
-
-    def search(texts: list[str], ids: list) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known = Items(texts, shingle_words, radius, similarity).build()
-            names = pa.array(ids, out_types[2])
+    items, passes = _passes(benchmark, items_per_pass, item_id_col, item_text_col)
+    schema = T.StructType([*plain.schema.fields[:2], items.schema["_item"], T.StructField("similarity", T.DoubleType()), T.StructField("start_word", T.LongType())])
+    item_type = to_arrow_type(items.schema["_item"].dataType)
+    found = None
+    for rows in passes:
+        texts, ids = [r["_text"] for r in rows], [r["_item"] for r in rows]
+
+        def run(batches: Iterator[pa.RecordBatch], texts=texts, ids=ids) -> Iterator[pa.RecordBatch]:
+            known, names = Items(texts, shingle_words, radius, similarity).build(), pa.array(ids, item_type)
             for batch in batches:
                 doc, item, close, start = [], [], [], []
                 for n, best in known.scan(batch.column(2).to_pylist()):
@@ -300,26 +299,48 @@ def find_leaks(
                 if doc:
                     at = pa.array(doc, pa.int64())
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(at), batch.column(1).take(at), names.take(pa.array(item, pa.int64())), pa.array(close), pa.array(start, pa.int64())], names=schema.names
+                        [batch.column(0).take(at), batch.column(1).take(at), names.take(pa.array(item, pa.int64())), pa.array(close), pa.array(start, pa.int64())],
+                        names=["_id", "_mark", "_item", "similarity", "start_word"],
                     )
 
-        return plain.mapInArrow(run, schema)
-
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    out_types = [to_arrow_type(f.dataType) for f in schema.fields]
-    found = None
-    for n in range(passes):
-        part = items if passes == 1 else items.where(F.pmod(F.xxhash64("_item", "_text"), F.lit(passes)) == n)
-        rows = sorted(part.collect(), key=lambda r: (r["_item"] is None, r["_item"]))
-        one = search([r["_text"] for r in rows], [r["_item"] for r in rows])
+        one = plain.mapInArrow(run, schema)
         found = one if found is None else found.unionByName(one)
     return found
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` in which :func:`find_leaks` finds no item, all columns kept."""
-    leaks = find_leaks(docs, benchmark, id_col=id_col, text_col=text_col, **options)
-    leaks = leaks.select(F.col("_id").alias("_leak_id"), F.col("_mark").alias("_leak_mark")).distinct()
-    ident = docs["`" + id_col.replace("`", "``") + "`"]
-    return docs.join(leaks, ident.eqNullSafe(F.col("_leak_id")) & (mark_of(docs, text_col) == F.col("_leak_mark")), "left_anti")
+def _passes(benchmark: DataFrame, items_per_pass: int, id_col: str, text_col: str) -> tuple[DataFrame, Iterator[list]]:
+    """The items as ``_item _text``, and their rows in groups of about ``items_per_pass``."""
+    require_columns(benchmark, [id_col, text_col])
+    items = benchmark.select(col(id_col).alias("_item"), whole_text(text_col).alias("_text"))
+    n = max(1, -(-items.count() // items_per_pass))
+    parts = (items if n == 1 else items.where(F.pmod(F.xxhash64("_item", "_text"), F.lit(n)) == k) for k in range(n))
+    return items, (sorted(p.collect(), key=lambda r: (r["_item"] is None, r["_item"])) for p in parts)
+
+
+def drop_leaks(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    shingle_words: int = 5,
+    similarity: float = 0.8,
+    radius: int = 15,
+    items_per_pass: int = 20_000,
+    text_col: str = "text",
+    item_id_col: str = "item_id",
+    item_text_col: str = "text",
+) -> DataFrame:
+    """The rows of ``docs`` in which :func:`find_leaks` finds no item, all columns kept; the filter runs where the rows are."""
+    require_columns(docs, [text_col])
+    at, schema = docs.columns.index(text_col), docs.schema
+    for rows in _passes(benchmark, items_per_pass, item_id_col, item_text_col)[1]:
+        texts = [r["_text"] for r in rows]
+
+        def run(batches: Iterator[pa.RecordBatch], texts=texts) -> Iterator[pa.RecordBatch]:
+            known = Items(texts, shingle_words, radius, similarity).build()
+            for batch in batches:
+                clean = [True] * len(batch)
+                for n, _ in known.scan([t.as_py() or "" for t in batch.column(at)]):
+                    clean[n] = False
+                yield batch.filter(pa.array(clean, pa.bool_()))
+
+        docs = docs.mapInArrow(run, schema)
+    return docs

@@ -11,6 +11,7 @@ from semtab.llm.decontaminate import find_leaks
 from semtab.llm.language import held_out, identify_languages, learn_profiles
 from semtab.llm.line_dedup import dedup_lines
 from semtab.llm.mixing import mix_sources
+from semtab.llm.quality import learn_quality, score_quality
 from semtab.llm.simhash import simhash_components
 from semtab.llm.tokens import count_tokens
 from semtab.llm.urls import filter_urls, rule_table
@@ -44,6 +45,14 @@ def op1_language_id(table) -> DataFrame:
     return identify_languages(docs, profiles).withColumn("held_out", out)
 
 
+@query()
+def op3_quality(table) -> DataFrame:
+    docs = table("documents")
+    out = held_out("doc_id", 2, 4)
+    chain = learn_quality(docs, table("labels"), ~out)
+    return score_quality(docs, chain, limit=0.7).withColumn("held_out", out)
+
+
 @query()
 def op4_decontaminate(table) -> DataFrame:
     """One row per document and item it holds."""

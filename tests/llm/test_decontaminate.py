@@ -84,7 +84,7 @@ def test_odd_rows(spark, make, monkeypatch):
     assert got == sorted(want, key=repr)
     several = rows(find_leaks(make(docs), items, items_per_pass=2), "_id", "_item", "start_word")
     assert several == got
-    assert rows(drop_leaks(make(docs, extra=True), items), "doc_id", "_id") == [(1, 1), (2, 1)]
+    assert rows(drop_leaks(make(docs, extra=True), items, items_per_pass=4), "doc_id", "_id") == [(1, 1), (2, 1)]
     assert find_leaks(make([]), items).collect() == [] and find_leaks(make(docs), items.limit(0)).collect() == []
 
 
