@@ -12,6 +12,7 @@ from semtab.llm.language import held_out, identify_languages, learn_profiles
 from semtab.llm.line_dedup import dedup_lines
 from semtab.llm.mixing import mix_sources
 from semtab.llm.quality import learn_quality, score_quality
+from semtab.llm.rules import judge
 from semtab.llm.simhash import simhash_components
 from semtab.llm.tokens import count_tokens
 from semtab.llm.urls import filter_urls, rule_table
@@ -45,6 +46,37 @@ def op1_language_id(table) -> DataFrame:
     return identify_languages(docs, profiles).withColumn("held_out", out)
 
 
+@query(
+    """
+    WITH d AS (
+        SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w,
+               list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l
+        FROM documents
+    ), pos AS (
+        SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d
+    ), win AS (
+        SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS times FROM pos
+    ), covered AS (
+        SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM win WHERE times > 1) GROUP BY doc_id
+    ), f AS (
+        SELECT d.doc_id, len(w) AS n_words, length(list_aggregate(w, 'string_agg', '')) AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols,
+               len(l) - len(list_distinct(l)) AS n_dup_lines, len(l) AS n_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+               len(list_filter(w, x -> upper(x) = x AND lower(x) <> x)) AS shouted, len(list_distinct(w)) AS variety,
+               len(list_filter(w, x -> regexp_matches(x, '\\p{L}'))) AS letters
+        FROM d LEFT JOIN covered USING (doc_id)
+    ), b AS (
+        SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f
+    )
+    SELECT doc_id, n_words, coalesce(word_chars, 0) AS word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+           NOT (base_failed OR n_symbols * 10 > n_words OR n_dup_lines * 100 > n_lines * 40 OR word_chars < n_words * 2 OR word_chars > n_words * 15
+                OR shouted * 3 > n_words OR variety * 5 < n_words OR letters * 10 < n_words * 6) AS kept
+    FROM b
+    """
+)
+def op2_quality_rules(table) -> DataFrame:
+    return judge(table("documents"))
+
+
 @query()
 def op3_quality(table) -> DataFrame:
     docs = table("documents")
