@@ -11,6 +11,7 @@ from semtab.llm.decontaminate import find_leaks
 from semtab.llm.language import held_out, identify_languages, learn_profiles
 from semtab.llm.line_dedup import dedup_lines
 from semtab.llm.mixing import mix_sources
+from semtab.llm.pii import KINDS, find_personal_data, learn_trees, span_text
 from semtab.llm.quality import learn_quality, score_quality
 from semtab.llm.rules import judge
 from semtab.llm.simhash import simhash_components
@@ -101,6 +102,15 @@ def op5_mix_sources(table) -> DataFrame:
     )
 
 
+@query()
+def op6_personal_data(table) -> DataFrame:
+    docs = table("documents")
+    found = find_personal_data(docs, learn_trees(docs))
+    kinds = F.transform("base", lambda s: s["kind"])
+    counts = [(F.size("base") - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    return found.select(F.col("_id").alias("doc_id"), *counts, F.sha2(span_text(F.col("base")), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"))
+
+
 @query()
 def op7_simhash(table) -> DataFrame:
     return simhash_components(table("documents"), shingle_words=4, max_bits=4)
