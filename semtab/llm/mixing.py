@@ -14,6 +14,8 @@ from semtab.llm.common import WORD, mark_of
 from semtab.runtime import col, require_columns, split_join, stage
 
 _EPS = 1e-9
+#: Units of a source that are settled by the landing, besides the two the flight leaves.
+_LANDING = 12
 #: Sources up to which their table is broadcast: well below 10 MB.
 BROADCAST_SOURCES = 50_000
 
@@ -97,15 +99,18 @@ def flight(sizes: np.ndarray, counts: np.ndarray, chances: np.ndarray, key: str,
     """Cube method on one block: chances moved to 0 or 1 with balanced words and documents.
 
     Two units at most stay in between (those of equal words per document move on without
-    the other balance). With ``land`` these are rounded, all roundings being tried for the
-    least difference in words, then in documents.
+    the other balance). With ``land`` these are rounded together with a dozen units of all lengths that the flight
+    leaves out: of all roundings the one that comes nearest to the balances, words before documents. For
+    these few units nearness goes before their exact chance.
     """
     moved, draws = chances.astype(float), _draw(key)
     z, c = sizes.astype(float), counts.astype(float)
     goal = (float(moved @ z), float(moved @ c))
     _settle_heavy(moved, z, c, draws, heavy)
+    between = np.flatnonzero((moved > 0) & (moved < 1))
+    spared = set(between[np.unique(np.linspace(0, len(between) - 1, _LANDING).astype(int))].tolist()) if land and len(between) else set()
     p, z, c, open_ = moved.tolist(), z.tolist(), c.tolist(), []
-    waiting = iter(range(len(p)))
+    waiting = (k for k in range(len(p)) if k not in spared)
     while True:
         while len(open_) < 3 and (k := next(waiting, None)) is not None:
             if 0 < p[k] < 1:
@@ -126,15 +131,14 @@ def flight(sizes: np.ndarray, counts: np.ndarray, chances: np.ndarray, key: str,
             for k, v in zip(open_, _step([p[a], p[b]], [c[b], -c[a]], next(draws))):
                 p[k] = v
             open_ = [k for k in open_ if 0 < p[k] < 1]
-    if land and open_:
-        rest = [sum(p[k] * v[k] for k in range(len(p)) if k not in open_) for v in (z, c)]
-        trials = [[bits >> i & 1 for i in range(len(open_))] for bits in range(1 << len(open_))]
-
-        def off(bits: list[int]) -> tuple[float, float]:
-            return tuple(abs(g - r - sum(b * v[k] for b, k in zip(bits, open_))) for g, r, v in zip(goal, rest, (z, c)))
-
-        for k, bit in zip(open_, min(trials, key=off)):
-            p[k] = float(bit)
+    if land and (rest := sorted({*open_, *spared})):
+        out = np.array(p)
+        out[rest] = 0.0
+        trials = np.arange(1 << len(rest))[:, None] >> np.arange(len(rest)) & 1
+        off = [np.abs(g - out @ np.array(v) - trials @ np.array(v)[rest]) for g, v in zip(goal, (z, c))]
+        word = max(goal[0], 1.0) / max(goal[1], 1.0)
+        out[rest] = trials[int(np.argmin(off[0] / word + 0.05 * off[1]))]
+        return out
     return np.array(p)
 
 
@@ -234,6 +238,7 @@ def take_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     plan = plan.where("copies > 0").select(F.col("_id").alias("_mix_id"), F.col("_mark").alias("_mix_mark"), F.col("copies").alias("_mix_copies"))
     ident = docs["`" + id_col.replace("`", "``") + "`"]
     hit = ident.eqNullSafe(F.col("_mix_id")) & (mark_of(docs, text_col) == F.col("_mix_mark"))
-    joined = docs.join(plan, hit)
+    # never broadcast: the list grows with the documents
+    joined = docs.join(plan.hint("shuffle_hash"), hit)
     return joined.withColumn("_mix_nth", F.explode(F.sequence(F.lit(1), F.col("_mix_copies").cast("int")))).select(*[joined["`" + c.replace("`", "``") + "`"] for c in docs.columns])
 

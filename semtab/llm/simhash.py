@@ -203,7 +203,8 @@ def drop_near_copies(docs: DataFrame, shingle_words: int = 4, max_bits: int = 4,
     leads = groups.where((F.col("_lead.id").eqNullSafe(F.col("_id"))) & (F.col("_lead.mark") == F.col("_mark")))
     leads = stage(leads.groupBy(F.col("_id").alias("_lead_id"), F.col("_mark").alias("_lead_mark")).agg(F.count("*").alias("_lead_rows")), "simhash-kept")
     ident = docs["`" + id_col.replace("`", "``") + "`"]
-    kept = docs.join(leads, ident.eqNullSafe(F.col("_lead_id")) & (mark_of(docs, text_col) == F.col("_lead_mark")))
+    # never broadcast: the list grows with the documents
+    kept = docs.join(leads.hint("shuffle_hash"), ident.eqNullSafe(F.col("_lead_id")) & (mark_of(docs, text_col) == F.col("_lead_mark")))
     once = kept.where("_lead_rows = 1").select(*[col(c) for c in docs.columns])
     if leads.where("_lead_rows > 1").isEmpty():
         return once

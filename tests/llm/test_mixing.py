@@ -52,8 +52,9 @@ def test_flight_keeps_chances_and_balances():
         assert set(out) <= {0.0, 1.0}
         assert abs(out @ sizes - 0.4 * sizes.sum()) < 400 and abs(out.sum() - 80) <= 4
         taken += out
-    # the mean of 600 draws stays near the chance, the long document's too
-    assert abs(taken / 600 - 0.4).max() < 0.15
+    # the mean of 600 draws stays near the chance, the long document's too; not so for the few units kept for the landing
+    off = abs(taken / 600 - 0.4)
+    assert np.sort(off)[:-14].max() < 0.1 and off[5] < 0.1
 
 
 @pytest.mark.parametrize("bucket_rows", [16, 4096])

@@ -75,8 +75,10 @@ def test_mix_stage(outputs):
     for k, n in taken.items():
         assert n <= 3
         got[source[k]] += n * words_of(before[k])
+    longest = {s: max(words_of(t) for k, t in before.items() if source[k] == s) for s in sizes}
     for s, target in plain_targets(sizes).items():
-        assert abs(got[s] - target) <= 0.05 * target + 200
+        # these sources have ten documents or fewer: no mix comes nearer than part of one document
+        assert abs(got[s] - target) <= 0.05 * target + longest[s] / 2
     assert texts(outputs[5]) == {k: before[k] for k in taken}
 
 
