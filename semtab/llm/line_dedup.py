@@ -118,7 +118,8 @@ def dedup_lines(
     gone = stage(repeated_lines(docs, min_lines, long_words, id_col, text_col), "lines-removed")
     gone = gone.withColumnsRenamed({"_id": "_gone_id", "_mark": "_gone_mark", "_removed": "_gone_lines"})
     ident = docs["`" + id_col.replace("`", "``") + "`"]
-    joined = docs.join(gone, ident.eqNullSafe(F.col("_gone_id")) & (mark_of(docs, text_col) == F.col("_gone_mark")), "left")
+    # never broadcast: the list grows with the documents
+    joined = docs.join(gone.hint("shuffle_hash"), ident.eqNullSafe(F.col("_gone_id")) & (mark_of(docs, text_col) == F.col("_gone_mark")), "left")
     # the list is bound once per row: lambdas would split the text again for each line
     cut = F.split(col(text_col), "\n", -1)
     rest = F.transform(
