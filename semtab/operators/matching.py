@@ -22,7 +22,7 @@ from semtab.models.answering import call_in_batches, says_true, slots, why, with
 from semtab.models.base import AnswerModel, Embedder
 from semtab.models.prompts import PromptSpec, shots_from
 from semtab.operators import vectors as V
-from semtab.operators.cascade import Thresholds, draw_sample, learn_thresholds
+from semtab.operators.cascade import Thresholds, draw_chance, learn_thresholds
 from semtab.operators.ranking import refuse_numeric
 from semtab.operators.semantic import sem_map
 from semtab.runtime import col, key_hash, missing, pick, require_columns, stage, tasks_for
@@ -33,7 +33,11 @@ BLOCK_VALUES = 1024
 
 @dataclass(frozen=True)
 class JoinCascade:
-    """Targets under which similarity may settle pairs instead of the model."""
+    """Targets under which similarity may settle pairs instead of the model.
+
+    Thresholds are learnt from a share ``sample`` of all pairs, about ``max_labelled`` at most. Below
+    ``min_pairs`` pairs the model judges all of them.
+    """
 
     embedder: Embedder
     recall_target: float | None = None
@@ -42,31 +46,27 @@ class JoinCascade:
     failure_probability: float = 0.2
     map_instruction: str | None = None
     map_examples: object = None
-    min_pairs: int = 100
+    min_pairs: int = 0
     seed: int = 42
+    max_labelled: int = 250
 
 
 def sides(claim: str, left: DataFrame, right: DataFrame) -> tuple[str, str, str, str]:
     """Hole and column of each side: ``{c:left} {c:right}``, or by name where only one side has it."""
-    lh = rh = None
-    for hole in distinct_holes(claim):
-        if ":left" in hole:
-            lh = hole
-        elif ":right" in hole:
-            rh = hole
-    for hole in distinct_holes(claim):
-        on_left, on_right = hole in left.columns, hole in right.columns
-        if on_left and on_right:
-            raise ValueError(f"column {hole!r} is on both sides; mark it with :left or :right")
-        lh = hole if lh is None and on_left else lh
-        rh = hole if rh is None and on_right else rh
-    if lh is None or rh is None:
-        raise ValueError("the claim needs one column of each side")
-    return lh, lh.split(":left")[0], rh, rh.split(":right")[0]
+    holes, found = distinct_holes(claim), []
+    shared = [h for h in holes if h in left.columns and h in right.columns]
+    if shared:
+        raise ValueError(f"column {shared[0]!r} is on both sides; mark it with :left or :right")
+    for mark, names in ((":left", left.columns), (":right", right.columns)):
+        fitting = [h for h in holes if mark in h][-1:] or [h for h in holes if h in names]
+        if not fitting:
+            raise ValueError("the claim needs one column of each side")
+        found += [fitting[0], fitting[0].split(mark)[0]]
+    return tuple(found)
 
 
 def _values(df: DataFrame, name: str, out: str) -> DataFrame:
-    return df.where(~missing(df, name)).select(col(name).alias(out)).distinct()
+    return df.where(~missing(df, name)).select(col(name).cast("string").alias(out)).distinct()
 
 
 def _lines(label: str, values: list[str]) -> list[str]:
@@ -131,6 +131,12 @@ def _size(values: DataFrame, name: str) -> tuple[int, int]:
     return row["n"], row["b"] or 0
 
 
+def _text_hash(name: str) -> list:
+    """As ``key_hash`` of the value as text, which is what pairs hold whatever the type of the column."""
+    text = col(name).cast("string")
+    return [F.xxhash64(F.lit(seed), text.isNull(), text) for seed in (1, 2)]
+
+
 def bring_back(left: DataFrame, right: DataFrame, pairs: DataFrame, lc: str, rc: str, extra: dict[str, str]) -> DataFrame:
     """Rows of both sides for accepted value pairs; clashing columns become ``c:left`` and ``c:right``."""
     clash = set(left.columns) & set(right.columns)
@@ -142,10 +148,10 @@ def bring_back(left: DataFrame, right: DataFrame, pairs: DataFrame, lc: str, rc:
         ),
         "pairs",
     )
-    l1, l2 = key_hash(left, [lc])
+    l1, l2 = _text_hash(lc)
     r = right.select(
         *[pick(right, c).alias(f"_r{i}") for i, c in enumerate(right.columns)],
-        *[h.alias(f"_s{i}") for i, h in enumerate(key_hash(right, [rc]))],
+        *[h.alias(f"_s{i}") for i, h in enumerate(_text_hash(rc))],
     )
     joined = left.join(hashed, (l1 == F.col("_p0")) & (l2 == F.col("_p1"))).join(
         r, (F.col("_p2") == F.col("_s0")) & (F.col("_p3") == F.col("_s1")))
@@ -203,7 +209,7 @@ def sem_join(
         total = sizes[0][0] * sizes[1][0]
         targets = cascade is not None and (cascade.recall_target is not None or cascade.precision_target is not None)
         if targets and total >= cascade.min_pairs:
-            pairs, report = _cascade(lv, rv, total, judge, cascade, lc, rc, max_calls)
+            pairs, report = _cascade(lv, rv, sizes[0][0], total, judge, cascade, lc, rc, max_calls)
         else:
             if max_calls is not None and total > max_calls:
                 raise ValueError(f"the join needs {total} calls, more than max_calls={max_calls}")
@@ -217,7 +223,7 @@ def _judge_candidates(candidates, spec, model, labels, on_error, default) -> Dat
     from semtab.functions.claims import answer_of, bool_of, explanation_of, pair_text
 
     a, b = candidates.columns[:2]
-    known = candidates.select(col(a).alias("_l"), col(b).alias("_r")).where(
+    known = candidates.select(col(a).cast("string").alias("_l"), col(b).cast("string").alias("_r")).where(
         "_l IS NOT NULL AND _r IS NOT NULL").distinct()
     text = pair_text(row_text(known, ["_l"], [labels[0]]), row_text(known, ["_r"], [labels[1]]))
     asked = with_replies(known, text, model, spec)
@@ -235,7 +241,9 @@ def _clipped(s: np.ndarray) -> np.ndarray:
 
 
 _SUMS = T.StructType([T.StructField(n, T.DoubleType()) for n in ("_n", "_root")])
-_BANDS = T.StructType([T.StructField(n, T.LongType()) for n in ("_high", "_low", "_middle")])
+_BANDS = T.StructType([T.StructField(n, T.LongType()) for n in ("_high", "_middle")])
+_DRAWN = T.StructType(
+    [T.StructField(n, T.StringType()) for n in ("_l", "_r")] + [T.StructField(n, T.DoubleType()) for n in ("_s", "_chance")])
 
 
 def _similar(values: DataFrame, text: str, name: str, embedder: Embedder, out: str) -> DataFrame:
@@ -246,47 +254,68 @@ def _similar(values: DataFrame, text: str, name: str, embedder: Embedder, out: s
     return stage(coded.select(name, out), "vectors")
 
 
-def _learn(l: DataFrame, r: DataFrame, size: tuple, total: int, judge: _PairJudge, c: JoinCascade) -> tuple[Thresholds, int]:
-    """Thresholds from a judged sample of pairs, weighted by their similarity."""
+def _noise(lk: np.ndarray, rk: np.ndarray, seed: int) -> np.ndarray:
+    """A number from 0 to 1 for every pair that depends on its two values and the seed only."""
+    a, b = (pd.util.hash_array(np.asarray(k, object), categorize=False) for k in (lk, rk))
+    x = (a * np.uint64(0x9E3779B97F4A7C15))[:, None] ^ (b + np.uint64(seed))[None, :]
+    for shift, odd in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(odd)
+    return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)) / float(1 << 53)
+
+
+def _learn(l: DataFrame, r: DataFrame, size: tuple, nl: int, total: int, judge: _PairJudge, c: JoinCascade) -> tuple[Thresholds, int]:
+    """Thresholds from a judged sample: up to ``max_labelled`` left values by hash, of each its pairs weighted by similarity.
+
+    With as many left values as labels, the labels spread over left values, and only their rows of the
+    pair matrix are computed. The first step gives all left values one chance, so weights need the second only.
+    """
+    some = min(nl, c.max_labelled)
+    few = stage(l.orderBy(F.xxhash64(F.lit(c.seed), "_lk"), "_lk").limit(some), "sampled")
+    pairs, wanted = some * size[0], min(float(c.max_labelled), c.sample * total)
+
     def sums(lk, left, rk, right):
         s = _clipped(V.inner_products(left, right))
         return pd.DataFrame({"_n": [float(s.size)], "_root": [float(np.sqrt(s).sum())]})
 
-    root = V.every_block(l, r, sums, _SUMS, measured=size).agg(F.sum("_root")).first()[0] or 0.0
-    few = l.orderBy("_lk").limit(tasks_for(250, max(1, size[0])))
-    near = V.nearest(few, r, 250, V.hits_schema(T.StringType(), T.StringType()), measured=size)
-    first = near.orderBy("_lk", F.desc("_score"), "_rk").limit(250).collect()
-    scores = _clipped(np.array([row["_score"] for row in first]))
-    draws, correction = draw_sample(scores, total, root, c.sample, c.seed)
-    drawn = np.flatnonzero(draws)
-    rows = [(first[i]["_lk"], first[i]["_rk"]) for i in drawn]
-    try:
-        spark = l.sparkSession
-        asked = spark.createDataFrame(rows, "_l string, _r string")
-        held = _judge_candidates(asked, judge.spec, judge.model, judge.labels, judge.on_error, judge.default)
-        true = {(x["_l"], x["_r"]) for x in held.collect()}
-        learnt = learn_thresholds(
-            scores[drawn], np.array([p in true for p in rows]), correction[drawn], draws[drawn],
-            1.0 if c.recall_target is None else c.recall_target,
-            1.0 if c.precision_target is None else c.precision_target, c.failure_probability / 2,
-        )
-    except Exception:  # a sample that cannot be judged leaves every pair to the model
-        learnt = Thresholds(1.0, 0.0)
-    return learnt, len(drawn)
-
-
-def _bands(l: DataFrame, r: DataFrame, size: tuple, t: Thresholds) -> tuple[int, int, int]:
+    root = V.every_block(few, r, sums, _SUMS, measured=size).agg(F.sum("_root")).first()[0] or 0.0
+
+    def draw(lk, left, rk, right):
+        s = _clipped(V.inner_products(left, right))
+        chance = np.minimum(draw_chance(np.sqrt(s), pairs, root, wanted), 1.0)
+        li, ri = np.nonzero(_noise(lk, rk, c.seed) < chance)
+        return pd.DataFrame({"_l": lk[li], "_r": rk[ri], "_s": s[li, ri], "_chance": chance[li, ri]})
+
+    drawn = stage(V.every_block(few, r, draw, _DRAWN, measured=size), "labelled")
+    held = _judge_candidates(drawn.select("_l", "_r"), judge.spec, judge.model, judge.labels, judge.on_error, judge.default)
+    true = {(x["_l"], x["_r"]) for x in held.select("_l", "_r").collect()}
+    rows = drawn.orderBy("_l", "_r").collect()
+    learnt = learn_thresholds(
+        np.array([x["_s"] for x in rows]), np.array([(x["_l"], x["_r"]) in true for x in rows], bool),
+        1.0 / np.array([x["_chance"] for x in rows]),
+        1.0 if c.recall_target is None else c.recall_target,
+        1.0 if c.precision_target is None else c.precision_target, c.failure_probability / 2,
+    )
+    return learnt, len(rows)
+
+
+def _floor(t: Thresholds) -> float:
+    """Pairs below can only be rejected; clipped scores say nothing of products below zero."""
+    return t.negative - 1e-9 if t.negative >= 0 else -1e9
+
+
+def _bands(l: DataFrame, r: DataFrame, size: tuple, total: int, t: Thresholds) -> tuple[int, int, int]:
+    """How many pairs are accepted, rejected and open; only those that are not rejected are visited."""
     def count(lk, left, rk, right):
         s = _clipped(V.inner_products(left, right))
-        high, low = s >= t.positive, (s <= t.negative) & (s < t.positive)
-        return pd.DataFrame({"_high": [int(high.sum())], "_low": [int(low.sum())],
-                             "_middle": [int((~high & ~low).sum())]})
+        high = s >= t.positive
+        return pd.DataFrame({"_high": [int(high.sum())], "_middle": [int((~high & (s > t.negative)).sum())]})
 
-    row = V.every_block(l, r, count, _BANDS, measured=size).agg(*[F.sum(f.name).alias(f.name) for f in _BANDS]).first()
-    return row["_high"] or 0, row["_low"] or 0, row["_middle"] or 0
+    row = V.pairs_above(l, r, _floor(t), count, _BANDS, measured=size).agg(*[F.sum(f.name).alias(f.name) for f in _BANDS]).first()
+    high, middle = row["_high"] or 0, row["_middle"] or 0
+    return high, total - high - middle, middle
 
 
-def _cascade(lv, rv, total, judge: _PairJudge, c: JoinCascade, lc: str, rc: str, max_calls) -> tuple[DataFrame, dict]:
+def _cascade(lv, rv, nl, total, judge: _PairJudge, c: JoinCascade, lc: str, rc: str, max_calls) -> tuple[DataFrame, dict]:
     """Two plans, similarity of the values or of values mapped first; the one with fewer open pairs runs."""
     r = _similar(rv, "_r", "_r", c.embedder, "_vec").select(F.col("_r").alias("_rk"), F.col("_vec").alias("_rv"))
     plain = _similar(lv, "_l", "_l", c.embedder, "_vec").select(F.col("_l").alias("_lk"), F.col("_vec").alias("_lv"))
@@ -301,8 +330,8 @@ def _cascade(lv, rv, total, judge: _PairJudge, c: JoinCascade, lc: str, rc: str,
     size = V.measure(r, "_rv")
     plans = []
     for name, l in (("search", plain), ("map-search", as_right)):
-        learnt, asked = _learn(l, r, size, total, judge, c)
-        plans.append((name, l, learnt, asked, _bands(l, r, size, learnt)))
+        learnt, asked = _learn(l, r, size, nl, total, judge, c)
+        plans.append((name, l, learnt, asked, _bands(l, r, size, total, learnt)))
     chosen = plans[0] if plans[0][4][2] < plans[1][4][2] else plans[1]
     name, l, t, _, (high, low, middle) = chosen
     learning = plans[0][3] + plans[1][3] + as_right.count()
@@ -318,7 +347,7 @@ def _cascade(lv, rv, total, judge: _PairJudge, c: JoinCascade, lc: str, rc: str,
         asked = judge([lk[i] for i in rows], list(rk), open_pairs[rows])
         return pd.concat([sure, asked]) if len(asked) else sure
 
-    pairs = V.pairs_above(l, r, min(t.negative, t.positive) - 1e-9, settle, PAIRS, measured=size)
+    pairs = V.pairs_above(l, r, _floor(t), settle, PAIRS, measured=size)
     report = {
         "plan": name,
         "pos_threshold": t.positive,

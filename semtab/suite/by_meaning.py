@@ -175,6 +175,26 @@ def join_cascade(t):
     return out.select("p_partkey", "p_name", "n_parts")
 
 
+@query("""SELECT o_orderkey, r_name, CAST(1992 + r_regionkey AS VARCHAR) AS label FROM orders
+          JOIN region ON substr(CAST(o_orderdate AS VARCHAR), 1, 4) = CAST(1992 + r_regionkey AS VARCHAR)""")
+def sem_join_dates(t):
+    """A column of dates against one of texts: values are judged and joined as text."""
+    days = t.orders.select("o_orderkey", F.col("o_orderdate").cast("date").alias("day"))
+    years = t.region.select("r_name", (F.col("r_regionkey") + 1992).cast("string").alias("label"))
+    rule = R.judge(lambda c: R.value(c)[:4] == R.value(c, 1))
+    return sem_join(days, years, "{day:left} lies in {label:right}", rule).select("o_orderkey", "r_name", "label")
+
+
+@query("""SELECT p_partkey, label FROM part JOIN (SELECT DISTINCT p_name AS label FROM part)
+          ON split_part(p_name, ' ', 1) = split_part(label, ' ', 1)""")
+def sem_join_grid(t):
+    """Both lists beyond the size that is broadcast: every pair of chunks is one task."""
+    right = t.part.select(F.col("p_name").alias("label")).distinct()
+    rule = R.judge(lambda c: R.value(c).split()[0] == R.value(c, 1).split()[0])
+    out = sem_join(t.part, right, "{p_name:left} begins as {label:right}", rule, broadcast_bytes=0, block_values=16)
+    return out.select("p_partkey", "label")
+
+
 # --- ranking ---------------------------------------------------------------
 
 _TOP = "SELECT p_partkey, p_name FROM part ORDER BY p_name, p_partkey LIMIT 40"
@@ -290,11 +310,13 @@ def pair_text(t):
     return t.part.select("p_partkey", text.alias("text"))
 
 
-@query("""SELECT doc_id, n_chars % 2 = 0 AS verdict, regexp_replace(text, '^\\n+|\\n+$', '', 'g') AS why,
-                 CASE WHEN n_chars % 2 = 0 THEN ' True' ELSE ' False' END AS answer FROM documents
-          WHERE strpos(text, 'Answer:') = 0""")
+@query("""WITH r AS (SELECT doc_id, text || chr(10) || chr(10) || 'Answer: ' || CASE WHEN n_chars % 2 = 0 THEN 'True' ELSE 'False' END AS said
+                     FROM documents),
+               a AS (SELECT doc_id, substr(said, strpos(said, 'Answer:') + 7) AS answer,
+                            regexp_replace(substr(said, 1, strpos(said, 'Answer:') - 1), '^\\n+|\\n+$', '', 'g') AS why FROM r)
+          SELECT doc_id, contains(answer, 'True') AS verdict, why, answer FROM a""")
 def parse_cot(t):
-    docs = t.documents.where(~F.col("text").contains("Answer:"))
+    docs = t.documents
     reply = F.concat(F.lit("Reasoning:\n"), "text", F.lit("\n\nAnswer: "), F.when(F.col("n_chars") % 2 == 0, "True").otherwise("False"))
     replies = docs.select("doc_id", reply.alias("r"))
     return replies.select("doc_id", C.bool_of(C.answer_of(F.col("r"))).alias("verdict"),

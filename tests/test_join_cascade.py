@@ -79,7 +79,7 @@ def test_join_cascade_equals_plain_where_similarity_is_right(spark, targets):
     assert sorted(tuple(r) for r in out.select("id", "rid").collect()) == sorted((i, i % 30) for i in range(90))
     assert stats["join_resolved_by_helper_model"] + stats["join_resolved_by_large_model"] == 900
     small = sem_join(left.limit(2), right.limit(2), "{v:left} is {w:right}", model,
-                     cascade=JoinCascade(HashEmbedder(4096), **targets), stats=True)[1]
+                     cascade=JoinCascade(HashEmbedder(4096), min_pairs=100, **targets), stats=True)[1]
     assert list(small) == ["total_LM_calls"]  # below the size from which a cascade pays
 
 
@@ -131,24 +131,85 @@ def test_calibrate_matches_numpy(spark, in_memory):
     assert all(abs(got[v] - w) < 1e-12 for v, w in zip(values, want))
 
 
-def test_sample_counts_draws():
-    scores = np.linspace(0, 1, 250)
-    draws, correction = C.draw_sample(scores, 10**12, 5e11, 0.1, 1)
-    assert draws.sum() == 10**11 and (correction > 0).all()
-    assert draws[-1] > draws[0]
+def test_sample_is_drawn_from_all_rows(spark):
+    df = spark.range(20_000).select("id", (F.col("id") % 100 / 100).alias("s"))
+    root = df.agg(F.sum(F.sqrt("s"))).first()[0]
+    drawn = C.draw_sample(df, "s", ["id"], 20_000, root, 2_000, 1)
+    got = drawn.toPandas()
+    assert abs(len(got) - 2_000) < 200 and rows(drawn, "id") == rows(C.draw_sample(df, "s", ["id"], 20_000, root, 2_000, 1), "id")
+    assert (got.id < 10_000).mean() == pytest.approx(0.5, abs=0.05) and got._chance.max() > 1.5 * got._chance.min()
+    assert (1 / got._chance).sum() == pytest.approx(20_000, rel=0.1)
+    assert C.draw_sample(df, "s", ["id"], 20_000, root, 1e9, 1).count() == 20_000
 
 
 def test_thresholds_with_a_perfect_score():
-    scores = np.linspace(0, 1, 101)
+    scores = np.linspace(0, 1, 401)
     truth = scores > 0.5
-    t = C.learn_thresholds(scores, truth, np.ones(101), np.ones(101), 0.9, 0.9, 0.1)
-    assert t.negative <= 0.56 and t.positive <= 1.0
-    # draws counted are the same as draws listed
-    times = np.arange(101) % 3 + 1
-    listed = np.repeat(np.arange(101), times)
-    a = C.learn_thresholds(scores, truth, np.ones(101), times, 0.8, 0.7, 0.2)
-    b = C.learn_thresholds(scores[listed], truth[listed], np.ones(len(listed)), np.ones(len(listed)), 0.8, 0.7, 0.2)
-    assert a == b
+    t = C.learn_thresholds(scores, truth, np.ones(401), 0.9, 0.9, 0.1)
+    assert 0.3 < t.negative <= 0.56 and 0.45 < t.positive < 1.0
+    assert C.learn_thresholds(scores, truth, np.full(401, 7.0), 0.9, 0.9, 0.1) == t
+    again = np.random.default_rng(2).permutation(401)
+    assert C.learn_thresholds(scores[again], truth[again], np.ones(401), 0.9, 0.9, 0.1) == t
+    # all true rows are kept for full recall, and nothing is certain with full precision
+    full = C.learn_thresholds(scores, truth, np.ones(401), 1.0, 1.0, 0.1)
+    assert full.positive == 1.0 and full.negative == pytest.approx(0.5)
+
+
+def test_thresholds_without_evidence():
+    assert C.learn_thresholds([], [], [], 0.9, 0.9, 0.1) == (1.0, -1.0)
+    assert C.learn_thresholds([0.2, 0.9], [False, False], [1, 1], 0.9, 0.9, 0.1) == (1.0, -1.0)
+    # a single true row proves no precision; true rows at zero forbid to reject it
+    assert C.learn_thresholds([0.9], [True], [1], 0.9, 0.9, 0.1).positive == 1.0
+    assert C.learn_thresholds([0.0, 0.9], [True, True], [1, 1], 1.0, 0.9, 0.1).negative == -1.0
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_thresholds_keep_their_promise(seed):
+    draw = np.random.default_rng(seed)
+    scores = draw.beta(0.5, 1.5, 20_000)
+    truth = draw.random(20_000) < scores
+    chance = np.minimum(C.draw_chance(np.sqrt(scores), 20_000, np.sqrt(scores).sum(), 500), 1)
+    some = draw.random(20_000) < chance
+    t = C.learn_thresholds(scores[some], truth[some], 1 / chance[some], 0.9, 0.8, 0.1)
+    assert truth[scores > t.negative].sum() / truth.sum() >= 0.9
+    assert t.positive == 1.0 or truth[scores >= t.positive].mean() >= 0.8
+
+
+def test_join_cascade_samples_many_left_values(spark):
+    """True pairs of late left values look unlike those of early ones; both must be met."""
+    left = spark.createDataFrame([(i, f"a{i:02d} plain" if i < 20 else f"z{i:02d}") for i in range(40)], "id long, v string")
+    right = spark.createDataFrame([(i, f"a{i:02d} plain" if i < 20 else f"other {i}") for i in range(60)], "rid long, w string")
+
+    def rule(spec, c):
+        if spec.task == "map":
+            return R.value(c)
+        a, b = R.value(c), R.value(c, 1)
+        return str(a == b or (a[0] == "z" and int(b[-2:]) % 20 == int(a[1:]) % 20 if b[0] == "o" else False))
+
+    model = RuleModel(rule)
+    out, stats = sem_join(left, right, "{v:left} fits {w:right}", model, stats=True,
+                          cascade=JoinCascade(HashEmbedder(512), recall_target=0.95, precision_target=0.9, sample=1.0, max_labelled=600))
+    got = {(r["id"], r["rid"]) for r in out.collect()}
+    want = {(i, i) for i in range(20)} | {(i, j) for i in range(20, 40) for j in range(20, 60) if j % 20 == i % 20}
+    assert len(got & want) >= 0.95 * len(want) and len(got & want) >= 0.9 * len(got)
+
+
+def test_join_cascade_reports_unreadable_samples(spark):
+    df = spark.createDataFrame([(i, f"thing {i}") for i in range(20)], "id long, v string")
+    other = df.select(F.col("id").alias("rid"), F.col("v").alias("w"))
+    bad = RuleModel(lambda s, c: R.value(c) if s.task == "map" else "who knows")
+    with pytest.raises(Exception, match="cannot read"):
+        sem_join(df, other, "{v:left} is {w:right}", bad, cascade=JoinCascade(HashEmbedder(64), recall_target=0.9, sample=1.0))
+
+
+def test_join_of_dates_and_booleans(spark):
+    days = spark.sql("SELECT id, date_add(DATE'2020-01-01', CAST(id AS INT)) AS day, id % 2 = 0 AS even FROM range(6)")
+    words = spark.createDataFrame([(1, "2020-01-02"), (2, "true"), (3, None)], "rid long, w string")
+    same = R.judge(lambda c: R.value(c) == R.value(c, 1))
+    assert [(r["id"], r["rid"]) for r in sem_join(days, words, "{day:left} is {w:right}", same).collect()] == [(1, 1)]
+    assert {(r["id"], r["rid"]) for r in sem_join(words, days, "{w:left} is {even:right}", same).collect()} == {(0, 2), (2, 2), (4, 2)}
+    known = days.select("day", F.lit("2020-01-02"))
+    assert sem_join(days, words, "{day:left} is {w:right}", same, candidates=known).count() == 1
 
 
 # --- clusters --------------------------------------------------------------
