@@ -345,11 +345,12 @@ def hits_column(vector: Column, right: DataFrame, k: int, key_type: T.DataType)
             return pa.array([[] for _ in range(len(vectors))], pa.list_(shape))
         m = arrow_matrix(vectors)
         parts = [kernel(np.arange(at, min(at + step, len(m))), m[at : at + step], rk, r) for at in range(0, len(m), step)]
-        hits = pd.concat(parts)
-        each = len(hits) // len(m)
+        hits = pd.concat(parts).sort_values("_lk", kind="stable")
+        # a vector with a missing number has no hits, so rows differ in their number
+        ends = np.concatenate([[0], np.bincount(hits["_lk"].to_numpy(np.int64), minlength=len(m)).cumsum()])
         values = pa.StructArray.from_arrays(
             [pa.array(hits["_rk"].to_numpy(), arrow_key), pa.array(hits["_score"].to_numpy())], ["_rk", "_score"])
-        return pa.ListArray.from_arrays(pa.array(np.arange(0, len(hits) + 1, each), pa.int32()), values)
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
 
     run.__annotations__ = {"vectors": pa.Array, "return": pa.Array}
     shape = T.StructType([T.StructField("_rk", key_type), T.StructField("_score", T.DoubleType())])

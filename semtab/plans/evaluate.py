@@ -115,9 +115,15 @@ def bucket_averages(detail: DataFrame, case_id: str = "case_id") -> DataFrame:
     )
 
 
+def _known_bucket(bucket: Column) -> Column:
+    """The bucket, or an error for cases that belong to none, which would be missing from every mean."""
+    told = F.concat(F.lit("a case belongs to no bucket: "), F.coalesce(bucket.cast("string"), F.lit("no id")))
+    return F.when(bucket.between(1, len(BUCKET_SIZES)), bucket).otherwise(F.raise_error(told).cast("int"))
+
+
 def bucket_macro_avg(detail: DataFrame, case_id: str = "case_id") -> DataFrame:
     """The mean of the seven bucket means; a bucket without cases counts as zero."""
-    per_bucket = bucket_averages(detail, case_id).where(F.col("bucket").between(1, len(BUCKET_SIZES)))
+    per_bucket = bucket_averages(detail, case_id).withColumn("bucket", _known_bucket(F.col("bucket"))).where("bucket IS NOT NULL")
     mean = lambda c, d=4: F.round(F.coalesce(F.sum(c), F.lit(0.0)) / len(BUCKET_SIZES), d).alias(c)
     return per_bucket.agg(mean("accuracy"), mean("precision"), mean("recall"), mean("op_count", 2), mean("success"))
 
@@ -126,8 +132,7 @@ def bucket_macro_avg_fixed(detail: DataFrame, case_id: str = "case_id") -> DataF
     """As :func:`bucket_macro_avg` where failed cases leave no row: bucket sizes are fixed, with a success rate."""
     size = F.element_at(F.array(*[F.lit(float(n)) for n in BUCKET_SIZES]), F.col("bucket"))
     per_bucket = (
-        detail.select(bucket_of(col(case_id)).alias("bucket"), col("answer_accuracy").alias("ok"))
-        .where(F.col("bucket").between(1, len(BUCKET_SIZES)))
+        detail.select(_known_bucket(bucket_of(col(case_id))).alias("bucket"), col("answer_accuracy").alias("ok"))
         .groupBy("bucket").agg(F.count_if("ok").alias("right"), F.count("*").alias("n"))
     )
     mean = lambda c: F.round(F.coalesce(F.sum(c), F.lit(0.0)) / len(BUCKET_SIZES), 4)

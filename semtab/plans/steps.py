@@ -60,7 +60,8 @@ class Run:
 
     @property
     def answer(self) -> DataFrame | None:
-        return self.results[-1] if self.results else None
+        """The last step's result; none where a step failed."""
+        return self.results[-1] if self.results and self.error is None else None
 
 
 def derived_name(table: str, op: str, taken: Mapping[str, object]) -> str:

@@ -159,14 +159,14 @@ def split_join(
 
     ``small`` must hold one row per key. Keys above ``hot_share`` of all rows
     number at most ``1 / hot_share`` by counting, so their part of ``small`` is
-    broadcast and their rows never move; all other keys are joined by shuffle.
+    broadcast and their rows never move; all other keys, and rows without one, are joined by shuffle.
     """
     counts = big.groupBy(col(key).alias("_hk")).agg(F.count("*").alias("_n"))
     total = counts.agg(F.sum("_n")).first()[0] or 0
-    hot = [r[0] for r in counts.where(F.col("_n") > max(hot_share * total, 10_000)).select("_hk").collect()]
+    hot = [r[0] for r in counts.where(F.col("_hk").isNotNull() & (F.col("_n") > max(hot_share * total, 10_000))).select("_hk").collect()]
     if not hot:
         return big.join(small, key, how)
-    is_hot = col(key).isin(hot)
+    is_hot = F.coalesce(col(key).isin(hot), F.lit(False))
     part_hot = big.where(is_hot).join(F.broadcast(small.where(is_hot)), key, how)
     part_rest = big.where(~is_hot).join(small.where(~is_hot), key, how)
     return part_hot.unionByName(part_rest)

@@ -89,17 +89,10 @@ def scan_csv(
     return nan_to_null(reader.csv(path))
 
 
-def detect_encoding(spark: SparkSession, path: str, probe_bytes: int = 1 << 16) -> str:
-    """utf-8 (with or without mark) where the head of the file decodes so, else iso-8859-1."""
-    first = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, probe_bytes).alias("c")).first()
-    head = bytes(first["c"]) if first and first["c"] is not None else b""
-    for cut in range(4):  # the probe may end inside a character
-        try:
-            head[: len(head) - cut].decode("utf-8")
-            return "utf-8"
-        except UnicodeDecodeError:
-            continue
-    return "iso-8859-1"
+def detect_encoding(spark: SparkSession, path: str) -> str:
+    """utf-8 (with or without mark) where all files decode so from end to end, else iso-8859-1."""
+    whole = spark.read.format("binaryFile").load(path).select(F.is_valid_utf8(F.col("content").cast("string")).alias("ok"))
+    return "iso-8859-1" if whole.where(~F.col("ok")).take(1) else "utf-8"
 
 
 def scan_description_csv(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:

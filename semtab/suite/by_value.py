@@ -31,6 +31,18 @@ def scan_csv(t):
         F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
+@query("""SELECT DISTINCT p_name AS name,
+                 'column_description=' || p_brand || '; value_description=' ||
+                 CASE WHEN p_partkey % 3 = 0 THEN 'NULL' ELSE 'one two, ' || p_type END AS description FROM part""")
+def scan_description_csv(t):
+    folder = _folder(t)
+    value = F.when(F.col("p_partkey") % 3 != 0, F.concat(F.lit("one\ntwo, "), "p_type"))
+    described = t.part.select(
+        F.concat(F.lit(" "), "p_name").alias("original_column_name"), F.col("p_brand").alias("column_description"), value.alias("value_description"))
+    writers.sink_tables_csv({"part": described}, folder)
+    return readers.scan_description_csv(t.spark, f"{folder}/part.csv").distinct()
+
+
 @query("SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier")
 def sink_tables(t):
     folder = _folder(t)

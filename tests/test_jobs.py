@@ -29,6 +29,29 @@ def test_csv(spark, tmp_path):
     assert rows(readers.scan_csv(spark, str(tmp_path / "out" / "a b.csv"))) == rows(df)
 
 
+def test_encoding_is_read_to_the_end(spark, tmp_path):
+    (tmp_path / "late.csv").write_bytes(b"a" * 70_000 + "é".encode("iso-8859-1"))
+    (tmp_path / "late8.csv").write_bytes(b"a" * 70_000 + "é".encode())
+    (tmp_path / "empty.csv").write_bytes(b"")
+    found = {n: readers.detect_encoding(spark, str(tmp_path / f"{n}.csv")) for n in ("late", "late8", "empty")}
+    assert found == {"late": "iso-8859-1", "late8": "utf-8", "empty": "utf-8"}
+
+
+def test_failed_run_has_no_answer(spark):
+    df = spark.range(3).select("id", F.lit("x").alias("s"))
+    run = run_steps({"t": df}, [Step("filter", "t", ("id", (("ge", 1),))), Step("filter", "t_filter", ("nope", (("ge", 1),)))])
+    assert run.error is not None and len(run.results) == 1 and run.answer is None
+
+
+def test_cases_of_no_bucket_are_an_error(spark):
+    detail = spark.createDataFrame([(1, True, 1.0, 1.0, 2, 2), (1002, True, 1.0, 1.0, 2, 2)],
+                                   "case_id long, answer_accuracy boolean, precision double, recall double, operator_count long, success_count long")
+    for mean in (Ev.bucket_macro_avg, Ev.bucket_macro_avg_fixed):
+        assert mean(detail.limit(1)).count() == 1
+        with pytest.raises(Exception, match="no bucket"):
+            mean(detail).collect()
+
+
 def test_descriptions(spark, tmp_path):
     text = "original_column_name,column_description,value_description\n name ,the café,\nn,\"a\nb\",\"1: x\"\n"
     for encoding, found in (("utf-8-sig", "utf-8"), ("windows-1252", "iso-8859-1")):

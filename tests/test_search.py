@@ -3,6 +3,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from semtab.models.base import HashEmbedder, OverlapScorer
 from semtab.operators import retrieval as E
@@ -115,6 +116,21 @@ def test_split_join_with_hot_key(spark):
     assert "BroadcastHashJoin" in out._jdf.queryExecution().executedPlan().toString()
 
 
+def test_split_join_keeps_rows_without_key(spark):
+    big = spark.range(30_000).select(F.when(F.col("id") % 3 == 0, -1).when(F.col("id") % 3000 > 1, F.col("id")).alias("k"), "id")
+    small = big.select("k").where("k IS NOT NULL").distinct().withColumn("v", F.col("k") * 2)
+    for how in ("left", "inner"):
+        assert rows(split_join(big, small, "k", how), "id", "v") == rows(big.join(small, "k", how), "id", "v")
+    assert split_join(big, small, "k", "left").count() == 30_000
+
+
+def test_hits_of_vectors_with_missing_numbers(spark):
+    right = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "_rk long, _rv array<double>")
+    left = spark.createDataFrame([(1, [1.0, 0.0]), (2, [float("nan"), 0.0]), (3, [0.0, 1.0])], "id long, vec array<double>").coalesce(1)
+    got = {r["id"]: [h["_rk"] for h in r["hits"]] for r in left.withColumn("hits", V.hits_column(F.col("vec"), right, 1, T.LongType())).collect()}
+    assert got[1] == [1] and got[3] == [2]
+
+
 def test_search(spark):
     df = spark.createDataFrame([(1, "red apple", [1.0, 0.0]), (2, "green pear", [0.0, 1.0]), (3, "red pear", [0.7, 0.7]), (4, None, None)],
                                "id long, text string, vec array<float>")
