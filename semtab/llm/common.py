@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,3 +46,17 @@ def fresh(name: str, taken: list[str]) -> str:
     while name.lower() in used:
         name = f"_{name}"
     return name
+
+
+def portions(batches: Iterator[pa.RecordBatch], column: int, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows of some batches in runs whose values in ``column`` hold about ``limit`` bytes; a longer value is a run of its own."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column).cast(pa.large_binary())), 0).to_numpy(zero_copy_only=False)
+        start = size = 0
+        for row, n in enumerate(sizes):
+            if size + n > limit and row > start:
+                yield batch.slice(start, row - start)
+                start, size = row, 0
+            size += n
+        if batch.num_rows > start:
+            yield batch.slice(start)

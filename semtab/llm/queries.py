@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from semtab.llm.byte_bpe import decode_ids, encode_texts
 from semtab.llm.decontaminate import find_leaks
+from semtab.llm.divergence import source_divergence
 from semtab.llm.language import held_out, identify_languages, learn_profiles
 from semtab.llm.line_dedup import dedup_lines
+from semtab.llm.middle import fill_in_middle, restored
 from semtab.llm.mixing import mix_sources
 from semtab.llm.pii import KINDS, find_personal_data, learn_trees, span_text
 from semtab.llm.quality import learn_quality, score_quality
@@ -183,3 +186,83 @@ def op10_token_counts(table) -> DataFrame:
     import public_tokenizers
 
     return count_tokens(table("documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query(
+    """
+    WITH d AS (
+        SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+               regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS terms
+        FROM documents
+    ), o AS (
+        SELECT id, lang, source, unnest(terms) AS term FROM d
+    ), k AS (
+        SELECT lang, term, count(*) AS n FROM o GROUP BY lang, term HAVING count(DISTINCT id) >= 3
+    ), c AS (
+        SELECT lang, source, term, count(*) AS n FROM o JOIN k USING (lang, term) GROUP BY lang, source, term
+    ), l AS (
+        SELECT lang, sum(n)::HUGEINT AS total, count(*) AS v FROM k GROUP BY lang
+    ), g AS (
+        SELECT x.lang, x.source, coalesce(sum(c.n), 0)::HUGEINT AS total FROM (SELECT DISTINCT lang, source FROM d) x LEFT JOIN c ON c.lang = x.lang AND c.source = x.source GROUP BY x.lang, x.source
+    ), p AS (
+        SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 1)) // (g.total + l.v) AS p,
+               1 + (1000000000::HUGEINT * (k.n + 1)) // (l.total + l.v) AS q
+        FROM g JOIN l USING (lang) JOIN k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+    ), pairs AS (
+        SELECT a.lang, a.source, 'pair' AS part, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p)::BIGINT AS value
+        FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source
+        UNION ALL
+        SELECT a.lang, a.source, 'pair', b.source, 0 FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source WHERE a.lang NOT IN (SELECT lang FROM k)
+    ), every AS (
+        SELECT * FROM pairs
+        UNION ALL
+        SELECT lang, source, 'term', term, (((p - q) * (p - q)) // q)::BIGINT FROM p WHERE n > 0 AND p > q
+    ), ranked AS (
+        SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM every
+    )
+    SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 200
+    """
+)
+def op11_source_divergence(table) -> DataFrame:
+    return source_divergence(table("documents"), least_docs=3, top=200)
+
+
+@query(
+    """
+    WITH d AS (
+        SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u,
+               sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+        FROM documents
+    ), r AS (
+        SELECT *, CAST('0x' || substr(h, 1, 8) AS BIGINT) % (len(u) + 1) AS c1, CAST('0x' || substr(h, 9, 8) AS BIGINT) % (len(u) + 1) AS c2,
+               CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR CAST('0x' || substr(h, 17, 8) AS BIGINT) % 100 >= 90 THEN 'plain'
+                    WHEN CAST('0x' || substr(h, 25, 8) AS BIGINT) % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+        FROM d
+    ), p AS (
+        SELECT *, array_to_string(list_slice(u, 1, least(c1, c2)), '') AS prefix, array_to_string(list_slice(u, least(c1, c2) + 1, greatest(c1, c2)), '') AS middle,
+               array_to_string(list_slice(u, greatest(c1, c2) + 1, len(u)), '') AS suffix
+        FROM r
+    )
+    SELECT doc_id, CAST(len(u) AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+           sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                  ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(t) AS restored_sha256
+    FROM p
+    """
+)
+def op12_fill_in_middle(table) -> DataFrame:
+    out = fill_in_middle(table("documents"), seed=1, rate=90, spm=20)
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored(), 256).alias("restored_sha256"))
+
+
+@query()
+def op13_byte_bpe(table) -> DataFrame:
+    import public_tokenizers
+
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    out = decode_ids(encode_texts(table("documents"), ranks, public_tokenizers.PATTERN), ranks)
+    return out.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
