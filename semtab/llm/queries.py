@@ -53,9 +53,17 @@ def op1_language_id(table) -> DataFrame:
 @query(
     """
     WITH d AS (
-        SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w,
-               list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l
-        FROM documents
+        SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+    ), word AS (
+        SELECT doc_id, unnest(w) AS x FROM d
+    ), words AS (
+        SELECT doc_id, count(*) FILTER (WHERE upper(x) = x AND lower(x) <> x) AS shouted, count(DISTINCT x) AS variety,
+               count(*) FILTER (WHERE regexp_matches(x, '\\p{L}')) AS letters, sum(length(x)) AS word_chars
+        FROM word GROUP BY doc_id
+    ), line AS (
+        SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM d
+    ), lines AS (
+        SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT x) AS n_dup_lines FROM line WHERE regexp_matches(x, '[^\\x20\\x09-\\x0D]') GROUP BY doc_id
     ), pos AS (
         SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d
     ), win AS (
@@ -63,15 +71,14 @@ def op1_language_id(table) -> DataFrame:
     ), covered AS (
         SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM win WHERE times > 1) GROUP BY doc_id
     ), f AS (
-        SELECT d.doc_id, len(w) AS n_words, length(list_aggregate(w, 'string_agg', '')) AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols,
-               len(l) - len(list_distinct(l)) AS n_dup_lines, len(l) AS n_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
-               len(list_filter(w, x -> upper(x) = x AND lower(x) <> x)) AS shouted, len(list_distinct(w)) AS variety,
-               len(list_filter(w, x -> regexp_matches(x, '\\p{L}'))) AS letters
-        FROM d LEFT JOIN covered USING (doc_id)
+        SELECT d.doc_id, len(w) AS n_words, CAST(coalesce(word_chars, 0) AS BIGINT) AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols,
+               coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_lines, 0) AS n_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+               coalesce(shouted, 0) AS shouted, coalesce(variety, 0) AS variety, coalesce(letters, 0) AS letters
+        FROM d LEFT JOIN words USING (doc_id) LEFT JOIN lines USING (doc_id) LEFT JOIN covered USING (doc_id)
     ), b AS (
         SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f
     )
-    SELECT doc_id, n_words, coalesce(word_chars, 0) AS word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
            NOT (base_failed OR n_symbols * 10 > n_words OR n_dup_lines * 100 > n_lines * 40 OR word_chars < n_words * 2 OR word_chars > n_words * 15
                 OR shouted * 3 > n_words OR variety * 5 < n_words OR letters * 10 < n_words * 6) AS kept
     FROM b
