@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import combinations
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -68,37 +69,54 @@ def window_prints(shingles: np.ndarray, starts: np.ndarray, n: int) -> np.ndarra
     return np.packbits(2 * (sums[starts + n] - sums[starts]) > n, axis=1, bitorder="little").view("<u8").ravel()
 
 
+def distinct_prints(shingles: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
+    """SimHash of the same windows with each distinct shingle weighing one, however often it occurs."""
+    order = np.argsort(shingles, kind="stable")
+    before = np.full(len(shingles), -1)
+    same = shingles[order[1:]] == shingles[order[:-1]]
+    before[order[1:][same]] = order[:-1][same]
+    out = np.empty(len(starts), np.uint64)
+    for k, start in enumerate(starts.tolist()):
+        own = shingles[start : start + n][before[start : start + n] < start]
+        out[k] = window_prints(own, np.array([0]), len(own))[0]
+    return out
+
+
 class HammingIndex:
     """All of some fingerprints within a radius: four blocks of 16 bits, one of which differs in a quarter of it at most.
 
-    The fingerprints are entered under every block value within that share of the radius, so a look-up reads one
-    list per block.
+    A fingerprint is entered once per block. A look-up reads the lists of all block values within that share
+    of the radius, so the index stays a few bytes per fingerprint at any radius.
     """
 
     def __init__(self, prints: np.ndarray, radius: int) -> None:
         self.prints, self.radius = prints, radius
-        near = np.array([sum(1 << b for b in flips) for n in range(radius // 4 + 1) for flips in combinations(range(16), n)], np.int64)
+        self.near = np.array([sum(1 << b for b in flips) for n in range(radius // 4 + 1) for flips in combinations(range(16), n)], np.int64)
         self.lists, self.offsets = [], []
         for block in range(4):
             value = (prints >> np.uint64(16 * block)).astype(np.int64) & 0xFFFF
-            keys = (value[:, None] ^ near[None, :]).ravel()
-            order = np.argsort(keys, kind="stable")
-            self.lists.append(np.repeat(np.arange(len(prints)), len(near))[order])
-            self.offsets.append(np.searchsorted(keys[order], np.arange(0x10001)))
+            order = np.argsort(value, kind="stable")
+            self.lists.append(order.astype(np.int32))
+            self.offsets.append(np.searchsorted(value[order], np.arange(0x10001)).astype(np.int32))
 
     def search(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pairs of query and entry within the radius, each once."""
-        pairs = []
-        for block in range(4):
-            value = (queries >> np.uint64(16 * block)).astype(np.int64) & 0xFFFF
-            first, n = self.offsets[block][value], self.offsets[block][value + 1] - self.offsets[block][value]
-            q = np.repeat(np.arange(len(queries)), n)
-            at = np.arange(len(q)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
-            e = self.lists[block][at]
-            close = np.bitwise_count(queries[q] ^ self.prints[e]) <= self.radius
-            pairs.append(q[close] * len(self.prints) + e[close])
+        pairs = [np.empty(0, np.int64)]
+        step = max(1, 2_000_000 // len(self.near))
+        for begin in range(0, len(queries), step):
+            some = queries[begin : begin + step]
+            for block in range(4):
+                value = (((some >> np.uint64(16 * block)).astype(np.int64) & 0xFFFF)[:, None] ^ self.near[None, :]).ravel()
+                first = self.offsets[block][value]
+                n = self.offsets[block][value + 1] - first
+                full = np.flatnonzero(n)
+                first, n = first[full].astype(np.int64), n[full].astype(np.int64)
+                q = np.repeat(full // len(self.near), n)
+                e = self.lists[block][np.arange(len(q)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)].astype(np.int64)
+                close = np.bitwise_count(some[q] ^ self.prints[e]) <= self.radius
+                pairs.append((q[close] + begin) * len(self.prints) + e[close])
         found = np.unique(np.concatenate(pairs))
-        return found // len(self.prints), found % len(self.prints)
+        return found // max(1, len(self.prints)), found % max(1, len(self.prints))
 
 
 def _words(text: str) -> list[bytes]:
@@ -111,17 +129,6 @@ def weighted_similarity(a: Counter, b: Counter) -> float:
     return shared / (sum(a.values()) + sum(b.values()) - shared)
 
 
-@dataclass
-class _Size:
-    """Items of one number of words."""
-
-    words: int
-    k: int
-    items: list[int]
-    counts: list[Counter]
-    index: HammingIndex
-
-
 @dataclass
 class Items:
     """What tasks need to know of some benchmark items."""
@@ -130,33 +137,48 @@ class Items:
     shingle_words: int
     radius: int
     least: float
-    sizes: list[_Size] = field(default_factory=list)
+    #: distinct numbers of words of the items, ascending; a size is a place in this list
+    sizes: list[int] = field(default_factory=list)
+    #: items with words, and the size of each, in the order of both indexes
+    entries: list[int] = field(default_factory=list)
+    size_of: np.ndarray | None = None
+    indexes: list[HammingIndex] = field(default_factory=list)
     known: dict[int, tuple[np.ndarray, np.ndarray, list[tuple[int, ...]]]] = field(default_factory=dict)
+    counts: dict[int, Counter] = field(default_factory=dict)
     longest: int = 0
 
     def build(self) -> Items:
-        by_size: dict[int, list[int]] = defaultdict(list)
-        words = [_words(t) for t in self.texts]
-        for i, w in enumerate(words):
-            if w:
-                by_size[len(w)].append(i)
+        lengths = {i: len(w) for i, w in enumerate(map(_words, self.texts)) if w}
+        self.sizes = sorted({*lengths.values()})
+        self.entries = list(lengths)
+        place = {m: at for at, m in enumerate(self.sizes)}
+        self.size_of = np.array([place[m] for m in lengths.values()], np.int64)
+        prints: tuple[list, list] = ([], [])
         owners: dict[int, dict[int, set[int]]] = defaultdict(lambda: defaultdict(set))
-        for at, (m, items) in enumerate(sorted(by_size.items())):
+        for i, m in lengths.items():
             k = min(self.shingle_words, m)
-            hashes = [shingle_hashes(word_hashes(np.frombuffer(b" ".join(words[i]), np.uint8))[0], k) for i in items]
-            prints = np.array([window_prints(h, np.array([0]), len(h))[0] for h in hashes], np.uint64)
-            counts = [Counter(tuple(words[i][j : j + k]) for j in range(m - k + 1)) for i in items]
-            self.sizes.append(_Size(m, k, items, counts, HammingIndex(prints, self.radius)))
-            for h in np.unique(np.concatenate(hashes)).tolist():
-                owners[k][h].add(at)
+            hashes = shingle_hashes(word_hashes(np.frombuffer(b" ".join(_words(self.texts[i])), np.uint8))[0], k)
+            for out, make in zip(prints, (window_prints, distinct_prints)):
+                out.append(make(hashes, np.array([0]), len(hashes))[0])
+            for h in np.unique(hashes).tolist():
+                owners[k][h].add(place[m])
+        self.indexes = [HammingIndex(np.array(out, np.uint64), self.radius) for out in prints]
         for k, sizes in owners.items():
             keys = np.array(sorted(sizes), np.uint64)
             table = np.zeros(1 << 22, bool)
             table[(keys & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
             self.known[k] = (keys, table, [tuple(sorted(sizes[int(h)])) for h in keys])
-        self.longest = max(by_size, default=0)
+        self.longest = max(self.sizes, default=0)
         return self
 
+    def count(self, item: int) -> Counter:
+        """Shingles of an item and how often it has them; made when a window comes near it."""
+        if item not in self.counts:
+            words = _words(self.texts[item])
+            k = min(self.shingle_words, len(words))
+            self.counts[item] = Counter(tuple(words[j : j + k]) for j in range(len(words) - k + 1))
+        return self.counts[item]
+
     def hits(self, words: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Shingles of some words; places of those that items have, and which."""
         keys, table, _ = self.known[k]
@@ -169,25 +191,37 @@ class Items:
     def leaks(self, words: np.ndarray, raw: list[bytes], found: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]], offset: int, best: dict) -> None:
         """Enter the best window of every item in ``best``: ``item -> (similarity, -start)``."""
         for k, (shingles, at, which) in found.items():
-            starts: dict[int, list[np.ndarray]] = defaultdict(list)
-            sizes = self.known[k][2]
+            hits: dict[int, list[int]] = defaultdict(list)
             for place, key in zip(at.tolist(), which.tolist()):
-                for size in sizes[key]:
-                    m = self.sizes[size].words
-                    # a window without a shingle of the item has similarity 0
-                    starts[size].append(np.arange(max(0, place + k - m), min(place, len(words) - m) + 1))
-            for size, ranges in starts.items():
-                s = self.sizes[size]
-                begin = np.unique(np.concatenate(ranges))
-                if not len(begin):
+                for size in self.known[k][2][key]:
+                    hits[size].append(place)
+            for size, places in hits.items():
+                whole = self.sizes[size] - k + 1  # shingles of the item
+                n = min(whole, len(shingles))  # and of a window: a text shorter than the item is one window
+                # a window with fewer shingles of items of this size can't be similar enough to any of them
+                least = max(1, ceil(self.least * (whole + n) / (1 + self.least) - 1e-9))
+                if len(places) < least:
+                    continue
+                hit = np.array(places)
+                low, high = hit[: len(hit) - least + 1], hit[least - 1 :]
+                near = high - low < n
+                ranges = [np.arange(max(0, h - n + 1), min(a, len(shingles) - n) + 1) for a, h in zip(low[near].tolist(), high[near].tolist())]
+                if not ranges:
                     continue
-                query, entry = s.index.search(window_prints(shingles, begin, s.words - k + 1))
-                for q, e in zip(query.tolist(), entry.tolist()):
-                    j = int(begin[q])
-                    window = Counter(tuple(raw[i : i + k]) for i in range(j, j + s.words - k + 1))
-                    similarity = weighted_similarity(window, s.counts[e])
+                begin = np.unique(np.concatenate(ranges))
+                pairs = set()
+                for index, make in zip(self.indexes, (window_prints, distinct_prints)):
+                    query, entry = index.search(make(shingles, begin, n))
+                    own = self.size_of[entry] == size
+                    pairs.update(zip(query[own].tolist(), entry[own].tolist()))
+                for q, e in sorted(pairs):
+                    item, j = self.entries[e], int(begin[q])
+                    if best.get(item, (0.0, 0))[0] == 1.0:
+                        continue  # an earlier window is the item itself
+                    window = Counter(tuple(raw[i : i + k]) for i in range(j, j + n))
+                    similarity = weighted_similarity(window, self.count(item))
                     if similarity >= self.least:
-                        best[s.items[e]] = max(best.get(s.items[e], (0.0, 0)), (similarity, -(j + offset)))
+                        best[item] = max(best.get(item, (0.0, 0)), (similarity, -(j + offset)))
 
     def scan(self, texts: list[str]) -> Iterator[tuple[int, dict]]:
         """The texts that hold items, with the best window of each."""
@@ -254,7 +288,7 @@ def find_leaks(
     benchmark: DataFrame,
     shingle_words: int = 5,
     similarity: float = 0.8,
-    radius: int = 15,
+    radius: int = 19,
     items_per_pass: int = 20_000,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -263,20 +297,22 @@ def find_leaks(
 ) -> DataFrame:
     """``_id _mark _item similarity start_word``: which documents hold which benchmark items.
 
-    For every item of m words, all windows of m words of a document are its candidates. A window and the item are
-    compared if their SimHash fingerprints (over shingles of ``shingle_words`` words, each
-    occurrence weighing one) differ in ``radius`` bits or fewer, which a multi-index of blocks answers
-    without loss; the pair counts if the exact weighted similarity of their shingles is
-    ``similarity`` or more. At 0.8 a fingerprint differs in 9.7 of 64 bits on average, so a radius
-    of 15 keeps about 97 % of pairs right at the threshold and all but a few in 10,000 above 0.9.
-    Windows that share no shingle with any item of their size have similarity 0 and
-    get no fingerprint; with them goes nearly all of a clean text. One row is returned per
-    document and item, with the best window, the first of equal ones.
+    For every item of m words, all windows of m words of a document are its candidates; a document with fewer words is
+    one window. A window and the item are compared if their SimHash fingerprints differ in ``radius`` bits or fewer, which a
+    multi-index of blocks answers without loss; the pair counts if the exact weighted similarity of their
+    shingles (each as often as it occurs) is ``similarity`` or more. Two fingerprints are made of a window, one with each occurrence of a
+    shingle of ``shingle_words`` words weighing one and one with each distinct shingle weighing one, and either may be
+    near: the first is far off where a window repeats what the item has not, the second where
+    an item repeats itself. At 0.8 the nearer one differs in about 10 of 64 bits on average, so a radius of
+    19 keeps about 999 of 1,000 pairs right at the threshold. A window can be similar only if enough of its shingles
+    are shingles of items of that size; others, nearly all of a clean text, get no fingerprint. One row is
+    returned per document and item, with the best window, the first of equal ones.
 
     Items travel with the tasks, ``items_per_pass`` of them at a time; more items mean more passes.
     Letters are lower-cased, words end at ASCII white space. An item of fewer words than a shingle is one
     shingle. Items without words match nothing; equal items are each reported. A missing
-    or empty text has no windows. Rows with the same id and text may give a row each.
+    or empty text has no windows. Rows with the same id and text may give a row each. Texts of more than a megabyte are
+    read in parts that overlap by the longest item. Other columns are left out, whatever their names.
     """
     plain = keyed(docs, id_col, text_col)
     items, passes = _passes(benchmark, items_per_pass, item_id_col, item_text_col)
@@ -322,7 +358,7 @@ def drop_leaks(
     benchmark: DataFrame,
     shingle_words: int = 5,
     similarity: float = 0.8,
-    radius: int = 15,
+    radius: int = 19,
     items_per_pass: int = 20_000,
     text_col: str = "text",
     item_id_col: str = "item_id",
