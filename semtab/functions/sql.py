@@ -2,8 +2,8 @@
 
 ``SELECT llm_map('question', col)`` answers per row, ``JOIN … ON llm_join('criteria',
 a, b)`` judges pairs, ``SELECT llm_qa('question', col) … GROUP BY`` answers over a
-group. SQL hands these functions rows as they come: use the DataFrame operators
-where inputs repeat, where pairs are many or where groups are large.
+group. SQL hands these scalar functions rows as they come: use the table functions of the same
+names (:mod:`semtab.functions.tables`) where inputs repeat, where pairs are many or where groups are large.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from semtab.functions.tables import register_table_functions
 from semtab.models.answering import call_in_batches, says_true
 from semtab.models.base import AnswerModel
 from semtab.models.prompts import PromptSpec
@@ -23,14 +24,16 @@ def _by_question(questions: pd.Series, contexts: list[str], model: AnswerModel,
     out: list[str] = [""] * len(contexts)
     for question, at in questions.groupby(questions).groups.items():
         rows = list(at)
-        replies = call_in_batches(model, PromptSpec(task, question), [contexts[i] for i in rows])
-        for i, r in zip(rows, replies):
-            out[i] = r.text
+        asked = list(dict.fromkeys(contexts[i] for i in rows))  # repeated inputs of a batch are asked once
+        replies = dict(zip(asked, call_in_batches(model, PromptSpec(task, question), asked)))
+        for i in rows:
+            out[i] = replies[contexts[i]].text
     return out
 
 
 def register_sql_functions(spark: SparkSession, model: AnswerModel) -> None:
-    """Make the three functions known to ``spark.sql``."""
+    """Make the three functions known to ``spark.sql``, as scalar and as table functions."""
+    register_table_functions(spark, model)
 
     def llm_map(question: pd.Series, value: pd.Series) -> pd.Series:
         value = value.reset_index(drop=True)

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from semtab.functions import claims as C
 from semtab.functions.sql import qa_over, register_sql_functions
-from semtab.models.base import HashEmbedder, RuleModel
+from semtab.functions.tables import blocking_index
+from semtab.models.base import HashEmbedder, RuleModel, parts_of
 from semtab.operators import values as V
 from semtab.operators.cascade import sem_filter_cascade
 from semtab.operators.clustering import cluster_summary, sem_cluster_by
@@ -372,15 +373,40 @@ SQL_MODEL = RuleModel(
 
 @query("SELECT split_part(p_name, ' ', 1) AS quality, count(*) AS n FROM part GROUP BY 1")
 def llm_map_sql(t):
+    """Each distinct name is asked once; the answers are joined back."""
+    register_sql_functions(t.spark, SQL_MODEL)
+    return t.spark.sql(
+        """SELECT answer AS quality, count(*) AS n FROM {part}
+           JOIN llm_map(TABLE(SELECT DISTINCT p_name FROM {part}), 'Which quality?', 'p_name') USING (p_name) GROUP BY answer""",
+        part=t.part)
+
+
+@query("SELECT split_part(p_name, ' ', 1) AS quality, count(*) AS n FROM part GROUP BY 1")
+def llm_map_scalar(t):
     register_sql_functions(t.spark, SQL_MODEL)
     return t.spark.sql(
         "SELECT quality, count(*) AS n FROM (SELECT llm_map('Which quality?', p_name) AS quality FROM {part}) GROUP BY quality",
         part=t.part)
 
 
-@query("""SELECT p_brand, s_name FROM (SELECT DISTINCT p_brand, p_size FROM part) JOIN supplier
-          ON p_size = s_nationkey AND right(p_brand, 1) = right(s_name, 1)""")
+_ENDINGS = """SELECT p_brand, s_name FROM (SELECT DISTINCT p_brand, p_size FROM part) JOIN supplier
+          ON p_size = s_nationkey AND right(p_brand, 1) = right(s_name, 1)"""
+
+
+@query(_ENDINGS)
 def llm_join_sql(t):
+    """Brands and suppliers are judged where a size equals a nation key; the pairs are made inside the tasks."""
+    register_sql_functions(t.spark, SQL_MODEL)
+    pairs = blocking_index(t.part, t.supplier, "p_brand", "s_name", "p_size", "s_nationkey")
+    return t.spark.sql(
+        """SELECT b.p_brand, s.s_name FROM (SELECT DISTINCT p_brand, p_size FROM {part}) b
+           JOIN llm_join(TABLE(SELECT * FROM {pairs}), 'same ending') j ON b.p_brand = j.left
+           JOIN {supplier} s ON s.s_name = j.right AND b.p_size = s.s_nationkey""",
+        part=t.part, pairs=pairs, supplier=t.supplier)
+
+
+@query(_ENDINGS)
+def llm_join_scalar(t):
     """An equality beside the judged condition keeps the pairs few."""
     register_sql_functions(t.spark, SQL_MODEL)
     return t.spark.sql(
@@ -389,13 +415,48 @@ def llm_join_sql(t):
         brands=t.part.select("p_brand", "p_size").distinct(), suppliers=t.supplier)
 
 
+@query("""WITH n AS (SELECT DISTINCT p_name AS name, unnest([split_part(p_name, ' ', 1), split_part(p_name, ' ', 2)]) AS word FROM part)
+          SELECT a.name AS "left", b.name AS "right", CAST(1 AS BIGINT) AS asked FROM n a JOIN n b ON a.word = b.word GROUP BY ALL""")
+def llm_join_blocks(t):
+    """Names that share a word, in cells of four names: a pair that shares two words, or meets in a large block, is asked once."""
+    register_sql_functions(t.spark, RuleModel(lambda spec, c: "True"))
+    words = t.part.select("p_name", F.explode(F.split("p_name", " ")).alias("word"))
+    pairs = blocking_index(words, words, "p_name", "p_name", "word", "word", cell_values=4)
+    return t.spark.sql("SELECT left, right, count(*) AS asked FROM llm_join(TABLE(SELECT * FROM {pairs}), 'any') GROUP BY left, right", pairs=pairs)
+
+
 @query("SELECT p_brand, max(p_name) AS answer FROM part GROUP BY p_brand")
 def llm_qa_sql(t):
+    """Groups are read as streams, a prompt of rows at a time."""
+    register_sql_functions(t.spark, RuleModel(lambda spec, c: max(parts_of(c)), context_tokens=400, reply_tokens=100))
+    return t.spark.sql(
+        """SELECT p_brand, answer FROM llm_qa(TABLE(SELECT DISTINCT p_brand, p_name FROM {part}) PARTITION BY p_brand ORDER BY (p_name),
+           'Which comes last?', 'p_name', 'p_brand')""",
+        part=t.part)
+
+
+@query("SELECT p_brand, max(p_name) AS answer FROM part GROUP BY p_brand")
+def llm_qa_scalar(t):
     register_sql_functions(t.spark, SQL_MODEL)
     return t.spark.sql("SELECT p_brand, llm_qa('Which comes last?', p_name) AS answer FROM {part} GROUP BY p_brand",
                        part=t.part.select("p_brand", "p_name").distinct())
 
 
+@query("""SELECT CASE WHEN user_id % 3 = 0 THEN 'hot' ELSE event_type END AS event_type, CAST(max(event_id) AS VARCHAR) AS answer
+          FROM events GROUP BY 1""")
+def llm_qa_sliced(t):
+    """A group that holds a third of the events is read in slices by many tasks; the answers are folded once more."""
+    latest = RuleModel(lambda spec, c: str(max(map(int, parts_of(c)))), context_tokens=600, reply_tokens=100)
+    register_sql_functions(t.spark, latest)
+    return t.spark.sql(
+        """WITH e AS (SELECT CASE WHEN user_id % 3 = 0 THEN 'hot' ELSE event_type END AS event_type, user_id % 64 AS slice,
+                             event_id FROM {events})
+           SELECT event_type, answer FROM llm_qa(TABLE(
+               SELECT * FROM llm_qa(TABLE(SELECT * FROM e) PARTITION BY (event_type, slice) ORDER BY (event_id), 'What came last?', 'event_id', 'event_type,slice')
+           ) PARTITION BY event_type ORDER BY (slice), 'What came last?', 'answer', 'event_type', true)""",
+        events=t.events)
+
+
 @query("SELECT max(p_name) AS Answer FROM part WHERE p_type = 'ECONOMY'")
 def llm_qa_over(t):
     return qa_over(t.part.where("p_type = 'ECONOMY'").select("p_name"), "Which comes last?", R.LARGEST)
