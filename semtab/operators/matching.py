@@ -21,6 +21,7 @@ from semtab.functions.claims import distinct_holes, row_text
 from semtab.models.answering import call_in_batches, says_true, slots, why, with_replies
 from semtab.models.base import AnswerModel, Embedder
 from semtab.models.prompts import PromptSpec, shots_from
+from semtab.operators import metric as M
 from semtab.operators import vectors as V
 from semtab.operators.cascade import Thresholds, draw_chance, learn_thresholds
 from semtab.operators.ranking import refuse_numeric
@@ -310,7 +311,7 @@ def _bands(l: DataFrame, r: DataFrame, size: tuple, total: int, t: Thresholds) -
         high = s >= t.positive
         return pd.DataFrame({"_high": [int(high.sum())], "_middle": [int((~high & (s > t.negative)).sum())]})
 
-    row = V.pairs_above(l, r, _floor(t), count, _BANDS, measured=size).agg(*[F.sum(f.name).alias(f.name) for f in _BANDS]).first()
+    row = M.pairs_above(l, r, _floor(t), count, _BANDS, measured=size).agg(*[F.sum(f.name).alias(f.name) for f in _BANDS]).first()
     high, middle = row["_high"] or 0, row["_middle"] or 0
     return high, total - high - middle, middle
 
@@ -347,7 +348,7 @@ def _cascade(lv, rv, nl, total, judge: _PairJudge, c: JoinCascade, lc: str, rc:
         asked = judge([lk[i] for i in rows], list(rk), open_pairs[rows])
         return pd.concat([sure, asked]) if len(asked) else sure
 
-    pairs = V.pairs_above(l, r, _floor(t), settle, PAIRS, measured=size)
+    pairs = M.pairs_above(l, r, _floor(t), settle, PAIRS, measured=size)
     report = {
         "plan": name,
         "pos_threshold": t.positive,

@@ -9,9 +9,10 @@ from pyspark.sql import types as T
 
 from semtab.models.answering import pair_score_column, spread, vector_column
 from semtab.models.base import Embedder, PairScorer
+from semtab.operators import metric as M
 from semtab.operators import vectors as V
 from semtab.operators.components import components
-from semtab.runtime import col, dtype_of, key_hash, missing, pick, require_columns, same_key, stage
+from semtab.runtime import col, dtype_of, key_hash, missing, pick, require_columns, same_key, split_join, stage
 
 
 def embed(df: DataFrame, column: str, embedder: Embedder, out: str = "vec") -> DataFrame:
@@ -96,13 +97,16 @@ def sim_join(
     score_suffix: str = "",
     keep_index: bool = False,
     approx: bool = False,
+    recall: float = 0.95,
+    stats: bool = False,
     broadcast_bytes: int = V.BROADCAST_BYTES,
-    block_rows: int = V.BLOCK_ROWS,
-) -> DataFrame:
+    block_rows: int = M.BLOCK_ROWS,
+):
     """For each left row the ``k`` most similar right rows, with column ``_scores``.
 
-    Exact at any size. ``approx=True`` looks only into the cells nearest to each
-    left row that hold ``k`` rows, which costs one round instead of two.
+    Exact at any size: a right side of checked size is broadcast, a larger one matched along a tree of pivots.
+    ``approx=True`` looks only into those sign buckets that together hold a neighbour as near as the worst hit
+    with a chance of ``recall``; scores are exact all the same. ``stats`` returns ``(rows, {"pairs_scored", "pairs"})``.
     """
     require_columns(left, [left_key, left_vec])
     require_columns(right, [right_key, right_vec])
@@ -115,18 +119,14 @@ def sim_join(
     rv = right.where(pick(right, right_vec).isNotNull()).select(
         pick(right, right_key).alias("_rk"), pick(right, right_vec).alias("_rv"))
     n, dim, longest = V.measure(rv, "_rv")
-    if not approx and V.fits_broadcast(n, dim, broadcast_bytes):
+    report: dict | None = {} if stats else None
+    if not approx and not stats and V.fits_broadcast(n, dim, broadcast_bytes):
         # the hits come as one more column: left rows stay where they are
         hit = V.hits_column(pick(left, left_vec), rv, k, schema["_rk"].dataType)
         kept = left.where(pick(left, left_vec).isNotNull()).withColumn("_hit", F.explode(hit))
         found = kept.withColumns({"_lk": pick(left, left_key), "_rk": F.col("_hit._rk"), "_score": F.col("_hit._score")})
-    elif approx:
-        cells = V.Cells(rv, "_rk", "_rv", n, longest, block_rows)
-        first = lv.withColumn("_cells", cells.visits(F.col("_lv"), None, k))
-        hits = V.top_per_left(V.match_cells(first, rv, cells, V.best(k), schema, block_rows), k)
-        found = left.join(hits, pick(left, left_key) == F.col("_lk"))
     else:
-        hits = V.nearest(lv, rv, k, schema, broadcast_bytes, block_rows, (n, dim, longest))
+        hits = M.nearest(lv, rv, k, schema, broadcast_bytes, block_rows, (n, dim, longest), recall if approx else None, report)
         found = left.join(hits, pick(left, left_key) == F.col("_lk"))
     r = right.select(*[pick(right, c).alias(f"_r{i}") for i, c in enumerate(right.columns)])
     joined = found.join(r, F.col("_rk") == F.col(f"_r{right.columns.index(right_key)}"))
@@ -135,7 +135,7 @@ def sim_join(
     out += [F.col(f"_r{i}").alias(f"{c}{rsuffix}" if c in clash else c) for i, c in enumerate(right.columns)]
     if keep_index:
         out += [F.col("_lk").alias("_left_id"), F.col("_rk").alias("_right_id")]
-    return joined.select(*out)
+    return (joined.select(*out), report) if stats else joined.select(*out)
 
 
 def sem_dedup(
@@ -145,7 +145,7 @@ def sem_dedup(
     threshold: float,
     *,
     broadcast_bytes: int = V.BROADCAST_BYTES,
-    block_rows: int = V.BLOCK_ROWS,
+    block_rows: int = M.BLOCK_ROWS,
 ) -> DataFrame:
     """Drop rows whose value is linked, by products above ``threshold``, to a smaller value.
 
@@ -164,12 +164,13 @@ def sem_dedup(
     left = nodes.select(F.col("_id").alias("_lk"), F.col("_vec").alias("_lv"))
     right = nodes.select(F.col("_id").alias("_rk"), F.col("_vec").alias("_rv"))
     schema = T.StructType([T.StructField("_u", T.StringType()), T.StructField("_v", T.StringType())])
-    edges = V.pairs_above(left, right, threshold, V.links(threshold), schema, broadcast_bytes, block_rows)
+    edges = M.pairs_above(left, right, threshold, V.links(threshold), schema, broadcast_bytes, block_rows)
     linked = components(edges)
     members = linked.select("_u", "_v").union(linked.select("_v", "_v").distinct())
     names = nodes.select(F.col("_id").alias("_u"), "_value").distinct()
-    named = members.join(names, "_u")
+    named = stage(members.join(names, "_u"), "members")
     keep = named.groupBy("_v").agg(F.min("_value").alias("_keep"))
-    dropped = named.join(keep, "_v").where(F.col("_value") != F.col("_keep")).select("_u")
+    # one component may hold a third of all values
+    dropped = split_join(named, keep, "_v").where(F.col("_value") != F.col("_keep")).select("_u")
     return df.join(dropped, F.md5(pick(df, value_col).cast("string")) == F.col("_u"), "left_anti")
 

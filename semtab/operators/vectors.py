@@ -1,13 +1,7 @@
-"""Exact vector matching by blocks: the work behind search, similarity join and dedup.
-
-A small right side, of checked size, is broadcast as one matrix. Beyond that both
-sides are cut into cells around pivot vectors. A left row visits only the cells
-that can hold a match: for a row whose nearest pivot is ``p`` every vector of the
-cell of pivot ``q`` is at least ``(d(row,q)² - d(row,p)²) / 2|p-q|`` away, and at
-least ``d(row,q)`` minus the cell's radius. Cells are further split into chunks of
-bounded size, so a cell holding a third of all rows becomes many equal tasks.
-Scores are inner products; vectors of any length are lifted by one coordinate so
-that a larger product is a smaller distance.
+"""Vector kernels, and matching where one side fits into a broadcast or all pairs of blocks are wanted.
+
+A small right side, of checked size, is broadcast as one matrix. Scores are inner products, rounded so
+that equal vectors tie. Larger sides are matched by :mod:`semtab.operators.metric`.
 """
 
 from __future__ import annotations
@@ -22,11 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from semtab.runtime import stage
-
 BROADCAST_BYTES = 64 << 20
 BLOCK_ROWS = 2048
-MAX_PIVOTS = 512
 SLACK = 1e-6
 
 Kernel = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], pd.DataFrame]
@@ -151,124 +142,6 @@ def fits_broadcast(rows: int, dim: int, limit: int = BROADCAST_BYTES) -> bool:
     return rows * (dim * 8 + 64) <= limit
 
 
-class Cells:
-    """Pivots with the counts and radii of the right rows around them; at most MAX_PIVOTS entries."""
-
-    def __init__(self, right: DataFrame, key: str, vec: str, rows: int, longest: float, cell_rows: int) -> None:
-        wanted = int(min(MAX_PIVOTS, max(1, rows // cell_rows)))
-        chosen = right.orderBy(F.xxhash64(key)).limit(wanted).select(vec).collect()
-        self.longest = longest
-        self.pivots = np.unique(self.lift(matrix([r[0] for r in chosen])), axis=0)
-        self.counts = np.zeros(len(self.pivots))
-        self.radii = np.zeros(len(self.pivots))
-        found = (
-            right.select(self.home(F.col(vec)).alias("h"))
-            .groupBy("h.cell").agg(F.count("*").alias("n"), F.max("h.far").alias("r")).collect()
-        )
-        for row in found:
-            self.counts[row["cell"]], self.radii[row["cell"]] = row["n"], row["r"]
-        gaps = ((self.pivots[:, None, :] - self.pivots[None, :, :]) ** 2).sum(axis=2)
-        self.gaps = np.sqrt(gaps)
-
-    def lift(self, m: np.ndarray, flat: bool = False) -> np.ndarray:
-        rest = np.zeros(len(m)) if flat else np.sqrt(np.maximum(self.longest - (m * m).sum(axis=1), 0.0))
-        return np.column_stack([m, rest])
-
-    def distances(self, lifted: np.ndarray) -> np.ndarray:
-        p = self.pivots
-        return np.sqrt(np.maximum((lifted**2).sum(1)[:, None] + (p**2).sum(1)[None] - 2 * lifted @ p.T, 0.0))
-
-    def home(self, vector: Column) -> Column:
-        """Nearest pivot of a right row and the distance to it."""
-        shape = T.StructType([T.StructField("cell", T.IntegerType()), T.StructField("far", T.DoubleType())])
-
-        def run(v: pa.Array) -> pa.Array:
-            if not len(v):
-                return pa.array([], pa.struct([("cell", pa.int32()), ("far", pa.float64())]))
-            d = self.distances(self.lift(arrow_matrix(v)))
-            near = d.argmin(axis=1)
-            return pa.StructArray.from_arrays(
-                [pa.array(near.astype(np.int32)), pa.array(d[np.arange(len(d)), near])], ["cell", "far"]
-            )
-
-        run.__annotations__ = {"v": pa.Array, "return": pa.Array}
-        return F.arrow_udf(run, shape)(vector)
-
-    def bounds(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Per left row and cell: distance to the pivot and least distance to any row of the cell."""
-        lifted = self.lift(vectors, flat=True)
-        d = self.distances(lifted)
-        near = d.argmin(axis=1)
-        apart = self.gaps[near]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            plane = np.where(apart > 0, (d**2 - d[np.arange(len(d)), near][:, None] ** 2) / (2 * apart), 0.0)
-        least = np.maximum(np.maximum(plane, d - self.radii[None]), 0.0)
-        least[:, self.counts == 0] = np.inf
-        return d, least, (lifted**2).sum(axis=1)
-
-    def reach(self, square: np.ndarray, floor) -> np.ndarray:
-        """Greatest distance at which a product can still exceed ``floor``."""
-        return np.sqrt(np.maximum(square + self.longest - 2 * np.asarray(floor), 0.0)) + SLACK
-
-    def visits(self, vector: Column, floor: Column | None, k: int | None = None) -> Column:
-        """Cells a left row has to visit.
-
-        With ``k``: the nearest cells that hold ``k`` rows together. Otherwise the
-        cells that can hold a product of ``floor`` or more.
-        """
-
-        def run(v: pa.Array, f: pa.Array) -> pa.Array:
-            if not len(v):
-                return pa.array([], pa.list_(pa.int32()))
-            d, least, square = self.bounds(arrow_matrix(v))
-            if k is not None:
-                order = np.argsort(np.where(np.isinf(least), np.inf, d), axis=1)
-                held = self.counts[order].cumsum(axis=1)
-                take = held - self.counts[order] < k
-                cells = [o[t & (self.counts[o] > 0)].astype(np.int32) for o, t in zip(order, take)]
-            else:
-                far = self.reach(square, f.to_numpy(zero_copy_only=False))
-                cells = [np.flatnonzero(row).astype(np.int32) for row in least <= far[:, None]]
-            return pa.array(cells, pa.list_(pa.int32()))
-
-        run.__annotations__ = {"v": pa.Array, "f": pa.Array, "return": pa.Array}
-        floor = floor if floor is not None else F.lit(0.0)
-        return F.arrow_udf(run, T.ArrayType(T.IntegerType()))(vector, floor)
-
-
-def match_cells(
-    left: DataFrame, right: DataFrame, cells: Cells, kernel: Kernel, schema: T.StructType, block_rows: int
-) -> DataFrame:
-    """Run ``kernel`` over every (left chunk, right chunk) of every visited cell.
-
-    ``left`` holds ``_lk _lv _cells``; ``right`` holds ``_rk _rv``. Both chunks have
-    about ``block_rows`` rows, whatever the size of the cell.
-    """
-    spark = left.sparkSession
-    l = left.select("_lk", "_lv", F.explode("_cells").alias("_cell"))
-    visitors = {r[0]: r[1] for r in l.groupBy("_cell").count().collect()}
-    plan = [
-        (int(c), int(-(-n // block_rows)), int(-(-cells.counts[c] // block_rows)))
-        for c, n in visitors.items() if cells.counts[c] > 0
-    ]
-    chunks = F.broadcast(spark.createDataFrame(plan, "_cell int, _nl long, _nr long"))
-    l = (
-        l.join(chunks, "_cell")
-        .withColumn("_a", F.pmod(F.xxhash64("_lk"), F.col("_nl")))
-        .withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_nr") - 1)))
-        .select("_cell", "_a", "_b", "_lk", "_lv")
-    )
-    r = (
-        right.withColumn("_cell", cells.home(F.col("_rv")).getField("cell"))
-        .join(chunks, "_cell")
-        .withColumn("_b", F.pmod(F.xxhash64("_rk"), F.col("_nr")))
-        .withColumn("_a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_nl") - 1)))
-        .select("_cell", "_a", "_b", "_rk", "_rv")
-    )
-    by = ("_cell", "_a", "_b")
-    return l.groupBy(*by).cogroup(r.groupBy(*by)).applyInPandas(_block_runner(kernel, schema), schema)
-
-
 def every_block(
     left: DataFrame, right: DataFrame, kernel: Kernel, schema: T.StructType,
     broadcast_bytes: int = BROADCAST_BYTES, block_rows: int = BLOCK_ROWS,
@@ -357,48 +230,6 @@ def hits_column(vector: Column, right: DataFrame, k: int, key_type: T.DataType)
     return F.arrow_udf(run, T.ArrayType(shape))(vector)
 
 
-def pairs_above(
-    left: DataFrame, right: DataFrame, floor: float, kernel: Kernel, schema: T.StructType,
-    broadcast_bytes: int = BROADCAST_BYTES, block_rows: int = BLOCK_ROWS,
-    measured: tuple[int, int, float] | None = None,
-) -> DataFrame:
-    """Exact matching at a fixed floor: ``kernel`` sees every pair with a product above it."""
-    n, dim, longest = measured or measure(right, "_rv")
-    if fits_broadcast(n, dim, broadcast_bytes):
-        return match_broadcast(left, right, kernel, schema)
-    cells = Cells(right, "_rk", "_rv", n, longest, block_rows)
-    visiting = left.withColumn("_cells", cells.visits(F.col("_lv"), F.lit(float(floor))))
-    return match_cells(visiting, right, cells, kernel, schema, block_rows)
-
-
-def nearest(
-    left: DataFrame, right: DataFrame, k: int, schema: T.StructType,
-    broadcast_bytes: int = BROADCAST_BYTES, block_rows: int = BLOCK_ROWS,
-    measured: tuple[int, int, float] | None = None,
-) -> DataFrame:
-    """The ``k`` best right rows of every left row as ``_lk _rk _score``, exact at any size.
-
-    Large right sides take two rounds: the nearest cells give each left row ``k``
-    candidates, whose worst score then limits which other cells it has to visit.
-    """
-    n, dim, longest = measured or measure(right, "_rv")
-    if fits_broadcast(n, dim, broadcast_bytes):
-        return match_broadcast(left, right, best(k), schema)
-    cells = Cells(right, "_rk", "_rv", n, longest, block_rows)
-    first = left.withColumn("_cells", cells.visits(F.col("_lv"), None, k))
-    near = stage(top_per_left(match_cells(first, right, cells, best(k), schema, block_rows), k), "nearest")
-    worst = near.groupBy("_lk").agg(F.min("_score").alias("_floor"), F.count("*").alias("_held"))
-    seen = cells.visits(F.col("_lv"), None, k)
-    # fewer than k found means that all cells were visited
-    second = (
-        left.join(worst.where(F.col("_held") >= k), "_lk")
-        .withColumn("_cells", F.array_except(cells.visits(F.col("_lv"), F.col("_floor")), seen))
-        .where(F.size("_cells") > 0)
-    )
-    more = match_cells(second, right, cells, best(k), schema, block_rows)
-    return top_per_left(near.unionByName(more), k)
-
-
 def top_per_left(hits: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("_lk").orderBy(F.desc("_score"), F.asc("_rk"))
     return hits.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k).drop("_n")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from semtab.models.base import HashEmbedder, OverlapScorer
+from semtab.operators import metric as M
 from semtab.operators import retrieval as E
 from semtab.operators import vectors as V
 from semtab.operators.components import components
@@ -61,7 +62,58 @@ def test_sim_join_approx_recall(table, clumped):
     got = {(r["id_l"], r["id_r"]) for r in out.collect()}
     want = {(i, j) for i, near in brute_nearest(clumped, 5).items() for j in near}
     assert len(got) == 5 * len(clumped)
-    assert len(got & want) >= 0.5 * len(want)
+    assert len(got & want) >= 0.9 * len(want)
+
+
+@pytest.fixture(scope="module")
+def grouped(spark):
+    """1,500 vectors in 60 groups far apart."""
+    rng = np.random.default_rng(3)
+    m = np.repeat(rng.normal(size=(60, 16)), 25, axis=0) + rng.normal(size=(1500, 16)) * 0.02
+    m = (m / np.linalg.norm(m, axis=1, keepdims=True)).astype(np.float32)
+    data = [(i, [float(x) for x in v]) for i, v in enumerate(m)]
+    return m, stage(spark.createDataFrame(data, "id long, vec array<float>").repartition(6))
+
+
+@pytest.mark.parametrize("approx", [False, True])
+def test_cells_that_cannot_hold_a_hit_are_skipped(grouped, approx):
+    m, df = grouped
+    out, report = E.sim_join(df, df.withColumnsRenamed({"id": "id2", "vec": "vec2"}), "vec", "vec2", 4, left_key="id", right_key="id2",
+                             approx=approx, recall=0.9, stats=True, broadcast_bytes=0, block_rows=200)
+    got: dict[int, list] = {}
+    for r in out.orderBy("id", F.desc("_scores"), "id2").collect():
+        got.setdefault(r["id"], []).append(r["id2"])
+    want = brute_nearest(m, 4)
+    assert report["pairs"] == 1500 * 1500 and report["pairs_scored"] < 0.5 * report["pairs"]
+    if approx:
+        assert sum(len({*got[i]} & {*near}) for i, near in want.items()) >= 0.9 * 4 * len(m)
+    else:
+        assert got == want
+
+
+def test_copies_of_one_vector_are_settled_by_key(spark):
+    same = [(i, [1.0, 0.0, 0.5]) for i in range(700)] + [(700 + i, [float(i % 7), 1.0, 0.0]) for i in range(60)]
+    df = spark.createDataFrame(same, "id long, vec array<float>").repartition(3)
+    m = np.array([v for _, v in same])
+    out = E.sim_join(df, df.withColumnsRenamed({"id": "id2", "vec": "vec2"}), "vec", "vec2", 3, left_key="id", right_key="id2", broadcast_bytes=0, block_rows=64)
+    got: dict[int, list] = {}
+    for r in out.orderBy("id", F.desc("_scores"), "id2").collect():
+        got.setdefault(r["id"], []).append(r["id2"])
+    assert got == brute_nearest(m, 3)
+
+
+def test_sides_without_rows(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0])], "id long, vec array<float>")
+    none, other = df.limit(0), df.withColumnsRenamed({"id": "id2", "vec": "vec2"})
+    assert E.sim_join(none, other, "vec", "vec2", 2, left_key="id", right_key="id2", broadcast_bytes=0).collect() == []
+    assert E.sim_join(df, other.limit(0), "vec", "vec2", 2, left_key="id", right_key="id2").collect() == []
+
+
+def test_normal_distribution():
+    from math import erf
+
+    x = np.linspace(-6, 6, 101)
+    assert np.abs(M._normal_below(x) - [(1 + erf(v / 2**0.5)) / 2 for v in x]).max() < 1e-6
 
 
 def brute_kept(m, floor):
