@@ -7,12 +7,12 @@ with batches of row texts; clients with sockets should open them lazily in
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Callable, Sequence
 from typing import NamedTuple, Protocol
 
 import numpy as np
-import xxhash
 
 from semtab.models.prompts import PromptSpec
 
@@ -149,7 +149,10 @@ class ConfidenceCascade:
 
 
 class HashEmbedder:
-    """Hashed word counts, L2-normalised: a deterministic offline encoder."""
+    """Hashed word counts, L2-normalised: a deterministic offline encoder.
+
+    The first eight hexadecimal digits of a word's MD5 say which coordinate it counts in, the next two, odd or even, its sign.
+    """
 
     def __init__(self, dim: int = 64, batch_size: int = 64) -> None:
         self.dim, self.batch_size = dim, batch_size
@@ -158,8 +161,8 @@ class HashEmbedder:
         out = np.zeros((len(texts), self.dim), dtype=np.float32)
         for i, text in enumerate(texts):
             for word in text.lower().split():
-                h = xxhash.xxh64_intdigest(word)
-                out[i, h % self.dim] += 1.0 if (h >> 32) & 1 else -1.0
+                h = hashlib.md5(word.encode("utf-8", "surrogatepass"), usedforsecurity=False).digest()
+                out[i, int.from_bytes(h[:4], "big") % self.dim] += 1.0 if h[4] & 1 else -1.0
         norms = np.linalg.norm(out, axis=1, keepdims=True)
         return out / np.where(norms == 0, 1.0, norms)
 

@@ -275,15 +275,33 @@ def partition_by(t):
 # --- clusters --------------------------------------------------------------
 
 
-@query(name="sem_cluster_by")
+def _clusters_sql(k: int, rounds: int) -> str:
+    """K-means in SQL, step by step: farthest-first centres, then rounds of assignment and means. Ends in a table ``a`` of ``id c``."""
+    near = "round(list_distance(e.v, s.v), 9)"
+    steps = ["e AS MATERIALIZED (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)",
+             "s0 AS MATERIALIZED (SELECT 0 AS c, arg_min(v, id) AS v FROM e)"]
+    for c in range(1, k):
+        steps.append(f"""s{c} AS MATERIALIZED (SELECT * FROM s{c - 1} UNION ALL SELECT {c}, v FROM (
+            SELECT e.id, any_value(e.v) AS v, min({near}) AS d FROM e, s{c - 1} s GROUP BY e.id ORDER BY d DESC, e.id LIMIT 1))""")
+    before = f"s{k - 1}"
+    for n in range(rounds + 1):
+        steps.append(f"a{n} AS MATERIALIZED (SELECT id, v, c FROM (SELECT e.id, e.v, s.c, row_number() OVER (PARTITION BY e.id ORDER BY {near}, s.c) AS o FROM e, {before} s) WHERE o = 1)")
+        steps.append(f"""m{n} AS MATERIALIZED (SELECT old.c, coalesce(new.v, old.v) AS v FROM {before} old LEFT JOIN (
+            SELECT c, list(x ORDER BY p) AS v FROM (SELECT c, p, round(avg(x), 9) AS x FROM
+                (SELECT c, unnest(v) AS x, generate_subscripts(v, 1) AS p FROM a{n}) GROUP BY c, p) GROUP BY c) new ON old.c = new.c)""")
+        before = f"m{n}"
+    return f"WITH {', '.join(steps)}, a AS (SELECT id, c FROM a{rounds})"
+
+
+@query(_clusters_sql(8, 10) + " SELECT id AS vec_id, CAST(c AS INTEGER) AS cluster_id FROM a", name="sem_cluster_by")
 def cluster_by(t):
-    return sem_cluster_by(t.embeddings, "embedding", 8).groupBy("cluster_id").agg(F.count("*").alias("n"))
+    return sem_cluster_by(t.embeddings, "embedding", 8, max_iter=10, key="vec_id").select("vec_id", "cluster_id")
 
 
-@query(name="cluster_summary")
+@query(_clusters_sql(8, 10) + " SELECT max('vector ' || id) AS summary, count(*) AS vec_id_count FROM a GROUP BY c", name="cluster_summary")
 def cluster_summary_(t):
     named = t.embeddings.withColumn("name", F.concat(F.lit("vector "), "vec_id"))
-    return cluster_summary(named, "name", "embedding", 8, "vec_id", "count", R.LARGEST)
+    return cluster_summary(named, "name", "embedding", 8, "vec_id", "count", R.LARGEST, max_iter=10, key="vec_id")
 
 
 # --- reading claims and replies --------------------------------------------

@@ -93,7 +93,19 @@ def sem_dedup_cells(t):
     return out.select("vec_id", "label")
 
 
-@query()
+def _vectors_sql(table: str, key: str) -> str:
+    """The vectors of :class:`HashEmbedder` for a table's texts, as ``id v``: signed word counts by MD5, divided by their length in 32-bit floats."""
+    return f"""(SELECT id, list(CAST(coalesce(x, 0) / n AS FLOAT)::DOUBLE ORDER BY p) AS v FROM (
+            SELECT id, p, x, CASE WHEN n = 0 THEN 1 ELSE n END AS n FROM (SELECT id, CAST(sqrt(sum(x * x)) AS FLOAT)::DOUBLE AS n FROM {{0}} GROUP BY id) JOIN {{0}} USING (id))
+          GROUP BY id)""".replace("{0}", f"""(SELECT id, p, coalesce(sum(sign), 0)::DOUBLE AS x FROM (SELECT {key} AS id, unnest(range(64)) AS p FROM {table} WHERE text IS NOT NULL)
+            LEFT JOIN (SELECT id, CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % 64 AS p, CASE WHEN CAST('0x' || substr(md5(w), 9, 2) AS BIGINT) % 2 = 1 THEN 1 ELSE -1 END AS sign
+                       FROM (SELECT {key} AS id, unnest(string_split_regex(lower(text), '[ \\n\\t\\r]+')) AS w FROM {table}) WHERE w <> '') USING (id, p) GROUP BY id, p)""")
+
+
+@query(f"""WITH RECURSIVE e AS MATERIALIZED (SELECT text, v FROM (SELECT text, min(doc_id) AS id FROM documents GROUP BY text) JOIN {_vectors_sql('documents', 'doc_id')} USING (id)),
+          l AS MATERIALIZED (SELECT a.text AS u, b.text AS v FROM e a, e b WHERE round(list_inner_product(a.v, b.v), 10) > 0.97 AND a.text <> b.text),
+          r(u, v) AS (SELECT u, v FROM l UNION SELECT r.u, l.v FROM r JOIN l ON r.v = l.u)
+          SELECT doc_id FROM documents WHERE text NOT IN (SELECT u FROM r WHERE v < u)""")
 def sem_dedup_text(t):
     coded = E.embed(t.documents.select("doc_id", "text"), "text", HashEmbedder(64), "vec")
     return E.sem_dedup(coded, "text", "vec", 0.97).select("doc_id")
@@ -107,7 +119,9 @@ def sem_index(t):
     return out.select("doc_id", F.size("vec").alias("dim"))
 
 
-@query()
+@query(f"""WITH s AS (SELECT d.id AS doc_id, i.id AS item_id, round(list_inner_product(d.v, i.v), 10) AS s
+                 FROM {_vectors_sql('documents', 'doc_id')} d, {_vectors_sql('benchmark', 'item_id')} i)
+          SELECT doc_id, item_id, round(s, 6) AS _scores FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, item_id) AS n FROM s) WHERE n = 1""")
 def sim_join_text(t):
     """The passage of the benchmark table that is most like each document."""
     coder = HashEmbedder(64)
