@@ -5,7 +5,9 @@ mapping, ranking, grouping or summary is stated in words ask a pluggable model.
 """
 
 from semtab.functions.sql import qa_over, register_sql_functions
+from semtab.functions.tables import blocking_index, register_table_functions
 from semtab.models.base import ConfidenceCascade, HashEmbedder, OverlapScorer, Reply, RuleModel, TokenChance
+from semtab.models.memo import recorded, usage_of
 from semtab.operators.cascade import calibrate, learn_thresholds, sample_weights, sem_filter_cascade, true_prob
 from semtab.operators.clustering import cluster_summary, sem_cluster_by
 from semtab.operators.folding import sem_agg, sem_partition_by
@@ -21,9 +23,11 @@ from semtab.runtime import local_session, ship, stage
 
 __all__ = [
     "ConfidenceCascade", "HashEmbedder", "JoinCascade", "OverlapScorer", "Ref", "Reply", "RuleModel", "Step",
-    "TokenChance", "agg", "attach_index", "calibrate", "cluster_summary", "column_calculate", "embed", "filter_rows",
-    "groupby", "head", "join", "learn_thresholds", "load_index", "local_session", "orderby", "project", "qa_over",
-    "register_sql_functions", "run_steps", "sample_weights", "sem_agg", "sem_cluster_by", "sem_dedup", "sem_extract",
-    "sem_filter", "sem_filter_batch", "sem_filter_cascade", "sem_index", "sem_join", "sem_map", "sem_partition_by",
-    "sem_search", "sem_topk", "ship", "sim_join", "stage", "true_prob", "typed_step", "value_calculate",
+    "TokenChance", "agg", "attach_index", "blocking_index", "calibrate", "cluster_summary", "column_calculate",
+    "embed", "filter_rows", "groupby", "head", "join", "learn_thresholds", "load_index", "local_session",
+    "orderby", "project", "qa_over", "recorded", "register_sql_functions", "register_table_functions",
+    "run_steps", "sample_weights", "sem_agg", "sem_cluster_by", "sem_dedup", "sem_extract", "sem_filter",
+    "sem_filter_batch", "sem_filter_cascade", "sem_index", "sem_join", "sem_map", "sem_partition_by",
+    "sem_search", "sem_topk", "ship", "sim_join", "stage", "true_prob", "typed_step", "usage_of",
+    "value_calculate",
 ]

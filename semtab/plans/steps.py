@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 
 from semtab.models.base import AnswerModel, Embedder
+from semtab.models.memo import Recorded
 from semtab.operators import values
 from semtab.operators.clustering import cluster_summary
 from semtab.operators.folding import sem_agg
@@ -96,13 +97,15 @@ def run_steps(
     """Apply the steps in order. An error, or an empty table if asked for, ends the run and is recorded.
 
     Steps by value stay lazy. Steps that call a model write its answers when they are
-    applied, so several later steps can read them without new calls.
+    applied, so several later steps can read them without new calls. With a model made by
+    :func:`semtab.models.memo.recorded` calls and tokens are counted per step.
     """
     run = Run(dict(tables))
     for i, step in enumerate(steps):
         began = time.perf_counter()
         try:
-            out, scalar = _apply(step, run, model, embedder)
+            # a recorded model counts each step by itself
+            out, scalar = _apply(step, run, model.at(f"{i} {step.op}") if isinstance(model, Recorded) else model, embedder)
             empty = stop_when_empty and not scalar and out.isEmpty()
         except Exception as e:
             run.error = f"step {i} ({step.op}): {e}"

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from semtab.functions import claims as C
 from semtab.functions.sql import qa_over, register_sql_functions
 from semtab.functions.tables import blocking_index
-from semtab.models.base import HashEmbedder, RuleModel, parts_of
+from semtab.models.base import HashEmbedder, RuleModel, labelled_values, parts_of
+from semtab.models.memo import recorded, usage_of
 from semtab.operators import values as V
 from semtab.operators.cascade import sem_filter_cascade
 from semtab.operators.clustering import cluster_summary, sem_cluster_by
@@ -380,6 +381,86 @@ def answer_memo(t):
     return out.select("p_partkey", "_map")
 
 
+def _folder(t) -> str:
+    return f"{staging_root(t.spark).rstrip('/')}/semtab-suite/{uuid.uuid4().hex}"
+
+
+def _call(name: str, t, model):
+    """One call of an operator whose model calls stay inside tasks."""
+    if name == "sem_join":
+        return sem_join(t.nation, t.region, "{n_name:left} lies in {r_name:right}", model)
+    if name == "sem_topk":
+        return sem_topk(t.part, "Which {p_name} comes first?", 5, model, key="p_partkey")
+    if name == "sem_agg":
+        return sem_agg(t.part, "Which {p_name} is the last?", model, group_by="p_brand")
+    if name == "sem_filter_batch":
+        return sem_filter_batch(t.part, "{p_type} is cheap", model, rows_per_prompt=3)
+    return sem_filter_cascade(t.part, IS_WIDGET, model, model, sample=0.2, recall_target=0.9, precision_target=0.9, failure_probability=0.2)
+
+
+def _any_task(spec, c: str) -> str:
+    if spec.task == "compare":
+        return R.earlier(c)
+    if spec.task in ("fold", "fold_again"):
+        return max(parts_of(c))
+    if spec.task == "judge_list":
+        return str([v.startswith("ECO") for _, v in labelled_values(c)])
+    return str("widget" in c or "1" in c)
+
+
+@query("""SELECT * FROM (VALUES ('sem_join'), ('sem_topk'), ('sem_agg'), ('sem_filter_batch'), ('sem_filter_cascade')) o(step),
+          (VALUES (true, CAST(0 AS BIGINT), true)) v(asked_first, calls_again, hits_again)""")
+def answer_memo_every_operator(t):
+    """A second run over a filled memo asks nothing, whichever operator asks."""
+    folder, runs = _folder(t), []
+    for _ in range(2):
+        model = recorded(t.spark, RuleModel(_any_task, chance=lambda spec, c: 0.9, context_tokens=600, reply_tokens=100), folder)
+        runs.append(model.run)
+        for name in ("sem_join", "sem_topk", "sem_agg", "sem_filter_batch", "sem_filter_cascade"):
+            _call(name, t, model.at(name)).write.format("noop").mode("overwrite").save()
+    first, again = (usage_of(t.spark, folder, r) for r in runs)
+    both = first.select("step", (F.col("calls") > 0).alias("asked_first")).join(again.select("step", F.col("calls").alias("calls_again"), (F.col("hits") > 0).alias("hits_again")), "step")
+    return both.select("step", "asked_first", "calls_again", "hits_again")
+
+
+@query("SELECT count(*) AS calls FROM (SELECT DISTINCT n_name FROM nation), (SELECT DISTINCT r_name FROM region)")
+def usage_join(t):
+    model = recorded(t.spark, RuleModel(_any_task), _folder(t), "sem_join", remember=False)
+    sem_join(t.nation, t.region, "{n_name:left} lies in {r_name:right}", model).count()
+    return usage_of(t.spark, model.folder, model.run).select("calls")
+
+
+@query("SELECT count(*) AS calls FROM (SELECT DISTINCT p_name FROM part) a JOIN (SELECT DISTINCT p_name FROM part) b ON a.p_name < b.p_name")
+def usage_topk(t):
+    """Each pair of distinct names is compared once."""
+    model = recorded(t.spark, R.ALPHABET, _folder(t), "sem_topk", remember=False)
+    sem_topk(t.part, "Which {p_name} comes first?", 5, model, key="p_partkey", method="naive").count()
+    return usage_of(t.spark, model.folder, model.run).select("calls")
+
+
+@query("SELECT true AS same_calls, true AS more_than_groups")
+def usage_agg(t):
+    """Recorded calls, and repeated prompts of a batch that need none, are the prompts that the fold itself counts."""
+    model = recorded(t.spark, RuleModel(_any_task, context_tokens=600, reply_tokens=100), _folder(t), "sem_agg", remember=False)
+    _, stats = sem_agg(t.part, "Which {p_name} is the last?", model, group_by="p_brand", stats=True)
+    groups = t.part.select("p_brand").distinct().count()
+    used = usage_of(t.spark, model.folder, model.run)
+    return used.select((F.col("calls") + F.col("hits") == stats["total_llm_calls"]).alias("same_calls"), (F.col("calls") >= groups).alias("more_than_groups"))
+
+
+@query("""SELECT '1 sem_filter' AS step, count(DISTINCT p_name) AS calls FROM part WHERE p_size > 10
+          UNION ALL SELECT '2 sem_map', count(DISTINCT p_name) FROM part WHERE p_size > 10 AND p_name LIKE '%widget%'""")
+def usage_steps(t):
+    steps = [
+        Step("filter", "part", ("p_size", (("gt", 10),))),
+        Step("sem_filter", "part_filter", (IS_WIDGET,)),
+        Step("sem_map", "part_filter_sem_filter", ("What thing is {p_name}?",)),
+    ]
+    model = recorded(t.spark, RuleModel(_any_task), _folder(t), remember=False)
+    run_steps({"part": t.part}, steps, model)
+    return usage_of(t.spark, model.folder, model.run).select("step", "calls")
+
+
 # --- SQL functions ---------------------------------------------------------
 
 SQL_MODEL = RuleModel(
