@@ -11,7 +11,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -88,24 +88,55 @@ def running_total(
 
 
 def exact_median(
-    df: DataFrame, group: Sequence[str], column: str, out: str, in_memory: int = 1_000_000
+    df: DataFrame, group: Sequence[str], column: str, out: str, in_memory: int = 1_000_000, bins: int = 4096
 ) -> DataFrame:
-    """Exact median per group, from counted values.
+    """Exact median per group; a group without values has a missing one.
 
-    One aggregate holds a group's distinct values up to ``in_memory`` of them; beyond
-    that the counted values are sorted across the cluster and picked by position.
+    One small aggregate tells the size of the largest group. Groups of up to ``in_memory`` values are settled by one
+    further aggregate that holds their distinct values. Beyond that nothing is sorted and no value is shuffled: each round counts the values
+    of every group's open range in ``bins`` intervals, which combine before the shuffle, and keeps the interval that holds
+    the middle, until an interval is one value or has ``in_memory`` values at most. A hot group is no heavier than others.
     """
-    keys = [col(g) for g in group]
-    value = col(column).cast("double")
-    counts = df.groupBy(*keys, value.alias("_v")).agg(F.count("*").alias("_c"))
-    widths = df.groupBy(*keys).agg(F.approx_count_distinct(value).alias("_n"))
-    if (widths.agg(F.max("_n")).first()[0] or 0) <= in_memory:
-        return counts.groupBy(*keys).agg(F.percentile("_v", F.lit(0.5), F.col("_c")).alias(out))
-    counts = stage(counts, "counted")
-    upto = stage(running_total(counts, group, ["_v"], "_c"), "positions")
-    sizes = upto.groupBy(*keys).agg(F.sum("_c").alias("_n"))
-    lower, upper = F.floor((F.col("_n") + 1) / 2), F.floor((F.col("_n") + 2) / 2)
-    start = F.col("_upto") - F.col("_c")
-    hit = lambda at: (start < at) & (F.col("_upto") >= at)
-    picked = upto.join(sizes, list(group)).where(hit(lower) | hit(upper))
-    return picked.groupBy(*keys).agg(((F.min("_v") + F.max("_v")) / 2).alias(out))
+    names = [f"_k{i}" for i in range(len(group))]
+    rows = df.select(*[col(g).alias(k) for g, k in zip(group, names)], col(column).cast("double").alias("_v"))
+    sizes = stage(rows.groupBy(*names).agg(F.count("_v").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")), "sizes")
+    if (sizes.agg(F.max("_n")).first()[0] or 0) <= in_memory:
+        return df.groupBy(*[col(g) for g in group]).agg(F.percentile(col(column).cast("double"), F.lit(0.5)).alias(out))
+    low, up = F.floor((F.col("_n") + 1) / 2), F.floor((F.col("_n") + 2) / 2)
+    left = sizes.where(F.col("_n") > 0).select(*names, "_lo", "_hi", "_n", low.alias("_low"), up.alias("_up"))
+    done: list[DataFrame] = []
+    while True:
+        settled = F.col("_lo") == F.col("_hi")
+        done.append(left.where(settled).select(*names, F.col("_lo").alias("_a"), F.col("_lo").alias("_b")))
+        left = left.where(~settled)
+        most = left.agg(F.max("_n")).first()[0] or 0
+        if most == 0:
+            break
+        within = (rows.join(left, names) if names else rows.crossJoin(F.broadcast(left))).where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
+        if most <= in_memory:
+            values = within.groupBy(*names, "_low", "_up").agg(F.sort_array(F.collect_list("_v")).alias("_s"))
+            done.append(values.select(*names, F.element_at("_s", F.col("_low").cast("int")).alias("_a"), F.element_at("_s", F.col("_up").cast("int")).alias("_b")))
+            break
+        # halves keep the width finite; an endless range parts into its ends and what lies between
+        width = F.col("_hi") / 2 - F.col("_lo") / 2
+        share = F.least(F.floor((F.col("_v") / 2 - F.col("_lo") / 2) / width * bins), F.lit(bins - 1))
+        ends = F.when(F.col("_v") == F.col("_lo"), 0).when(F.col("_v") == F.col("_hi"), bins - 1).otherwise(bins // 2)
+        bin_of = F.when(width == float("inf"), ends).otherwise(share).cast("int").alias("_bin")
+        counted = within.groupBy(*names, "_low", "_up", bin_of).agg(F.count("*").alias("_c"), F.min("_v").alias("_from"), F.max("_v").alias("_to"))
+        upto = F.sum("_c").over(Window.partitionBy(*names).orderBy("_bin"))  # at most `bins` rows per group
+        placed = counted.withColumn("_upto", upto).withColumn("_before", F.col("_upto") - F.col("_c"))
+        holds = lambda rank: (F.col("_before") < F.col(rank)) & (F.col("_upto") >= F.col(rank))
+        shape = F.struct("_from", "_to", "_before", "_c", "_bin")
+        picked = placed.groupBy(*names, "_low", "_up").agg(F.max(F.when(holds("_low"), shape)).alias("_l"), F.max(F.when(holds("_up"), shape)).alias("_u"))
+        picked = stage(picked, "median")
+        same = F.col("_l._bin") == F.col("_u._bin")
+        # the middle pair falls apart: the last value of one interval and the first of the next
+        done.append(picked.where(~same).select(*names, F.col("_l._to").alias("_a"), F.col("_u._from").alias("_b")))
+        rank = lambda name: (F.col(name) - F.col("_l._before")).alias(name)
+        left = picked.where(same).select(*names, F.col("_l._from").alias("_lo"), F.col("_l._to").alias("_hi"), F.col("_l._c").alias("_n"), rank("_low"), rank("_up"))
+    found = done[0]
+    for more in done[1:]:
+        found = found.unionByName(more)
+    middle = (F.col("_a") + F.col("_b")) / 2
+    every = sizes.select(*names).join(found, names, "left") if names else found
+    return every.select(*[col(k).alias(g) for k, g in zip(names, group)], middle.alias(out))

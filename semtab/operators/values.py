@@ -203,11 +203,13 @@ def groupby(
     *,
     order_by: str | None = None,
     sort: bool = False,
+    in_memory: int = 1_000_000,
 ) -> DataFrame:
     """Group by ``keys`` and aggregate one column into ``{column}_{func}``.
 
     Rows with a missing key are left out. ``count`` may target a key column,
-    other functions may not. ``sort=True`` returns the groups in key order.
+    other functions may not. ``sort=True`` returns the groups in key order. Medians are exact; groups of more
+    than ``in_memory`` values are settled by rounds of counting instead of one aggregate.
     """
     names = _names(keys)
     require_columns(df, [*names, column])
@@ -220,12 +222,8 @@ def groupby(
     if func == "median":
         if not is_numeric(dtype_of(df, column)):
             raise ValueError(f"median needs a numeric column; {column!r} is not")
-        grouped = exact_median(kept.where(~missing(df, column)), names, column, out)
-        # groups without any present value have no median, but still are groups
-        alone = kept.where(missing(df, column)).select(*[col(n) for n in names]).distinct()
-        grouped = grouped.unionByName(
-            alone.join(grouped, names, "left_anti").withColumn(out, F.lit(None).cast("double"))
-        )
+        present = kept.withColumn(column, F.when(~missing(kept, column), col(column)))
+        grouped = exact_median(present, names, column, out, in_memory)
     else:
         grouped = kept.groupBy(*[col(n) for n in names]).agg(_aggregate(df, column, func, order_by).alias(out))
     return grouped.orderBy(*[col(n) for n in names]) if sort else grouped

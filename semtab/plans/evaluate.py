@@ -74,6 +74,67 @@ def judged_agreement(
     return answers.join(judged, on).select(*[pick(answers, c) for c in answers.columns], F.col("_agree").alias(out))
 
 
+def _cells(row: Column) -> Column:
+    """A stored row as an array of ``(name, missing, value)`` under the names it is compared by."""
+    name = lambda k: F.replace(F.replace(k, F.lit(":left"), F.lit("")), F.lit(":right"), F.lit("_1"))
+    return F.transform(F.map_entries(row), lambda e: F.struct(name(e["key"]).alias("k"), e["value"].isNull().alias("m"), F.coalesce(e["value"], F.lit("")).alias("v")))
+
+
+def tables_agree(predicted: DataFrame, true: DataFrame, case: str = "case_id", row: str = "row", share: float = AGREEMENT) -> DataFrame:
+    """``case agree`` for the tables of many cases at once: :func:`table_agreement` of each, in one job.
+
+    Both sides hold one stored row per row, a map from column name to value as text (missing values are NULL); cases may have
+    any columns. Rows are known by two hashes of their common cells, which spread the rows of a case over all tasks;
+    the list of a case's common columns is brought to its rows by a join that splits large cases. Cases
+    with rows on one side only, or without a common column, do not agree.
+    """
+    p, t = (df.select(col(case).alias("_case"), _cells(col(row)).alias("_cells")).where(F.col("_cells").isNotNull()) for df in (predicted, true))
+
+    def names(df: DataFrame, out: str) -> DataFrame:
+        each = df.select("_case", F.explode(F.array_distinct(F.transform("_cells", lambda c: c["k"]))).alias("_k")).distinct()
+        return each.groupBy("_case").agg(F.collect_set("_k").alias(out))
+
+    common = names(p, "_a").join(names(t, "_b"), "_case").select("_case", F.array_intersect("_a", "_b").alias("_common")).where(F.size("_common") > 0)
+    common = stage(common, "common")
+
+    def prints(df: DataFrame, tag: int) -> DataFrame:
+        # a cell that a row leaves out is a missing one
+        value = lambda c, k: F.coalesce(F.element_at(F.filter(c, lambda x: x["k"] == k), 1), F.struct(k.alias("k"), F.lit(True).alias("m"), F.lit("").alias("v")))
+        rows = split_join(df, common, "_case")
+        own = F.transform(F.array_sort("_common"), lambda k: value(F.col("_cells"), k))
+        return rows.select("_case", *[F.xxhash64(F.lit(seed), own).alias(f"_h{seed}") for seed in (1, 2)], F.lit(tag).alias("_p"), F.lit(1 - tag).alias("_t"))
+
+    both = prints(p, 1).union(prints(t, 0)).groupBy("_case", "_h1", "_h2").agg(F.max("_p").alias("_p"), F.max("_t").alias("_t"))
+    counted = both.groupBy("_case").agg(F.sum("_p").alias("_np"), F.sum("_t").alias("_nt"), F.sum(F.col("_p") * F.col("_t")).alias("_n"))
+    enough = (F.col("_n") >= share * F.col("_np")) & (F.col("_n") >= share * F.col("_nt")) & (F.col("_np") > 0) & (F.col("_nt") > 0)
+    return counted.select(F.col("_case").alias(case), enough.alias("agree"))
+
+
+# Fixed values of the published scoring: the last operator of the true plan says how an answer is scored.
+TOLD = ("sem_agg",)
+COUNTED = ("agg", "value_calculate")
+
+
+def answer_accuracy(
+    cases: DataFrame, predicted: DataFrame, true: DataFrame, model: AnswerModel, *, case: str = "case_id", operator: str = "operator",
+    prediction: str = "prediction", truth: str = "truth", row: str = "row",
+) -> DataFrame:
+    """``case answer_accuracy`` for a whole test set in one job.
+
+    ``cases`` holds per case the last operator of the true plan and both final answers as text, ``predicted`` and
+    ``true`` the stored rows of the final tables (see :func:`tables_agree`). A told answer (``sem_agg``) is right if the model
+    finds it so; a number (``agg``, ``value_calculate``) if its table agrees or else the model finds its text right; any other
+    answer if its table agrees. The model is asked once per distinct pair of texts that a table does not settle.
+    """
+    agree = tables_agree(predicted, true, case, row).withColumnsRenamed({case: "_case", "agree": "_agree"})
+    kept = cases.select(col(case).alias("_id"), col(operator).alias("_op"), col(prediction).cast("string").alias("_said"), col(truth).cast("string").alias("_meant"))
+    scored = stage(kept.join(agree, F.col("_id") == F.col("_case"), "left").drop("_case").withColumn("_agree", F.coalesce("_agree", F.lit(False))), "agreement")
+    to_judge = F.coalesce(F.col("_op").isin(*TOLD) | (F.col("_op").isin(*COUNTED) & ~F.col("_agree")), F.lit(False))
+    judged = judged_agreement(scored.where(to_judge).select("_id", "_said", "_meant"), "_said", "_meant", model, "_right")
+    settled = scored.where(~to_judge).select("_id", F.col("_agree").alias("_right"))
+    return judged.select("_id", "_right").unionByName(settled).select(F.col("_id").alias(case), F.col("_right").alias("answer_accuracy"))
+
+
 # --- operators -------------------------------------------------------------
 
 

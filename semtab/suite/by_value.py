@@ -180,6 +180,17 @@ for _f, _s in [
     _add_group(_f, _s)
 
 
+@query("""SELECT l_returnflag, median(l_extendedprice) AS l_extendedprice_median FROM lineitem GROUP BY l_returnflag""")
+def groupby_median_large(t):
+    """As for groups of more values than one task may hold: rounds of counting, nothing sorted."""
+    return V.groupby(t.lineitem, "l_returnflag", "l_extendedprice", "median", in_memory=100)
+
+
+@query("""SELECT p_brand, product(CAST(p_size % 3 + 1 AS DOUBLE)) AS size_prod FROM part GROUP BY p_brand""")
+def groupby_prod(t):
+    return V.groupby(t.part.withColumn("size", (F.col("p_size") % 3 + 1).cast("double")), "p_brand", "size", "prod")
+
+
 @query("""SELECT o_orderpriority, arg_min(o_totalprice, o_orderkey) AS o_totalprice_first
           FROM orders GROUP BY o_orderpriority""")
 def groupby_first(t):

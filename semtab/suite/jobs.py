@@ -184,6 +184,25 @@ def table_agreement(t):
     return Ev.table_agreement(p, truth)
 
 
+@query("""WITH o AS (SELECT o_custkey % 1000 + 1 AS id, o_orderkey, o_totalprice, o_orderkey % 25 <> 0 OR o_custkey % 7 = 0 AS p, o_orderkey % 40 <> 1 AS t FROM orders),
+               r AS (SELECT id, o_orderkey, o_totalprice, bool_or(p) AS p, bool_or(t) AS t FROM o GROUP BY ALL),
+               n AS (SELECT id, count(*) FILTER (p) AS np, count(*) FILTER (t) AS nt, count(*) FILTER (p AND t) AS m FROM r GROUP BY id),
+               a AS (SELECT id, np > 0 AND nt > 0 AND m >= 0.9 * np AND m >= 0.9 * nt AS agree, id % 5 <> 0 AS told, id % 3 AS kind FROM n),
+               c AS (SELECT id, CASE kind WHEN 0 THEN told WHEN 1 THEN agree OR told ELSE agree END AS good FROM a)
+          SELECT CAST((id - 1) // 143 + 1 AS INTEGER) AS bucket, count(*) AS cases, count(*) FILTER (good) AS good FROM c GROUP BY 1""")
+def answer_accuracy(t):
+    """All cases of seven buckets scored by one job: tables, numbers and told answers."""
+    o = t.orders.withColumn("case_id", F.col("o_custkey") % 1000 + 1)
+    row = lambda key: F.create_map(F.lit(key), F.col("o_orderkey").cast("string"), F.lit("o_totalprice"), F.col("o_totalprice").cast("string"))
+    predicted = o.where("o_orderkey % 25 <> 0 OR o_custkey % 7 = 0").select("case_id", row("o_orderkey:left").alias("row"))
+    true = o.where("o_orderkey % 40 <> 1").select("case_id", row("o_orderkey").alias("row"))
+    kind = F.element_at(F.array(F.lit("sem_agg"), F.lit("agg"), F.lit("orderby")), (F.col("case_id") % 3 + 1).cast("int"))
+    told = F.when(F.col("case_id") % 5 == 0, "wrong").otherwise(F.col("case_id").cast("string"))
+    cases = o.select("case_id").distinct().select("case_id", kind.alias("operator"), told.alias("prediction"), F.col("case_id").cast("string").alias("truth"))
+    out = Ev.answer_accuracy(cases, predicted, true, R.judge(lambda c: R.value(c) == R.value(c, 1)))
+    return out.groupBy(Ev.bucket_of(F.col("case_id")).alias("bucket")).agg(F.count("*").alias("cases"), F.count_if("answer_accuracy").alias("good"))
+
+
 @query("""SELECT o_orderkey, CAST(o_totalprice > 200000 AS VARCHAR) = CAST(o_orderstatus = 'F' AS VARCHAR) AS agree FROM orders""")
 def scalar_agreement(t):
     p, truth = F.col("o_totalprice") > 200000, F.col("o_orderstatus") == "F"

@@ -322,3 +322,31 @@ def test_template(spark, sequence):
         assert len(answer) == 2
     if sequence[-1] in ("Aggregate", "Sem_Aggregate"):
         assert len(answer) == 1
+
+
+def test_answers_of_many_cases(spark):
+    row = "case_id int, row map<string,string>"
+    many = [{"a:left": str(k), "b": None, "x": "1"} for k in range(20)]
+    predicted = [(1, r) for r in many] + [(2, {"q": "1"}), (3, {"a": "1"}), (5, {"a": "1"}), (6, {"n": "4"}), (7, {"n": "4"}), (9, {"a": None, "b": "1"}), (10, {"a": "1", "b": "2"})]
+    true = [(1, {"a": str(k), "b": None}) for k in range(19)] * 2 + [(2, {"a": "1"}), (4, {"a": "1"}), (5, {"a": "2"}), (6, {"n": "4"}), (7, {"n": "5"}), (9, {"a": "1", "b": None}), (10, {"b": "2"})]
+    cases = [(1, "map", "", ""), (2, "map", "", ""), (3, "map", "", ""), (4, "filter", "", ""), (5, "join", "x", "x"), (6, "agg", "4", "5"), (7, "agg", "four", "four"),
+             (8, "sem_agg", "yes", "yes"), (9, "map", "", ""), (10, "map", "", ""), (11, "sem_agg", "yes", "no"), (12, "value_calculate", None, "1"), (13, None, "a", "a")]
+    model = R.judge(lambda c: R.value(c) == R.value(c, 1))
+    got = Ev.answer_accuracy(spark.createDataFrame(cases, "case_id int, operator string, prediction string, truth string"), spark.createDataFrame(predicted, row), spark.createDataFrame(true, row), model)
+    assert {r["case_id"] for r in got.collect() if r["answer_accuracy"]} == {1, 6, 7, 8, 10} and got.count() == 13
+
+
+def test_tables_agree_as_one_by_one(spark):
+    rows_of = lambda df, case: df.select(F.lit(case).alias("case_id"), F.create_map(*[x for c in df.columns for x in (F.lit(c), F.col(f"`{c}`").cast("string"))]).alias("row"))
+    truth = spark.range(100).selectExpr("id AS a", "id % 7 AS b")
+    sides = {k: truth.where(f"a >= {k}").selectExpr("a AS `a:left`", "b", "1 AS c") for k in (0, 5, 10, 11, 100)}
+    predicted = [rows_of(df, k) for k, df in sides.items()]
+    both = predicted[0]
+    for p in predicted[1:]:
+        both = both.unionByName(p)
+    true = rows_of(truth, 0)
+    for k in list(sides)[1:]:
+        true = true.unionByName(rows_of(truth, k))
+    got = {r["case_id"]: r["agree"] for r in Ev.tables_agree(both, true).collect()}
+    want = {k: Ev.table_agreement(df, truth).first()["agree"] for k, df in sides.items()}
+    assert {k: got.get(k, False) for k in sides} == want and want[10] and not want[11]

@@ -145,6 +145,23 @@ def test_median_of_hot_and_small_groups(spark, in_memory):
     assert {r["k"]: r["v_median"] for r in empty.collect()}["hot"] is None
 
 
+@pytest.mark.parametrize("bins", [4, 4096])
+def test_median_by_rounds_of_counting(spark, bins):
+    """Ties, infinities, wide and narrow ranges, two middle values far apart; whole tables and groups."""
+    import statistics
+
+    from semtab.operators.running import exact_median
+
+    inf = float("inf")
+    data = {"ties": [1.0] * 30 + [2.0] * 31, "even": [1.0] * 10 + [5.0] * 10, "wide": [10.0**k for k in range(-40, 41)], "narrow": [1 + k * 1e-15 for k in range(64)],
+            "ends": [-inf] * 9 + [inf] * 8 + [3.0, -1e308, 1e308, 2.0], "one": [7.0], "two": [1.0, 4.0], "zero": [0.0, -0.0, 0.0]}
+    df = spark.createDataFrame([(k, v) for k, vs in data.items() for v in vs] + [("none", None), ("ties", None)], "k string, v double").repartition(3)
+    got = {r["k"]: r["m"] for r in exact_median(df, ["k"], "v", "m", 2, bins).collect()}
+    assert got == {**{k: statistics.median(v) for k, v in data.items()}, "none": None}
+    every = sorted(v for vs in data.values() for v in vs)
+    assert exact_median(df, [], "v", "m", 2, bins).first()["m"] == statistics.median(every)
+
+
 def test_column_calculate(spark):
     df = spark.createDataFrame([(1, 2, "a", "b"), (1, 0, "c", None), (0, 0, "e", "f"), (-1, 0, "g", "h")], "a int, b int, s string, t string")
     div = [r["result"] for r in V.column_calculate(df, "a", "b", "div").collect()]
