@@ -1,13 +1,15 @@
 """Semantic aggregation: many rows folded into one text per group.
 
-Rows are range-partitioned by group and order, so a group of any size is spread
-over tasks. Each task packs neighbours into prompts up to the token budget and
-asks the model while it reads. Further levels fold the answers, which are written
-out between levels, until one is left per group.
+With a wanted order rows are range-partitioned by group and order; without one, groups
+of many prompts are dealt into slices by a hash of their rows, as many as their tokens need, so a group of
+any size is spread over tasks and its prompts are the same in every run. Each task packs neighbours
+into prompts up to the token budget and asks the model while it reads. Further levels
+fold the answers, which are written out between levels. Groups with one answer leave after each level.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -22,11 +24,34 @@ from semtab.models.prompts import PromptSpec
 from semtab.runtime import col, missing, require_columns, stage, tasks_for
 
 MAX_TASKS = 50_000
+#: Prompts that a slice of a large group fills, about.
+SLICE_PROMPTS = 8
+
+
+def _same_keys(df: DataFrame, keys: list[str]):
+    """Join condition with a table that holds the keys as ``_j0 _j1 …``; missing keys are keys too."""
+    on = [df[k].eqNullSafe(F.col(f"_j{i}")) for i, k in enumerate(keys)]
+    return functools.reduce(lambda a, b: a & b, on)
+
+
+def _sliced(docs: DataFrame, keys: list[str], budget: int) -> DataFrame:
+    """Rows with their ``_slice``: 0, but for groups of more tokens than a slice, which are dealt by hash."""
+    width = SLICE_PROMPTS * budget
+    tokens = docs.groupBy(*keys).agg(F.sum(F.ceil(F.length("_doc") / 4) + 5).alias("_t"))
+    large = tokens.where(F.col("_t") > width).select(*[F.col(k).alias(f"_j{i}") for i, k in enumerate(keys)], F.ceil(F.col("_t") / width).alias("_n"))
+    large = stage(large, "large")
+    n = large.count()
+    if n == 0:
+        return docs.withColumn("_slice", F.lit(0).cast("long"))
+    joined = docs.join(F.broadcast(large) if n <= 100_000 else large, _same_keys(docs, keys), "left")
+    return joined.withColumn("_slice", F.pmod("_first", F.coalesce("_n", F.lit(1)).cast("long"))).select(*docs.columns, "_slice")
 
 
 def _level(docs: DataFrame, keys: list[str], order: list[str], model: AnswerModel, spec: PromptSpec,
-           tasks: int, budget: int) -> DataFrame:
+           tasks: int, budget: int, ordered: bool) -> DataFrame:
     """One level: neighbours of a group packed up to ``budget`` tokens, one answer per pack."""
+    if keys and not ordered:
+        docs, keys = _sliced(docs.drop("_slice"), keys, budget), [*keys, "_slice"]
     leaf = spec.task == "fold"
     tag = "Document" if leaf else "Source"
     measure = getattr(model, "count_tokens", count_tokens)
@@ -79,6 +104,8 @@ def _level(docs: DataFrame, keys: list[str], order: list[str], model: AnswerMode
     by = [*keys, *order]
     if not by:
         ranged = docs.coalesce(tasks)  # rows are read where and as they lie
+    elif not ordered and keys:
+        ranged = docs.repartition(tasks, *keys).sortWithinPartitions(*by)
     elif tasks > 1:
         ranged = docs.repartitionByRange(tasks, *by).sortWithinPartitions(*by)
     else:
@@ -87,22 +114,37 @@ def _level(docs: DataFrame, keys: list[str], order: list[str], model: AnswerMode
 
 
 def _fold(docs: DataFrame, keys: list[str], order: list[str], model: AnswerModel, instruction: str,
-          tasks: int, rows_per_task: int, budget: int, first: str, asked: list[DataFrame]) -> DataFrame:
-    """Levels until every group has one row."""
+          tasks: int, rows_per_task: int, budget: int, first: str, asked: list[DataFrame], levels: list[dict], ordered: bool) -> DataFrame:
+    """Levels until every group has one row; those that have leave the table at once."""
     task, before = first, None
+    finished: list[DataFrame] = []
     while True:
         spec = PromptSpec(task, instruction)
         room = budget - sum(count_tokens(m["content"]) for m in spec.messages(""))
-        docs = _level(docs, keys, order, model, spec, tasks, max(room, 1))
+        docs = _level(docs, keys, order, model, spec, tasks, max(room, 1), ordered)
         asked.append(docs.select("_asked"))
         rows = docs.count()
-        groups = docs.select(*keys).distinct().count() if keys else min(rows, 1)
-        if rows <= groups:
-            return docs
+        open_groups = 0
+        if keys:
+            several = docs.groupBy(*keys).count().where("count > 1").select(*[F.col(k).alias(f"_j{i}") for i, k in enumerate(keys)])
+            several = stage(several, "open")
+            open_groups = several.count()
+        levels.append({"task": task, "tasks": tasks, "rows": rows, "open_groups": open_groups if keys else int(rows > 1)})
+        if open_groups == 0 if keys else rows <= 1:
+            break
+        if keys:
+            few = F.broadcast(several) if open_groups <= 100_000 else several
+            finished.append(docs.join(few, _same_keys(docs, keys), "left_anti"))
+            docs = docs.join(few, _same_keys(docs, keys), "left_semi")
+            rows = docs.count()
         if before is not None and rows >= before and tasks == 1:
             raise ValueError("answers are too long to fold: no two fit into one prompt; raise the budget")
-        tasks = min(tasks_for(rows, rows_per_task), max(1, tasks // 2))
+        # tasks by what is left to read; halved at least, so that a fold comes to an end
+        tasks = min(tasks_for(rows, min(rows_per_task, SLICE_PROMPTS * model.batch_size)), max(1, tasks // 2))
         before, task, order = rows, "fold_again", order or ["_first"]
+    for part in finished:
+        docs = docs.unionByName(part)
+    return docs
 
 
 def sem_agg(
@@ -124,7 +166,8 @@ def sem_agg(
     The named columns make up a row's text, all columns when the instruction names
     none. Rows of one ``partition_by`` value share no first-level prompt with
     others; once each partition has its summary, these are folded. Rows are read
-    in ``order_by`` order, otherwise as they lie.
+    in ``order_by`` order, otherwise as they lie or, in groups, by a hash. ``stats`` returns ``(rows, {"total_llm_calls", "levels"})``,
+    a level with its tasks, its answers and the groups still open.
     """
     names = distinct_holes(instruction)
     if all_cols or not names:
@@ -153,17 +196,18 @@ def sem_agg(
     claim = fill_claim(instruction)
     # without a wanted order a fixed hash spreads the rows of a group; one single group needs no move at all
     order = o or (["_first"] if g or part else [])
-    folded = _fold(docs, [*g, "_p"] if part else g, order, model, claim, tasks, rows_per_task, budget, "fold", asked)
+    levels: list[dict] = []
+    folded = _fold(docs, [*g, "_p"] if part else g, order, model, claim, tasks, rows_per_task, budget, "fold", asked, levels, bool(o))
     if part:
         rows = folded.count()
         groups_left = folded.select(*g).distinct().count() if g else min(rows, 1)
         if rows > groups_left:
             folded = _fold(folded, g, ["_p"], model, claim, tasks_for(rows, rows_per_task), rows_per_task, budget,
-                           "fold_again", asked)
+                           "fold_again", asked, levels, True)
     result = folded.select(*[F.col(a).alias(c) for c, a in zip(groups, g)], F.col("_doc").alias(out))
     if not stats:
         return result
-    return result, {"total_llm_calls": sum(a.agg(F.sum("_asked")).first()[0] or 0 for a in asked)}
+    return result, {"total_llm_calls": sum(a.agg(F.sum("_asked")).first()[0] or 0 for a in asked), "levels": levels}
 
 
 def sem_partition_by(df: DataFrame, partition, out: str = "_partition_id") -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from semtab.runtime import col, nan_to_null, pick
+from semtab.runtime import col, pick
+from semtab.sources.csv_records import MISSING_WORDS, as_kind, kinds_of, read_records
 
 _COST = T.StructType(
     [
@@ -78,15 +79,25 @@ def scan_csv(
     spark: SparkSession, path: str, schema: T.StructType | str | None = None, multiline: bool = True,
     encoding: str = "utf-8",
 ) -> DataFrame:
-    """A table from CSV with a header; NaN and empty cells become NULL.
+    """A table from CSV with a header; empty cells and words such as ``NA``, ``null`` or ``nan`` become NULL.
 
-    Give a ``schema`` for large files: inference reads the data once more, and
-    ``multiline=False`` lets one file be split over tasks.
+    Quoted fields may hold line breaks: UTF-8 files are split over tasks all the same (:mod:`semtab.sources.csv_records`), files in
+    another encoding are read one per task. ``multiline=False`` promises that no field holds a line break, which
+    saves a pass. Give a ``schema`` for large files: inference reads the data once more.
     """
+    if multiline and encoding.lower().replace("-", "") in ("utf8", "usascii", "ascii"):
+        return read_records(spark, path, schema)
     reader = spark.read.option("header", True).option("quote", '"').option("escape", '"')
-    reader = reader.option("multiLine", multiline).option("encoding", encoding).option("nanValue", "nan")
-    reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
-    return nan_to_null(reader.csv(path))
+    reader = reader.option("multiLine", multiline).option("encoding", encoding)
+    texts = reader.csv(path)
+    if schema is None:
+        # types are read off the cells that are left when missing words are gone
+        marked = texts.select(*[F.when(~col(c).isin(*MISSING_WORDS), col(c)).alias(c) for c in texts.columns])
+        kinds = kinds_of(marked)
+        return marked.select(*[as_kind(col(c), k).alias(c) for c, k in zip(texts.columns, kinds)])
+    given = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    marked = [F.when(~col(c).isin(*MISSING_WORDS), col(c)) for c in texts.columns]
+    return texts.select(*[as_kind(c, f.dataType).alias(f.name) for c, f in zip(marked, given.fields)])
 
 
 def detect_encoding(spark: SparkSession, path: str) -> str:

@@ -262,6 +262,14 @@ def sem_agg_documents(t):
     return sem_agg(t.documents, "How long is the longest {text}?", R.LONGEST, group_by="lang")
 
 
+@query("""SELECT CASE WHEN user_id % 3 = 0 THEN 'hot' ELSE event_type || user_id % 5 END AS g, CAST(max(event_id) AS VARCHAR) AS _output FROM events GROUP BY 1""")
+def sem_agg_skewed(t):
+    """One group holds a third of the events and needs several levels; the small ones leave after the first."""
+    events = t.events.withColumn("g", F.when(F.col("user_id") % 3 == 0, "hot").otherwise(F.concat("event_type", F.col("user_id") % 5)))
+    largest = RuleModel(lambda spec, c: str(max(int(R.whole(p) if spec.task == "fold" else p) for p in parts_of(c))), context_tokens=900, reply_tokens=100)
+    return sem_agg(events, "Which {event_id} is the largest?", largest, group_by="g")
+
+
 @query("SELECT p_brand, max(p_name) AS _output FROM part GROUP BY p_brand")
 def sem_agg_partitions(t):
     marked = sem_partition_by(t.part, F.pmod("p_size", F.lit(4)))

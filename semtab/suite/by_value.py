@@ -31,6 +31,27 @@ def scan_csv(t):
         F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 4 <> 0 THEN o_totalprice END AS price, CASE WHEN o_orderkey % 3 <> 0 THEN strftime(o_orderdate, '%Y-%m-%d') END AS day,
+          CASE WHEN o_orderkey % 5 <> 0 THEN o_orderpriority || chr(10) || 'second, "line"' END AS note FROM orders""")
+def scan_csv_missing(t):
+    """Words for missing values, dates as text, and quoted fields with line breaks, with types read off the cells."""
+    folder = _folder(t)
+    day = F.when(F.col("o_orderkey") % 3 != 0, F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise("null")
+    price = F.when(F.col("o_orderkey") % 4 != 0, F.col("o_totalprice").cast("string")).otherwise("NA")
+    note = F.when(F.col("o_orderkey") % 5 != 0, F.concat("o_orderpriority", F.lit('\nsecond, "line"'))).otherwise("N/A")
+    writers.sink_tables_csv({"orders": t.orders.select("o_orderkey", price.alias("price"), day.alias("day"), note.alias("note"))}, folder)
+    return readers.scan_csv(t.spark, f"{folder}/orders.csv")
+
+
+@query("SELECT doc_id, md5(nullif(trim(text), '')) AS text_md5, n_chars FROM documents")
+def scan_csv_documents(t):
+    """Whole texts with their line breaks and quotes, written and read back."""
+    folder = _folder(t)
+    writers.sink_tables_csv({"documents": t.documents.select("doc_id", F.trim("text").alias("text"), "n_chars")}, folder)
+    back = readers.scan_csv(t.spark, f"{folder}/documents.csv", "doc_id long, text string, n_chars long")
+    return back.select("doc_id", F.md5("text").alias("text_md5"), "n_chars")
+
+
 @query("""SELECT DISTINCT p_name AS name,
                  'column_description=' || p_brand || '; value_description=' ||
                  CASE WHEN p_partkey % 3 = 0 THEN 'NULL' ELSE 'one two, ' || p_type END AS description FROM part""")

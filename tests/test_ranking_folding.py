@@ -123,3 +123,17 @@ def test_fold_edges(spark):
     with pytest.raises(ValueError, match="too long to fold"):
         sem_agg(spark.range(3000).select(F.format_string("%0200d", "id").alias("v")), "{v}", grown)
     assert rows(sem_agg(df.withColumn("k", F.when(F.col("v") > "4", "a")), "{v}", joiner(9999), group_by="k", order_by="v")) == [("a", "5,6,7,8,9")]
+
+
+def test_finished_groups_leave_and_large_ones_are_sliced(spark):
+    """A group of most rows among small ones: levels go on with the open group alone, and prompts don't depend on the partitions."""
+    df = spark.range(3000).select(F.when(F.col("id") % 3 > 0, "hot").otherwise(F.concat(F.lit("g"), F.col("id") % 20)).alias("g"), F.format_string("%05d", "id").alias("v"))
+    largest = RuleModel(lambda spec, c: max(p.partition("«")[2].rpartition("»")[0] if spec.task == "fold" else p for p in parts_of(c)), context_tokens=700, reply_tokens=100)
+    out, stats = sem_agg(df.repartition(3), "the last {v}", largest, group_by="g", stats=True)
+    want = {r["g"]: r["m"] for r in df.groupBy("g").agg(F.max("v").alias("m")).collect()}
+    assert {r["g"]: r["_output"] for r in out.collect()} == want
+    levels = stats["levels"]
+    assert len(levels) >= 2 and levels[0]["open_groups"] >= 1 and levels[-1]["open_groups"] == 0
+    assert levels[1]["rows"] < levels[0]["rows"] and levels[0]["tasks"] >= levels[-1]["tasks"]
+    _, again = sem_agg(df.repartition(7), "the last {v}", largest, group_by="g", stats=True)
+    assert again["total_llm_calls"] == stats["total_llm_calls"]
