@@ -101,10 +101,14 @@ def first_wins(text: str) -> bool:
 
 
 def slots(spark: SparkSession) -> int:
-    """Tasks to spread model calls over: all cores, or the shuffle width where it was raised for large data."""
+    """Tasks to spread model calls over: all cores, or the shuffle width where it was raised for large data.
+
+    Where executors come and go with the work (dynamic allocation) the cores of the moment say little, so the shuffle width counts.
+    """
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cores = spark.sparkContext.defaultParallelism
-    return max(cores, width) if width > 200 else cores
+    elastic = spark.sparkContext.getConf().get("spark.dynamicAllocation.enabled", "false") == "true"
+    return max(cores, width) if width > 200 or elastic else cores
 
 
 def spread(df: DataFrame, parallel: int | None = None) -> DataFrame:

@@ -76,9 +76,11 @@ def sem_cluster_by(
     order = col(key) if key else F.xxhash64(vec_col)
     by_hash = F.xxhash64(F.lit(seed), order)
     vectors = stage(kept.select(col(vec_col).alias("_v"), order.alias("_key"), by_hash.alias("_hash")), "vectors")
-    sample = vectors.orderBy("_hash", "_key").limit(SEED_ROWS).orderBy("_key").select("_v").collect()
-    if len(sample) < k:
+    if len(vectors.limit(k).select(F.lit(1)).collect()) < k:
         raise ValueError(f"{k} clusters need at least {k} rows")
+    # without a key rows are known by their vector, and copies of one vector must not fill the sample
+    apart = vectors if key else vectors.groupBy("_hash", "_key").agg(F.any_value("_v").alias("_v"))
+    sample = apart.orderBy("_hash", "_key").limit(SEED_ROWS).orderBy("_key").select("_v").collect()
     centres = farthest_first(matrix([r[0] for r in sample]), k)
     vectors = vectors.select("_v")
     for _ in range(max_iter):

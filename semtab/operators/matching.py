@@ -30,6 +30,8 @@ from semtab.runtime import col, key_hash, missing, pick, require_columns, stage,
 
 BROADCAST_BYTES = 32 << 20
 BLOCK_VALUES = 1024
+#: Prompts of pairs that a task holds at once, whatever the size of the lists.
+PAIRS_HELD = 4096
 
 
 @dataclass(frozen=True)
@@ -86,10 +88,12 @@ class _PairJudge:
         found: list[tuple] = []
         for i, head in enumerate(lt):
             at = range(len(rt)) if wanted is None else np.flatnonzero(wanted[i])
-            replies = call_in_batches(self.model, self.spec, [f"{head}\n{rt[j]}" for j in at])
-            for j, r in zip(at, replies):
-                if says_true(self.spec, r.text, self.on_error, self.default):
-                    found.append((lefts[i], rights[j], why(self.spec, r.text)))
+            for begin in range(0, len(at), PAIRS_HELD):
+                some = at[begin : begin + PAIRS_HELD]
+                replies = call_in_batches(self.model, self.spec, [f"{head}\n{rt[j]}" for j in some])
+                for j, r in zip(some, replies):
+                    if says_true(self.spec, r.text, self.on_error, self.default):
+                        found.append((lefts[i], rights[j], why(self.spec, r.text)))
         return pd.DataFrame(found, columns=["_l", "_r", "_why"])
 
 
@@ -108,8 +112,9 @@ def _judge_all(lv: DataFrame, rv: DataFrame, sizes, judge: _PairJudge, broadcast
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 mine = pdf.iloc[:, 0].tolist()
-                for at in range(0, len(mine), 256):
-                    part = mine[at : at + 256]
+                step = max(1, 4 * PAIRS_HELD // max(1, len(held.value)))
+                for at in range(0, len(mine), step):
+                    part = mine[at : at + step]
                     yield judge(held.value, part) if name == "_l" else judge(part, held.value)
 
         return other.repartition(slots(spark)).mapInPandas(run, PAIRS)
@@ -317,25 +322,34 @@ def _bands(l: DataFrame, r: DataFrame, size: tuple, total: int, t: Thresholds) -
 
 
 def _cascade(lv, rv, nl, total, judge: _PairJudge, c: JoinCascade, lc: str, rc: str, max_calls) -> tuple[DataFrame, dict]:
-    """Two plans, similarity of the values or of values mapped first; the one with fewer open pairs runs."""
+    """Two plans, similarity of the values or of values mapped first; the one with fewer open pairs runs.
+
+    The second is looked at only if the first leaves more pairs open than the left values it would have mapped.
+    """
     r = _similar(rv, "_r", "_r", c.embedder, "_vec").select(F.col("_r").alias("_rk"), F.col("_vec").alias("_rv"))
     plain = _similar(lv, "_l", "_l", c.embedder, "_vec").select(F.col("_l").alias("_lk"), F.col("_vec").alias("_lv"))
-    default_map = (
-        f"For {{{lc}}}, name the {rc} values that fit it best, as a list of 2 to 10 of them separated by commas."
-    )
-    named = lv.select(F.col("_l").alias(lc))
-    mapped = sem_map(named, c.map_instruction or default_map, judge.model, out="_mapped", examples=c.map_examples)
-    mapped = mapped.select(col(lc).alias("_l"), "_mapped")
-    as_right = _similar(mapped, "_mapped", "_l", c.embedder, "_vec").select(
-        F.col("_l").alias("_lk"), F.col("_vec").alias("_lv"))
     size = V.measure(r, "_rv")
-    plans = []
-    for name, l in (("search", plain), ("map-search", as_right)):
+
+    def planned(name: str, l: DataFrame) -> tuple:
         learnt, asked = _learn(l, r, size, nl, total, judge, c)
-        plans.append((name, l, learnt, asked, _bands(l, r, size, total, learnt)))
-    chosen = plans[0] if plans[0][4][2] < plans[1][4][2] else plans[1]
+        return name, l, learnt, asked, _bands(l, r, size, total, learnt)
+
+    chosen = planned("search", plain)
+    learning = chosen[3]
+    # mapping asks once per left value: with fewer open pairs than that, the second plan can't be the cheaper one
+    if chosen[4][2] > nl:
+        default_map = (
+            f"For {{{lc}}}, name the {rc} values that fit it best, as a list of 2 to 10 of them separated by commas."
+        )
+        named = lv.select(F.col("_l").alias(lc))
+        mapped = sem_map(named, c.map_instruction or default_map, judge.model, out="_mapped", examples=c.map_examples)
+        mapped = mapped.select(col(lc).alias("_l"), "_mapped")
+        as_right = _similar(mapped, "_mapped", "_l", c.embedder, "_vec").select(
+            F.col("_l").alias("_lk"), F.col("_vec").alias("_lv"))
+        other = planned("map-search", as_right)
+        learning += other[3] + as_right.count()
+        chosen = chosen if chosen[4][2] < other[4][2] else other
     name, l, t, _, (high, low, middle) = chosen
-    learning = plans[0][3] + plans[1][3] + as_right.count()
     if max_calls is not None and middle > max_calls:
         raise ValueError(f"{middle} pairs stay open after the cascade, more than max_calls={max_calls}")
 

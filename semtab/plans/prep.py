@@ -132,7 +132,8 @@ def sample_related(df: DataFrame, n: int, related: Mapping[str, DataFrame], seed
             marked.where("_hit").groupBy(*[k.alias(f"_f{i}") for i, k in enumerate(keys)])
             .agg(F.min("_order").alias("_order")).orderBy("_order").limit(n).select("_order", F.lit(True).alias("_first"))
         )
-        marked = marked.join(F.broadcast(firsts), "_order", "left")  # at most n rows
+        # at most n rows, which the caller may have set high
+        marked = marked.join(F.broadcast(firsts) if n <= 100_000 else firsts, "_order", "left")
     else:
         marked = marked.withColumn("_first", F.lit(None).cast("boolean"))
     place = F.when(F.col("_first"), 0).when(F.col("_hit"), 1).otherwise(2)

@@ -603,3 +603,62 @@ def run_steps_transformation(t):
     return run_steps({"part": t.part}, steps, _ALL).answer
 
 
+@query("""SELECT p_brand, s_name FROM (SELECT * FROM part WHERE p_size > 20) JOIN supplier
+          ON CAST(split_part(p_brand, '#', 2) AS BIGINT) = CAST(split_part(s_name, '#', 2) AS BIGINT)
+          WHERE s_suppkey > 3 ORDER BY p_partkey DESC, s_suppkey LIMIT 20""")
+def run_steps_linking(t):
+    """Link by meaning, filter, sort, cut, project."""
+    model = R.judge(lambda c: R.trailing_number(R.value(c)) == R.trailing_number(R.value(c, 1)))
+    steps = [
+        Step("filter", "part", ("p_size", (("gt", 20),))),
+        Step("sem_join", "part_filter", ("supplier", _SAME_NUMBER)),
+        Step("filter", "part_filter_sem_join", ("s_suppkey", (("gt", 3),))),
+        Step("orderby", "part_filter_sem_join_filter", (["p_partkey"], "desc"), {"tie_break": ["s_suppkey"]}),
+        Step("head", "part_filter_sem_join_filter_orderby", (20,)),
+        Step("map", "part_filter_sem_join_filter_orderby_head", (["p_brand", "s_name"],)),
+    ]
+    return run_steps({"part": t.part, "supplier": t.supplier}, steps, model).answer
+
+
+@query("""SELECT c_name FROM (SELECT DISTINCT c_name FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > 1000 AND n_name <> 'NATION_3')
+          ORDER BY c_name LIMIT 6""")
+def run_steps_ranking(t):
+    """Join, filter, rank by meaning, project."""
+    steps = [
+        Step("join", "customer", ("nation", "c_nationkey", "n_nationkey")),
+        Step("filter", "customer_join", ("c_acctbal", (("gt", 1000),))),
+        Step("filter", "customer_join_filter", ("n_name", (("ne", "NATION_3"),))),
+        Step("sem_topk", "customer_join_filter_filter", ("Which {c_name} comes first?", 6), {"key": "c_custkey"}),
+        Step("map", "customer_join_filter_filter_sem_topk", (["c_name"],)),
+    ]
+    return run_steps({"customer": t.customer, "nation": t.nation}, steps, R.ALPHABET).answer
+
+
+@query("""SELECT p_type AS summary, CAST(sum(l_quantity) AS DOUBLE) AS l_quantity_sum FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 10
+          GROUP BY p_type HAVING sum(l_quantity) > 10""")
+def run_steps_group(t):
+    """Join, filter, cluster by meaning, filter the clusters, project; the texts are as many as the clusters."""
+    steps = [
+        Step("join", "lineitem", ("part", "l_partkey", "p_partkey")),
+        Step("filter", "lineitem_join", ("l_quantity", (("gt", 10),))),
+        Step("sem_cluster_by", "lineitem_join_filter", ("p_type", 6, "l_quantity", "sum")),
+        Step("filter", "lineitem_join_filter_sem_cluster_by", ("l_quantity_sum", (("gt", 10),))),
+        Step("map", "lineitem_join_filter_sem_cluster_by_filter", (["summary", "l_quantity_sum"],)),
+    ]
+    run = run_steps({"lineitem": t.lineitem, "part": t.part}, steps, R.LARGEST, HashEmbedder(64))
+    return run.answer.select("summary", F.col("l_quantity_sum").cast("double").alias("l_quantity_sum"))
+
+
+@query("""SELECT max(p_name) AS _output FROM (SELECT p_name FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_name LIKE '%widget%'
+          ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey LIMIT 50)""")
+def run_steps_summarization(t):
+    """Join, filter by meaning, sort, cut, sum up in words."""
+    steps = [
+        Step("join", "lineitem", ("part", "l_partkey", "p_partkey")),
+        Step("sem_filter", "lineitem_join", (IS_WIDGET,)),
+        Step("orderby", "lineitem_join_sem_filter", (["l_extendedprice"], "desc"), {"tie_break": ["l_orderkey", "l_linenumber", "l_partkey"]}),
+        Step("head", "lineitem_join_sem_filter_orderby", (50,)),
+        Step("sem_agg", "lineitem_join_sem_filter_orderby_head", ("Which {p_name} is the last?",)),
+    ]
+    model = RuleModel(lambda spec, c: R.LARGEST.rule(spec, c) if spec.task in ("fold", "fold_again") else str("widget" in R.value(c)))
+    return run_steps({"lineitem": t.lineitem, "part": t.part}, steps, model).answer

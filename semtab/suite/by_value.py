@@ -318,3 +318,25 @@ def run_steps_values(t):
         Step("head", "orders_join_filter_groupby_filter_orderby", (3,)),
     ]
     return run_steps({"orders": t.orders, "customer": t.customer}, steps).answer
+
+
+@query("""SELECT l_orderkey, l_linenumber, round(l_extendedprice + l_tax, 6) AS sum, round(l_extendedprice - l_tax, 6) AS difference,
+          CASE WHEN l_discount <> 0 THEN round(l_tax / l_discount, 6) WHEN l_tax > 0 THEN 'infinity'::DOUBLE END AS quotient FROM lineitem""")
+def column_calculate_numbers(t):
+    """Sums, differences and quotients of two columns; a number by zero is infinite, and zero by zero no number."""
+    df = V.column_calculate(t.lineitem, "l_extendedprice", "l_tax", "add", out="sum")
+    df = V.column_calculate(df, "l_extendedprice", "l_tax", "sub", out="difference")
+    df = V.column_calculate(df, "l_tax", "l_discount", "div", out="quotient")
+    return df.select("l_orderkey", "l_linenumber", F.round("sum", 6).alias("sum"), F.round("difference", 6).alias("difference"),
+                     F.when(~F.isnan("quotient"), F.when(F.col("quotient") == float("inf"), F.col("quotient")).otherwise(F.round("quotient", 6))).alias("quotient"))
+
+
+def _scalar(op: str, sign: str):
+    @query(f"""SELECT round((SELECT avg(o_totalprice) FROM orders) {sign} (SELECT max(l_quantity) FROM lineitem), 4) AS result""", name=f"value_calculate_{op}")
+    def run(t):
+        out = V.value_calculate(op, V.agg(t.orders, "o_totalprice", "mean"), V.agg(t.lineitem, "l_quantity", "max"))
+        return out.select(F.round(F.col(out.columns[0]), 4).alias("result"))
+
+
+for _op, _sign in (("add", "+"), ("mul", "*"), ("div", "/")):
+    _scalar(_op, _sign)

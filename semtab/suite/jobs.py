@@ -328,3 +328,12 @@ def cost_ratio(t):
 @query("SELECT avg(CASE WHEN o_orderstatus <> 'P' THEN 1.0 ELSE 0.0 END) AS valid_rate FROM orders")
 def valid_rate(t):
     return Ev.valid_rate(t.orders.select((F.col("o_orderstatus") != "P").alias("valid")))
+
+
+@query("""SELECT 'part: {' AS opening, count(*) AS length, count(DISTINCT p_type) <= 6 AS few_types FROM part""")
+def step_profile(t):
+    """The result line of a step, taken apart: its name, the length it tells, and whether the profile names a type of the table."""
+    line = P.step_profile("part", t.part)
+    told = t.spark.createDataFrame([(line,)], "line string").crossJoin(F.broadcast(t.part.agg(F.min("p_type").alias("least"))))
+    return told.select(F.substring("line", 1, 7).alias("opening"), F.regexp_extract("line", r"table_length: (\d+)$", 1).cast("long").alias("length"),
+                       F.col("line").contains(F.col("least")).alias("few_types"))

@@ -226,3 +226,24 @@ def test_clusters_and_summary(spark):
     assert told.columns == ["summary", "id_count"] and rows(told) == [("far", 30), ("near", 30)]
     with pytest.raises(ValueError):
         sem_cluster_by(df.limit(3), "vec", 4)
+
+
+def test_clusters_are_the_same_in_every_partitioning(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    m = np.repeat(rng.normal(size=(5, 6)) * 5, 40, axis=0) + rng.normal(size=(200, 6)) * 0.1
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)] + [(500, None)], "id long, vec array<float>")
+    for key in ("id", None):
+        found = [{r["id"]: r["cluster_id"] for r in sem_cluster_by(df.repartition(n), "vec", 5, key=key).collect()} for n in (1, 7)]
+        assert found[0] == found[1] and len(found[0]) == 200
+        assert sorted(len({found[0][i] for i in range(40 * g, 40 * g + 40)}) for g in range(5)) == [1] * 5 and len(set(found[0].values())) == 5
+
+
+def test_clusters_of_mostly_copies(spark):
+    """A hot vector neither fills the sample of starting centres nor hides the others; a cluster may stay empty."""
+    hot = [(i, [1.0, 0.0]) for i in range(300)]
+    df = spark.createDataFrame([*hot, (300, [0.0, 1.0]), (301, [-1.0, 0.0])], "id long, vec array<float>")
+    got = {r["id"]: r["cluster_id"] for r in sem_cluster_by(df, "vec", 3).collect()}
+    assert len({got[0], got[300], got[301]}) == 3
+    assert {r["cluster_id"] for r in sem_cluster_by(df.where("id < 300"), "vec", 3).collect()} == {0}
