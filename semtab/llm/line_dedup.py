@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from semtab.llm.common import GAP_CHARACTERS, WORD, keyed, mark_of
+from semtab.llm.common import GAP_CHARACTERS, WORD, fresh, keyed, mark_of
 from semtab.runtime import col, split_join, stage
 
 
@@ -113,23 +113,25 @@ def dedup_lines(
     """All rows and columns of ``docs``, the text without the lines that :func:`repeated_lines` names.
 
     Texts without such lines stay as they are, missing ones included; a text of which nothing is left
-    is empty. ``removed_col`` adds the places of the removed lines.
+    is empty. ``removed_col`` adds the places of the removed lines. Columns of ``docs`` may have any names: those used
+    inside give way. Very long texts are split and put together by column expressions, one row at a time.
     """
     gone = stage(repeated_lines(docs, min_lines, long_words, id_col, text_col), "lines-removed")
-    gone = gone.withColumnsRenamed({"_id": "_gone_id", "_mark": "_gone_mark", "_removed": "_gone_lines"})
+    gone_id, gone_mark, gone_lines = (fresh(n, docs.columns) for n in ("_gone_id", "_gone_mark", "_gone_lines"))
+    gone = gone.withColumnsRenamed({"_id": gone_id, "_mark": gone_mark, "_removed": gone_lines})
     ident = docs["`" + id_col.replace("`", "``") + "`"]
     # never broadcast: the list grows with the documents
-    joined = docs.join(gone.hint("shuffle_hash"), ident.eqNullSafe(F.col("_gone_id")) & (mark_of(docs, text_col) == F.col("_gone_mark")), "left")
+    joined = docs.join(gone.hint("shuffle_hash"), ident.eqNullSafe(F.col(gone_id)) & (mark_of(docs, text_col) == F.col(gone_mark)), "left")
     # the list is bound once per row: lambdas would split the text again for each line
     cut = F.split(col(text_col), "\n", -1)
     rest = F.transform(
         F.array(F.struct(cut.alias("lines"))),
         lambda x: F.array_join(
-            F.transform(F.array_except(F.sequence(F.lit(0), F.size(x["lines"]) - 1), F.col("_gone_lines")), lambda k: F.get(x["lines"], k)), "\n"
+            F.transform(F.array_except(F.sequence(F.lit(0), F.size(x["lines"]) - 1), F.col(gone_lines)), lambda k: F.get(x["lines"], k)), "\n"
         ),
     )
-    text = F.when(F.col("_gone_lines").isNull(), col(text_col)).otherwise(F.get(rest, F.lit(0)))
+    text = F.when(F.col(gone_lines).isNull(), col(text_col)).otherwise(F.get(rest, F.lit(0)))
     out = [text.alias(c) if c == text_col else col(c) for c in docs.columns]
     if removed_col:
-        out.append(F.coalesce("_gone_lines", F.array().cast("array<int>")).alias(removed_col))
+        out.append(F.coalesce(gone_lines, F.array().cast("array<int>")).alias(removed_col))
     return joined.select(*out)

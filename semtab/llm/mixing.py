@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from semtab.llm.common import WORD, mark_of
+from semtab.llm.common import WORD, fresh, mark_of
 from semtab.runtime import col, require_columns, split_join, stage
 
 _EPS = 1e-9
@@ -233,12 +233,15 @@ def mix_sources(
 
 
 def take_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The mix itself: every row of ``docs`` as often as :func:`mix_sources` takes it, all its columns kept."""
+    """The mix itself: every row of ``docs`` as often as :func:`mix_sources` takes it, all its columns kept.
+
+    Columns of ``docs`` may have any names: those used inside give way.
+    """
     plan = mix_sources(docs, id_col=id_col, text_col=text_col, **options)
-    plan = plan.where("copies > 0").select(F.col("_id").alias("_mix_id"), F.col("_mark").alias("_mix_mark"), F.col("copies").alias("_mix_copies"))
+    mix_id, mix_mark, copies, nth = (fresh(n, docs.columns) for n in ("_mix_id", "_mix_mark", "_mix_copies", "_mix_nth"))
+    plan = plan.where("copies > 0").select(F.col("_id").alias(mix_id), F.col("_mark").alias(mix_mark), F.col("copies").alias(copies))
     ident = docs["`" + id_col.replace("`", "``") + "`"]
-    hit = ident.eqNullSafe(F.col("_mix_id")) & (mark_of(docs, text_col) == F.col("_mix_mark"))
+    hit = ident.eqNullSafe(F.col(mix_id)) & (mark_of(docs, text_col) == F.col(mix_mark))
     # never broadcast: the list grows with the documents
     joined = docs.join(plan.hint("shuffle_hash"), hit)
-    return joined.withColumn("_mix_nth", F.explode(F.sequence(F.lit(1), F.col("_mix_copies").cast("int")))).select(*[joined["`" + c.replace("`", "``") + "`"] for c in docs.columns])
-
+    return joined.withColumn(nth, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).select(*[joined["`" + c.replace("`", "``") + "`"] for c in docs.columns])

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from semtab.llm.common import keyed, mark_of
+from semtab.llm.common import fresh, keyed, mark_of
 from semtab.operators.components import components
 from semtab.runtime import col, split_join, stage
 
@@ -198,14 +198,18 @@ def simhash_components(docs: DataFrame, shingle_words: int = 4, max_bits: int =
 
 
 def drop_near_copies(docs: DataFrame, shingle_words: int = 4, max_bits: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that lead their group, all columns kept; of equal rows one stays."""
+    """The rows of ``docs`` that lead their group, all columns kept; of equal rows one stays.
+
+    Columns of ``docs`` may have any names: those used inside give way. Texts are read whole, however long.
+    """
     groups = near_copies(docs, shingle_words, max_bits, id_col, text_col)
     leads = groups.where((F.col("_lead.id").eqNullSafe(F.col("_id"))) & (F.col("_lead.mark") == F.col("_mark")))
-    leads = stage(leads.groupBy(F.col("_id").alias("_lead_id"), F.col("_mark").alias("_lead_mark")).agg(F.count("*").alias("_lead_rows")), "simhash-kept")
+    lead_id, lead_mark, lead_rows = (fresh(n, docs.columns) for n in ("_lead_id", "_lead_mark", "_lead_rows"))
+    leads = stage(leads.groupBy(F.col("_id").alias(lead_id), F.col("_mark").alias(lead_mark)).agg(F.count("*").alias(lead_rows)), "simhash-kept")
     ident = docs["`" + id_col.replace("`", "``") + "`"]
     # never broadcast: the list grows with the documents
-    kept = docs.join(leads.hint("shuffle_hash"), ident.eqNullSafe(F.col("_lead_id")) & (mark_of(docs, text_col) == F.col("_lead_mark")))
-    once = kept.where("_lead_rows = 1").select(*[col(c) for c in docs.columns])
-    if leads.where("_lead_rows > 1").isEmpty():
+    kept = docs.join(leads.hint("shuffle_hash"), ident.eqNullSafe(F.col(lead_id)) & (mark_of(docs, text_col) == F.col(lead_mark)))
+    once = kept.where(F.col(lead_rows) == 1).select(*[col(c) for c in docs.columns])
+    if leads.where(F.col(lead_rows) > 1).isEmpty():
         return once
-    return once.unionByName(kept.where("_lead_rows > 1").dropDuplicates(["_lead_id", "_lead_mark"]).select(*[col(c) for c in docs.columns]))
+    return once.unionByName(kept.where(F.col(lead_rows) > 1).dropDuplicates([lead_id, lead_mark]).select(*[col(c) for c in docs.columns]))
