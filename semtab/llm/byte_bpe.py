@@ -6,8 +6,9 @@ import base64
 import struct
 from array import array
 from collections.abc import Iterator
-from itertools import chain, islice
+from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -90,7 +91,7 @@ def _load(table: bytes, pattern: str) -> tuple:
         library = sentencepiece.SentencePieceProcessor(model_proto=piece_model(tokens))
         inside = {t[i : i + 2] for t in tokens for i in range(len(t) - 1)}
         _loaded.clear()
-        _loaded[key] = (library, regex.compile(pattern), {t: (rank,) for rank, t in enumerate(tokens)}, {}, inside)
+        _loaded[key] = (library, regex.compile(pattern), {t: _packed([rank]) for rank, t in enumerate(tokens)}, {}, inside)
     return _loaded[key]
 
 
@@ -107,35 +108,60 @@ def _cuts(data: bytes, inside: set[bytes]) -> Iterator[bytes]:
     yield data[start:]
 
 
-def _encode(text: str, loaded: tuple) -> array:
-    library, pattern, whole, known, inside = loaded
-    ids = array("i")
-    found = (m.group() for m in pattern.finditer(text))
-    while parts := pattern.findall(text) if len(text) < AT_ONCE else list(islice(found, AT_ONCE)):
-        extra: dict[str, tuple] = {}  # what is not remembered beyond these parts
-        new, spelt = [], []
-        for part in {*parts}.difference(known):
-            data = part.encode("utf-8", "surrogatepass")
-            if data in whole:  # a whole token is one id, whether or not merges reach it
-                extra[part] = whole[data]
-            elif len(data) > LONG:
-                pieces = [p.decode("latin-1").translate(_TO_CHARACTERS) for p in _cuts(data, inside)]
-                extra[part] = tuple(chain.from_iterable(library.encode(pieces, num_threads=1)))
-            else:
-                new.append(part)
-                spelt.append(data.decode("latin-1").translate(_TO_CHARACTERS))
-        extra.update(zip(new, map(tuple, library.encode(spelt, num_threads=1))))
-        if len(known) + len(extra) > REMEMBERED:
-            extra.update((p, known[p]) for p in {*parts}.intersection(known))
-            known.clear()
-        known.update((p, i) for p, i in extra.items() if len(p) <= SHORT)
-        if all(len(p) <= SHORT for p in extra):
-            ids.extend(chain.from_iterable(map(known.__getitem__, parts)))
+def _packed(ids: list[int]) -> bytes:
+    return array("i", ids).tobytes()
+
+
+def _lookup(parts: set[str], loaded: tuple) -> dict[str, bytes]:
+    """The ids of distinct pre-tokens as 32-bit numbers; new ones are merged in one call of the library."""
+    library, _, whole, known, inside = loaded
+    extra: dict[str, bytes] = {}  # what is not remembered beyond these parts
+    new, spelt = [], []
+    for part in parts.difference(known):
+        data = part.encode()
+        if data in whole:  # a whole token is one id, whether or not merges reach it
+            extra[part] = whole[data]
+        elif len(data) > LONG:
+            pieces = [p.decode("latin-1").translate(_TO_CHARACTERS) for p in _cuts(data, inside)]
+            extra[part] = b"".join(map(_packed, library.encode(pieces, num_threads=1)))
         else:
-            ids.extend(chain.from_iterable(extra[p] if p in extra else known[p] for p in parts))
+            new.append(part)
+            spelt.append(data.decode("latin-1").translate(_TO_CHARACTERS))
+    if spelt:
+        extra.update(zip(new, map(_packed, library.encode(spelt, num_threads=1))))
+    if len(known) + len(extra) > REMEMBERED:
+        extra.update((p, known[p]) for p in parts.intersection(known))
+        known.clear()
+    known.update((p, ids) for p, ids in extra.items() if len(p) <= SHORT)
+    return {**known, **extra} if any(len(p) > SHORT for p in extra) else known
+
+
+def encode(texts: list[str], loaded: tuple) -> list[bytes]:
+    """The ids of each text as 32-bit numbers. Short texts are looked up together, a long one is cut match by match."""
+    pattern, out = loaded[1], []
+    waiting: list[list[str]] = []
+
+    def flush() -> None:
+        ids = _lookup(set().union(*waiting), loaded)
+        out.extend(b"".join(map(ids.__getitem__, parts)) for parts in waiting)
+        waiting.clear()
+
+    size = 0
+    for text in texts:
         if len(text) < AT_ONCE:
-            break
-    return ids
+            waiting.append(pattern.findall(text))
+            size += len(text)
+            if size > 10 * AT_ONCE:
+                flush()
+                size = 0
+        else:
+            flush()
+            found, parts_of = (m.group() for m in pattern.finditer(text)), []
+            while parts := list(islice(found, AT_ONCE)):
+                parts_of.append(b"".join(map(_lookup({*parts}, loaded).__getitem__, parts)))
+            out.append(b"".join(parts_of))
+    flush()
+    return out
 
 
 def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", ids_col: str = "ids") -> DataFrame:
@@ -158,11 +184,10 @@ def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         loaded = _load(table, pattern)
         for batch in portions(batches, 1):
-            ids, ends = array("i"), array("i", [0])
-            for text in batch.column(1):
-                ids.extend(_encode(text.as_py(), loaded))
-                ends.append(len(ids))
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
+            ids = encode(batch.column(1).to_pylist(), loaded)
+            ends = np.cumsum([0, *map(len, ids)]) // 4
+            flat = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(ids))])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
             yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["_id", "_ids"])
 
     plain = docs.select(col(id_col).alias("_id"), whole_text(text_col).alias("_text"))
@@ -185,11 +210,11 @@ def decode_ids(encoded: DataFrame, ranks_path: str, ids_col: str = "ids", out: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         library = _load(table, "")[0]
-        back = [bytes(ord(c) - FIRST for c in library.id_to_piece(i)) for i in range(library.get_piece_size() - 1)]
+        back = np.array([bytes(ord(c) - FIRST for c in library.id_to_piece(i)) for i in range(library.get_piece_size() - 1)], object)
         for batch in batches:
             for start in range(0, batch.num_rows, 1000):
                 part = batch.slice(start, 1000)
-                data = [None if ids is None else b"".join([back[i] for i in ids]) for ids in (x.values.to_numpy() if x.is_valid else None for x in part.column(part.num_columns - 1))]
+                data = [b"".join(back[x.values.to_numpy()]) if x.is_valid else None for x in part.column(part.num_columns - 1)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(data, pa.binary())], names=[*part.schema.names[:-1], name])
 
     given = encoded.select(*[col(c) for c in rest], col(ids_col).alias(fresh("_ids", rest)))
