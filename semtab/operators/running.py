@@ -88,7 +88,7 @@ def running_total(
 
 
 def exact_median(
-    df: DataFrame, group: Sequence[str], column: str, out: str, in_memory: int = 1_000_000, bins: int = 4096
+    df: DataFrame, group: Sequence[str], column: str, out: str, in_memory: int = 50_000, bins: int = 4096
 ) -> DataFrame:
     """Exact median per group; a group without values has a missing one.
 

@@ -203,7 +203,7 @@ def groupby(
     *,
     order_by: str | None = None,
     sort: bool = False,
-    in_memory: int = 1_000_000,
+    in_memory: int = 50_000,
 ) -> DataFrame:
     """Group by ``keys`` and aggregate one column into ``{column}_{func}``.
 
