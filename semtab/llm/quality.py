@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from semtab.llm.common import whole_text
-from semtab.runtime import col, require_columns
+from semtab.runtime import col, require_columns, stage
 
 SYMBOLS = "#*$%&|<>"
 DIGITS = "0123456789"
@@ -134,16 +134,18 @@ def learn_quality(
     learn_from: Column,
     train_docs: int = 6_000,
     train_lines: int = 2_000,
+    train_lines_total: int = 400_000,
     id_col: str = "doc_id",
     text_col: str = "text",
     label_col: str = "quality",
 ) -> Chain | None:
-    """A chain fitted to about ``train_docs`` labelled documents of up to ``train_lines`` lines.
+    """A chain fitted to about ``train_docs`` labelled documents of up to ``train_lines`` lines, ``train_lines_total`` lines at most in all.
 
     ``learn_from`` is a condition on the rows of ``labels``. The sample is taken by a hash of
     the id, so reruns learn the same; all labelled documents are used if there are fewer. An id with labels that
     disagree is left out, as are missing labels and texts without words. Lines are measured in
-    tasks; the driver gets ``OWN`` numbers per line of the sample. None if nothing can be learnt.
+    tasks; the driver gets ``OWN`` numbers per line of the sample, whose documents are taken in the order of a hash until their
+    lines, or twice ``train_docs`` rows, are reached: an id with very many rows makes the sample no larger. None if nothing can be learnt.
     """
     grain = 1 << 30
     known = labels.where(learn_from).select(col(id_col).alias("_id"), col(label_col).cast("int").alias("_label"))
@@ -155,16 +157,24 @@ def learn_quality(
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, out, found = [], [], []
+            ids, out, found, lines = [], [], [], []
             for ident, label, text in zip(batch.column(0), batch.column(1), batch.column(2)):
                 values = text_values(text.as_py())[0]
                 if 0 < len(values) <= train_lines:
                     ids.append(ident.as_py())
                     found.append(label.as_py())
                     out.append(values.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(found, pa.int32()), pa.array(out, pa.binary())], names=["_id", "_label", "_values"])
-
-    rows = sample.select(F.col("_id").cast("string").alias("_id"), "_label", "_text").mapInArrow(measure, "_id string, _label int, _values binary").collect()
+                    lines.append(len(values))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.string()), pa.array(found, pa.int32()), pa.array(out, pa.binary()), pa.array(lines, pa.int64())], names=["_id", "_label", "_values", "_lines"]
+            )
+
+    measured = sample.select(F.col("_id").cast("string").alias("_id"), "_label", "_text").mapInArrow(measure, "_id string, _label int, _values binary, _lines long")
+    ordered = stage(measured, "quality-sample").orderBy(F.xxhash64("_id"), "_id", "_values")
+    # sizes first: only rows within the bound are fetched
+    sizes = [r["_lines"] for r in ordered.select("_id", "_values", "_lines").limit(2 * train_docs).select("_lines").collect()]
+    fitting = int(np.searchsorted(np.cumsum(sizes), train_lines_total, side="right"))
+    rows = ordered.limit(fitting).collect() if fitting else []
     if len({r["_label"] for r in rows}) < 2:
         return None
     rows.sort(key=lambda r: (r["_id"], bytes(r["_values"])))

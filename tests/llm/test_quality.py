@@ -68,3 +68,21 @@ def test_odd_rows(spark, make, chain):
     assert learn_quality(df, labels, held_out("doc_id", 9, 10) | True) is None
     assert rows(score_quality(df, None), "predicted") == [(0,)] * 3 + [(1,)] * 4
     assert text_values("a b\n\n \nc")[0].shape == (2, 15)
+
+
+def test_lines_of_the_sample_are_bounded(make, spark, monkeypatch):
+    """An id with very many rows makes the sample no larger, and a small sample is the same with or without the bound."""
+    from semtab.llm import quality as Q
+
+    seen = []
+    monkeypatch.setattr(Q, "fit_chain", lambda values, labels: seen.append(sum(map(len, values))) or Q.Chain(np.zeros(1), np.zeros((2, 2))))
+    docs = make([(k, "a good line\n" * 5) for k in range(40)] + [(7, f"one of many rows {k}\nand more") for k in range(500)])
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, quality int")
+    every = held_out("doc_id", 9, 10) | True
+    for total, most in ((10_000, 10_000), (60, 60), (1, 0)):
+        seen.clear()
+        Q.learn_quality(docs, labels, every, train_docs=1_000, train_lines_total=total)
+        assert (sum(seen) <= most) and (total < 10_000 or sum(seen) == 40 * 5 + 500 * 2)
+    seen.clear()
+    Q.learn_quality(docs, labels, every, train_docs=50)
+    assert sum(seen) <= 100 * 5
