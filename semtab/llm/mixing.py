@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from semtab.llm.common import WORD, fresh, mark_of
+from semtab.operators.running import running_total
 from semtab.runtime import col, require_columns, split_join, stage
 
 _EPS = 1e-9
@@ -24,18 +25,26 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD)).cast("long")
 
 
-def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (1, 2, 3), share: float = 1.0, cap: float = 3.0) -> DataFrame:
+def _nth(weights: tuple[float, ...], place: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (place + 1).cast("int"))
+
+
+def source_targets(
+    sizes: DataFrame, weights: tuple[float, ...] = (1, 2, 3), share: float = 1.0, cap: float = 3.0, window_sources: int = BROADCAST_SOURCES
+) -> DataFrame:
     """``target`` for each row of ``_source source_size``: shares by weight, at most ``cap`` times the source.
 
     Sources by code point, the missing one last, weigh ``weights`` in turn. What a capped
     source can't take goes to the others by weight. With sources in the order of the level
     at which they are capped, the common level is that of the first one not capped, so no
-    rounds are needed. The window holds one row per source.
+    rounds are needed. That takes a window of one row per source; of more than ``window_sources`` sources the
+    level is found by rounds of sums instead, which give the same targets.
     """
+    if sizes.count() > window_sources:
+        return _targets_by_rounds(sizes, weights, share, cap)
     turn = Window.orderBy(F.col("_source").isNull(), F.col("_source"))
     place = (F.row_number().over(turn) - 1) % len(weights)
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (place + 1).cast("int"))
-    t = sizes.withColumn("_w", weight).withColumn("_cap", F.col("source_size") * F.lit(float(cap)))
+    t = sizes.withColumn("_w", _nth(weights, place)).withColumn("_cap", F.col("source_size") * F.lit(float(cap)))
     t = t.withColumn("_level", F.col("_cap") / F.col("_w"))
     order = Window.orderBy("_level", F.col("_source").isNull(), F.col("_source"))
     before, every = order.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
@@ -53,6 +62,28 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (1, 2, 3), sha
     )
 
 
+def _targets_by_rounds(sizes: DataFrame, weights: tuple[float, ...], share: float, cap: float) -> DataFrame:
+    """As :func:`source_targets`, for any number of sources: places by range-partitioned running counts, the level by sums.
+
+    Every round caps the sources that the level of the last one caps, and shares the rest again. The level only rises, so
+    the capped ones only grow in number, and the rounds end when none is added.
+    """
+    named = sizes.select("_source", "source_size", F.col("_source").isNull().alias("_none"), F.lit(1).cast("long").alias("_one"))
+    placed = running_total(named, [], ["_none", "_source"], "_one", "_place")
+    t = placed.select("_source", "source_size", _nth(weights, (F.col("_place") - 1) % len(weights)).alias("_w"), (F.col("source_size") * F.lit(float(cap))).alias("_cap"))
+    t = stage(t, "mix-places")
+    words, weight = t.agg(F.sum("source_size"), F.sum("_w")).first()
+    level, capped = share * words / weight, 0
+    while True:
+        under = t.where(F.col("_cap") / F.col("_w") < F.lit(level))
+        n, taken, gone = under.agg(F.count("*"), F.coalesce(F.sum("_cap"), F.lit(0.0)), F.coalesce(F.sum("_w"), F.lit(0.0))).first()
+        if n == capped:
+            break
+        # when even all caps together are too little, every source is taken cap times
+        level, capped = (share * words - taken) / (weight - gone) if gone < weight else float("inf"), n
+    return t.select("_source", "source_size", F.least(F.col("_cap"), F.lit(level) * F.col("_w")).alias("target"))
+
+
 def _draw(key: str) -> Iterator[float]:
     """Numbers in [0, 1) that depend on the key alone."""
     block = 0
@@ -180,7 +211,8 @@ def mix_sources(
     is that of its last landing. All draws come from hashes: reruns agree.
 
     A missing text has size 0, and so has an empty one: such documents count as documents
-    but have no words. Sources without words have target 0. Equal rows share one decision.
+    but have no words. Sources without words have target 0. Equal rows share one decision. A very long text counts with
+    all its words; one that holds over a five-hundredth of its block's words is settled first, against all others.
     """
     require_columns(docs, [id_col, text_col, source_col])
     base = docs.select(col(id_col).alias("_id"), mark_of(docs, text_col).alias("_mark"), col(source_col).cast("string").alias("_source"), word_count(F.coalesce(col(text_col), F.lit(""))).alias("_words"))

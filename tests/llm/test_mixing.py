@@ -42,6 +42,21 @@ def test_targets(spark, seed):
     assert got.keys() == want.keys() and all(abs(got[s] - want[s]) < 1e-6 * max(1, want[s]) for s in want)
 
 
+@pytest.mark.parametrize("share, cap", [(1.0, 3.0), (0.4, 1.0), (5.0, 3.0)])
+def test_targets_of_many_sources_by_rounds(spark, share, cap):
+    """Beyond the window's bound the level is found by sums: the same targets, even where all caps together are too little."""
+    draw = random.Random(8)
+    sizes = [(f"s{k:03}" if k else None, draw.choice([0, 1, 10, 500, 40_000]) + draw.randrange(50)) for k in range(150)]
+    df = spark.createDataFrame(sizes, "_source string, source_size long").repartition(7)
+    told = lambda **o: {r["_source"]: (r["source_size"], r["target"]) for r in source_targets(df, share=share, cap=cap, **o).collect()}
+    got, want = told(window_sources=100), told()
+    assert got.keys() == want.keys() and len(got) == 150
+    assert all(got[s][0] == want[s][0] and got[s][1] == pytest.approx(want[s][1]) for s in want)
+    assert source_targets(df.where("false"), window_sources=0).collect() == []
+    words_none = spark.createDataFrame([("a", 0), (None, 0)], "_source string, source_size long")
+    assert {r["target"] for r in source_targets(words_none, window_sources=0).collect()} == {0.0}
+
+
 def test_flight_keeps_chances_and_balances():
     draw = np.random.default_rng(1)
     sizes = draw.integers(1, 400, 200).astype(float)
