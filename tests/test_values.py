@@ -99,6 +99,26 @@ def test_join_naming_and_null_keys(spark):
         V.join(a, b, "k", "name")
 
 
+def test_join_spreads_the_rows_of_a_key(spark):
+    a = spark.range(4_000).selectExpr("CASE WHEN id % 100 > 0 THEN id % 2 END AS k", "id AS v")
+    b = spark.range(50).selectExpr("CASE WHEN id > 0 THEN id % 2 END AS k", "id AS v")
+    for null_safe in (True, False):
+        plain, dealt = (V.join(a, b, "k", "k", null_safe=null_safe, spread=n) for n in (1, 8))
+        assert dealt.columns == plain.columns and rows(dealt) == rows(plain)
+    made = dealt.groupBy(F.spark_partition_id()).count().collect()
+    assert len(made) > 8 and max(r["count"] for r in made) < dealt.count() / 4
+
+
+def test_join_spread_compares_keys_of_two_types(spark):
+    a = spark.createDataFrame([(1, "p"), (None, "q"), (16_777_217, "r"), (0, "s")], "k long, name string")
+    b = spark.createDataFrame([(1.0, "P"), (None, "Q"), (16_777_216.0, "R"), (16_777_217.0, "S"), (-0.0, "T"), (NAN, "U")], "k2 double, name string")
+    got = rows(V.join(a, b, "k", "k2", spread=4))
+    assert got == rows(V.join(a, b, "k", "k2")) and len(got) == 4
+    assert rows(V.join(b, b, "k2", "k2", spread=4).select("name_x", "name_y")) == [(c, c) for c in "PQRSTU"]
+    odd = spark.createDataFrame([(1, {"a": 1})], "k long, m map<string,int>")
+    assert V.join(odd, a, "k", "k", spread=4).count() == 1
+
+
 def test_join_odd_column_names(spark):
     a = spark.createDataFrame([(1, 2)], ["aCL IgG", "x.y:left"])
     b = spark.createDataFrame([(1, 3)], ["aCL IgG", "x.y:left"])
