@@ -256,15 +256,15 @@ def register_table_functions(spark: SparkSession, model: AnswerModel) -> None:
 
 def blocking_index(
     left: DataFrame, right: DataFrame, left_value: str, right_value: str, left_block: str | Column, right_block: str | Column,
-    *, max_calls: int | None = 1_000_000, cell_values: int = CELL_VALUES,
+    *, max_calls: int | None = None, cell_values: int = CELL_VALUES,
 ) -> DataFrame:
     """The two sides of a judged join for ``llm_join``: ``side block block_hash cell value blocks``.
 
     Values may hold together only where their blocks are equal; a value may have several blocks (several rows), one judged
     pair is asked once all the same. Distinct values and blocks are kept, values as text; rows without value or block,
     and blocks that only one side has, pair with nothing. Blocks of more than ``cell_values`` values of a side become
-    a grid of cells, so that a block that holds a third of the tables is spread over many tasks. A join of more than ``max_calls``
-    pairs is refused; None lets any number pass.
+    a grid of cells, so that a block that holds a third of the tables is spread over many tasks. With ``max_calls`` a join of more
+    pairs is refused, as by ``sem_join``; without it any number passes.
     """
 
     def distinct(df: DataFrame, value: str, block: str | Column) -> DataFrame:
@@ -275,12 +275,15 @@ def blocking_index(
 
     l, r = (stage(distinct(*a), "sides") for a in ((left, left_value, left_block), (right, right_value, right_block)))
     counts = l.groupBy("block").agg(F.count("*").alias("_nl")).join(r.groupBy("block").agg(F.count("*").alias("_nr")), "block")
-    total = counts.agg(F.sum(F.col("_nl") * F.col("_nr"))).first()[0] or 0
+    total = 0 if max_calls is None else counts.agg(F.sum(F.col("_nl") * F.col("_nr"))).first()[0] or 0
     if max_calls is not None and total > max_calls:
         raise ValueError(f"{total} pairs in the blocks are more than max_calls={max_calls}; use finer blocks, or raise max_calls")
-    grid = counts.select(
-        "block", F.ceil(F.col("_nl") / cell_values).cast("int").alias("_a"), F.ceil(F.col("_nr") / cell_values).cast("int").alias("_b")
-    )
+
+    def cells(n: Column) -> Column:
+        # three quarters on average: values are dealt by hash, and no cell may have more pairs than llm_join takes
+        return F.when(n <= cell_values, 1).otherwise(F.ceil(n / (0.75 * cell_values))).cast("int")
+
+    grid = counts.select("block", cells(F.col("_nl")).alias("_a"), cells(F.col("_nr")).alias("_b"))
 
     def side(df: DataFrame, name: str) -> DataFrame:
         rows = split_join(df, grid, "block").withColumn("block_hash", F.xxhash64("block"))

@@ -71,6 +71,23 @@ def test_join_refuses_products(spark):
     assert spark.sql("SELECT * FROM llm_join(TABLE(SELECT * FROM {i}), 'any')", i=empty).collect() == []
 
 
+def test_join_takes_more_than_a_million_pairs(spark):
+    """One block of 1,100 by 1,100 values; hashes make its cells unequal."""
+    ask(spark, lambda spec, c: str(c.split("«")[1][1:].split("»")[0] == c.split("«")[2][1:].split("»")[0]), batch_size=10_000)
+    left, right = (spark.range(1_100).select(F.lit(1).alias("b"), F.concat(F.lit(x), "id").alias("v")) for x in "lr")
+    index = blocking_index(left, right, "v", "v", "b", "b")
+    got = spark.sql("SELECT * FROM llm_join(TABLE(SELECT * FROM {i}), 'same number')", i=index)
+    assert got.where("substr(left, 2) = substr(right, 2)").count() == got.count() == 1_100
+
+
+def test_join_cells_have_no_more_pairs_than_are_taken(spark):
+    side = spark.range(20_000).select(F.lit(1).alias("b"), F.col("id").cast("string").alias("v"))
+    index = blocking_index(side, side, "v", "v", "b", "b")
+    sizes = index.groupBy("cell").agg(F.count(F.when(F.col("side") == "left", 1)).alias("l"), F.count(F.when(F.col("side") == "right", 1)).alias("r"))
+    most, pairs = sizes.agg(F.max(F.col("l") * F.col("r")), F.sum(F.col("l") * F.col("r"))).first()
+    assert pairs == 20_000**2 and most <= 1 << 20
+
+
 @pytest.mark.parametrize("budget", [300, 100_000])
 def test_qa_folds_in_order(spark, budget):
     """The rule joins first and last, so order and completeness show."""
