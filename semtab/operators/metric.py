@@ -3,7 +3,8 @@
 The right rows are dealt into cells, the left rows into blocks of neighbours of bounded size. A plan
 table says which cells a block has to visit. One task holds one block at a time and reads the right rows of its
 cells as a stream: a left row is sent once per round, pairs never leave the task, and memory does not
-grow with a cell. The number of cells grows with the square root of the right side.
+grow with a cell. The number of cells grows with the square root of the right side. A right row is sent to each block that
+visits its cell, so there are no more blocks than keep the cores busy until a block's vectors fill what a task may hold.
 
 * :class:`Tree` is exact. A cell is skipped if the triangle inequality, or the plane between its
   pivot and the row's own one, keeps all of its rows too far away; whole branches of cells are skipped by their top pivot first.
@@ -24,11 +25,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from semtab.operators.vectors import BROADCAST_BYTES, SLACK, Kernel, arrow_matrix, best, fits_broadcast, inner_products, match_broadcast, matrix, measure
+from semtab.operators.vectors import BROADCAST_BYTES, SLACK, Kernel, arrow_matrix, best, fits_broadcast, inner_products, links, match_broadcast, matrix, measure
 from semtab.runtime import stage
 
-#: Left rows that a task holds at once.
-BLOCK_ROWS = 8_192
+#: Left rows of a block, if there are no more blocks than tasks for the cores; else blocks are larger, up to some bytes of vectors.
+BLOCK_ROWS, BLOCKS_PER_CORE, HELD_BYTES = 8_192, 2, 64 << 20
+#: Left rows whose cells are looked up at once, and names that a task's forest remembers.
+LOOKED_UP, FOREST_NAMES = 1_024, 1_000_000
 #: Cells for the square root of n right rows, and cells at most: the table of pivots is a few dozen MB then.
 CELLS_PER_ROOT, MAX_CELLS = 8, 16_384
 MAX_BITS = 12
@@ -49,6 +52,8 @@ class Tree:
         wanted = int(min(MAX_CELLS, max(1, ceil(CELLS_PER_ROOT * sqrt(rows))), max(1, rows // 4)))
         chosen = right.orderBy(F.xxhash64("_rk")).limit(wanted).select("_rv").collect()
         pivots = np.unique(self.lift(matrix([r[0] for r in chosen])), axis=0)
+        pivots = pivots[np.isfinite(pivots).all(axis=1)] if np.isfinite(pivots).all(axis=1).any() else np.zeros_like(pivots[:1])
+        self.dim = pivots.shape[1] - 1
         draw = np.random.default_rng(0).permutation(len(pivots))
         self.tops = pivots[draw[: ceil(sqrt(len(pivots)))]]
         top_of = _distances(pivots, self.tops).argmin(axis=1)
@@ -72,7 +77,8 @@ class Tree:
             d = _distances(lifted[at : at + step], self.leaves)
             leaf[at : at + step], far[at : at + step] = d.argmin(axis=1), d.min(axis=1)
         top = self.tops[np.searchsorted(self.first, leaf, side="right") - 1]
-        return leaf, far, np.sqrt(((lifted - top) ** 2).sum(axis=1))
+        # a vector with a missing number matches nothing, so it widens no cell
+        return leaf, np.nan_to_num(far), np.nan_to_num(np.sqrt(((lifted - top) ** 2).sum(axis=1)))
 
     def learn(self, found: list) -> None:
         for r in found:
@@ -192,7 +198,7 @@ class Matcher:
     """Both sides laid out for matching: right rows by cell, left rows by block, both written once."""
 
     def __init__(self, left: DataFrame, right: DataFrame, index, block_rows: int) -> None:
-        self.index, self.block_rows = index, block_rows
+        self.index = index
         self.right = stage(right.select("_rk", "_rv", self._home(F.col("_rv"), False).alias("_h")).select("_rk", "_rv", "_h"), "cells")
         index.learn(
             self.right.groupBy(F.col("_h.cell").alias("cell")).agg(F.count("*").alias("n"), F.max("_h.far").alias("r"), F.max("_h.far_top").alias("rt")).collect()
@@ -201,6 +207,8 @@ class Matcher:
         counts = np.zeros(len(index.counts), np.int64)
         for r in homes.groupBy("_home").count().collect():
             counts[r["_home"]] = r["count"]
+        tasks = BLOCKS_PER_CORE * max(1, left.sparkSession.sparkContext.defaultParallelism)
+        self.block_rows = max(block_rows, min(HELD_BYTES // (8 * max(1, index.dim)), -(-int(counts.sum()) // tasks)))
         self.begin, self.parts = self._deal(counts)
         self.blocks = int((self.begin + self.parts).max(initial=0))
         self.left = homes.withColumn("_block", self._block(F.col("_home"), F.xxhash64("_lk")))
@@ -246,8 +254,8 @@ class Matcher:
                 if not batch.num_rows:
                     continue
                 m, block, least = arrow_matrix(batch.column(0)), batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False)
-                for row, cell in [index.first_cells(m, k)] if k is not None else index.needed_cells(m, least):
-                    pairs = np.unique(block[row] * len(index.counts) + cell)
+                found = (block[row] * len(index.counts) + cell for row, cell in _visits(index, m, least, k))
+                for pairs in _distinct(found):
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(pairs // len(index.counts), pa.int64()), pa.array((pairs % len(index.counts)).astype(np.int32))], names=["_block", "_cell"]
                     )
@@ -263,22 +271,27 @@ class Matcher:
             total = np.zeros(len(m))
             if len(m):
                 left = arrow_matrix(m)
-                for row, cell in [index.first_cells(left, k), *index.needed_cells(left, least.to_numpy(zero_copy_only=False))]:
-                    np.add.at(total, row, index.counts[cell])
+                for seen in (_visits(index, left, least.to_numpy(zero_copy_only=False), k), _visits(index, left, least.to_numpy(zero_copy_only=False))):
+                    for row, cell in seen:
+                        np.add.at(total, row, index.counts[cell])
             return pa.array(total.astype(np.int64))
 
         run.__annotations__ = {"m": pa.Array, "least": pa.Array, "return": pa.Array}
         return int(rows.agg(F.sum(F.arrow_udf(run, T.LongType())(F.col("_lv"), F.col("_floor")))).first()[0] or 0)
 
-    def run(self, rows: DataFrame, plan: DataFrame, kernel: Kernel, schema: T.StructType, k: int | None = None, first: bool = False) -> DataFrame:
+    def run(
+        self, rows: DataFrame, plan: DataFrame, kernel: Kernel, schema: T.StructType, k: int | None = None, first: bool = False,
+        right: DataFrame | None = None, forest: bool = False,
+    ) -> DataFrame:
         """What ``kernel`` yields for the left rows and the right rows of the cells they visit; with ``k`` the best rows per left row.
 
         The plan says which right rows a block is sent. Inside the task each left row meets only the cells that itself has to visit.
+        ``right`` stands for the right rows of the matcher. With ``forest`` a task yields each link of names that its earlier ones don't imply.
         """
         small = plan.count() <= PLAN_ROWS
-        cells = self.right.select("_rk", "_rv", F.col("_h.cell").alias("_cell"))
+        cells = (self.right if right is None else right).select("_rk", "_rv", F.col("_h.cell").alias("_cell"))
         visits = cells.join(F.broadcast(plan) if small else plan, "_cell")
-        lk, rk = self.left.schema["_lk"].dataType, self.right.schema["_rk"].dataType
+        lk, rk = rows.schema["_lk"].dataType, cells.schema["_rk"].dataType
         floor = F.lit(0.0) if first else F.col("_floor")
         left = rows.select("_block", F.lit(-1).alias("_cell"), "_lk", F.lit(None).cast(rk).alias("_rk"), F.col("_lv").alias("_v"), floor.cast("double").alias("_floor"))
         right = visits.select("_block", "_cell", F.lit(None).cast(lk).alias("_lk"), "_rk", F.col("_rv").alias("_v"), F.lit(None).cast("double").alias("_floor"))
@@ -294,7 +307,7 @@ class Matcher:
                     yield pa.RecordBatch.from_pandas(f[schema.fieldNames()], schema=arrow, preserve_index=False)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held = _Held(index, kernel, k, first)
+            held = _Held(index, kernel, k, first, Forest() if forest else None)
             for batch in batches:
                 block, cell = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
                 mark = block * (len(index.counts) + 1) + cell + 1
@@ -306,12 +319,106 @@ class Matcher:
 
         return dealt.mapInArrow(run, schema)
 
+    def settle_blocks(self, kernel: Kernel) -> DataFrame:
+        """``_lk _label _lv _block`` of the left rows: the least name that links inside the block lead to. Names are whole numbers."""
+        tasks = max(1, min(self.blocks, 100_000))
+        rows = self.left.select("_block", "_home", "_lk", "_lv")
+        dealt = rows.repartitionById(tasks, F.pmod("_block", F.lit(tasks)).cast("int")).sortWithinPartitions("_block", "_home")
+        schema = T.StructType([rows.schema["_lk"], T.StructField("_label", T.LongType()), rows.schema["_lv"], rows.schema["_block"]])
+        arrow = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in schema.fields])
+
+        def settled(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names, m = np.concatenate([b.column(2).to_numpy() for b in held]), np.concatenate([arrow_matrix(b.column(3)) for b in held])
+            forest = Forest()
+            for at in range(0, len(m), LOOKED_UP):
+                for other in range(at, len(m), TILE):
+                    left, right = forest.roots(names[at : at + LOOKED_UP]), forest.roots(names[other : other + TILE])
+                    if not (left == right[0]).all() or not (right == right[0]).all():
+                        forest.add(kernel(left, m[at : at + LOOKED_UP], right, m[other : other + TILE]))
+            labels, at = forest.roots(names), 0
+            for b in held:
+                yield pa.RecordBatch.from_arrays([b.column(2), pa.array(labels[at : at + b.num_rows], pa.int64()), b.column(3), b.column(0)], schema=arrow)
+                at += b.num_rows
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: list[pa.RecordBatch] = []
+            for batch in batches:
+                block = batch.column(0).to_numpy(zero_copy_only=False)
+                edges = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
+                for a, b in zip(edges, edges[1:]):
+                    if held and b > a and held[0].column(0)[0].as_py() != block[a]:
+                        yield from settled(held)
+                        held = []
+                    if b > a:
+                        held.append(batch.slice(a, b - a))
+            if held:
+                yield from settled(held)
+
+        return stage(dealt.mapInArrow(run, schema), "settled")
+
+
+def _visits(index, m: np.ndarray, floor: np.ndarray, k: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of row and cell, a bounded number of rows at a time: all needed cells, or with ``k`` the first ones."""
+    for at in range(0, len(m), LOOKED_UP):
+        some = m[at : at + LOOKED_UP]
+        for row, cell in [index.first_cells(some, k)] if k is not None else index.needed_cells(some, floor[at : at + LOOKED_UP]):
+            yield row + at, cell
+
+
+def _distinct(found: Iterator[np.ndarray], keep: int = 1_000_000) -> Iterator[np.ndarray]:
+    """Distinct numbers, in a few large arrays; a number may come in several of them."""
+    held, n = [], 0
+    for x in found:
+        held.append(np.unique(x))
+        n += len(held[-1])
+        if n > keep:
+            held = [np.unique(np.concatenate(held))]
+            n = len(held[0])
+            if n > keep // 2:
+                yield held[0]
+                held, n = [], 0
+    if held:
+        yield np.unique(np.concatenate(held))
+
+
+class Forest:
+    """Which names hang together by the links seen so far; a name stands for itself until it is linked."""
+
+    def __init__(self) -> None:
+        self.parent: dict[int, int] = {}
+        self.changes = 0
+
+    def root(self, x: int) -> int:
+        parent = self.parent
+        while (above := parent.get(x, x)) != x:
+            parent[x] = parent.get(above, above)
+            x = above
+        return x
+
+    def roots(self, names: np.ndarray) -> np.ndarray:
+        if not self.parent:
+            return names
+        distinct, place = np.unique(names, return_inverse=True)
+        return np.array([self.root(x) for x in distinct.tolist()], names.dtype)[place]
+
+    def add(self, stars: pd.DataFrame) -> None:
+        for u, v in zip(stars["_u"].tolist(), stars["_v"].tolist()):
+            a, b = self.root(u), self.root(v)
+            if a != b:
+                self.parent[max(a, b)] = min(a, b)
+                self.parent.setdefault(min(a, b), min(a, b))
+                self.changes += 1
+
+    def links(self) -> pd.DataFrame:
+        found = [(x, self.root(x)) for x in list(self.parent)]
+        return pd.DataFrame([f for f in found if f[0] != f[1]], columns=["_u", "_v"])
+
 
 class _Held:
     """One block of left rows and, for the best rows, what they have found so far."""
 
-    def __init__(self, index, kernel: Kernel, k: int | None, first: bool) -> None:
-        self.index, self.kernel, self.k, self.first = index, kernel, k, first
+    def __init__(self, index, kernel: Kernel, k: int | None, first: bool, forest: Forest | None = None) -> None:
+        self.index, self.kernel, self.k, self.first, self.forest = index, kernel, k, first, forest
         self._begin(None)
 
     def _begin(self, block: int | None) -> None:
@@ -320,16 +427,18 @@ class _Held:
         self.waiting = 0
 
     def _settle(self) -> None:
-        """The left rows of the block, and for each cell which of them visit it."""
+        """The left rows of the block, and for each cell which of them visit it, eight rows to a byte."""
         names, vectors, floors = zip(*self.pieces)
         self.names, self.left, self.floor, self.pieces = np.concatenate(names), np.concatenate(vectors), np.concatenate(floors), []
-        self.visits = np.zeros((len(self.index.counts), len(self.names)), bool)
-        if self.first:
-            row, cell = self.index.first_cells(self.left, self.k)
-            self.visits[cell, row] = True
-        else:
-            for row, cell in self.index.needed_cells(self.left, self.floor):
-                self.visits[cell, row] = True
+        self.rooted = -1
+        self.visits = np.zeros((len(self.index.counts), -(-len(self.names) // 8)), np.uint8)
+        for at in range(0, len(self.names), LOOKED_UP):
+            some = slice(at, at + LOOKED_UP)
+            seen = np.zeros((len(self.index.counts), len(self.names[some])), bool)
+            for row, cell in _visits(self.index, self.left[some], self.floor[some], self.k if self.first else None):
+                seen[cell, row] = True
+            packed = np.packbits(seen, axis=1)
+            self.visits[:, at // 8 : at // 8 + packed.shape[1]] = packed
 
     def read(self, block: int, cell: int, rows: pa.RecordBatch) -> Iterator[pd.DataFrame]:
         if block != self.block:
@@ -342,11 +451,14 @@ class _Held:
             if not self.pieces:
                 return
             self._settle()
-        mine = np.flatnonzero(self.visits[cell])
+        mine = np.flatnonzero(np.unpackbits(self.visits[cell], count=len(self.names)))
         for at in range(0, rows.num_rows if len(mine) else 0, TILE):
             tile = rows.slice(at, TILE)
             rk, right = tile.column(3).to_pandas().to_numpy(), arrow_matrix(tile.column(4))
             step = max(1, 4_000_000 // len(rk))
+            if self.forest is not None:
+                yield from self._link(mine, rk, right, step)
+                continue
             for begin in range(0, len(mine), step):
                 some = mine[begin : begin + step]
                 if self.k is None:
@@ -357,6 +469,22 @@ class _Held:
             if self.k is not None and self.waiting > max(1_000_000, 4 * self.k * len(self.names)):
                 self._cut()
 
+    def _link(self, mine: np.ndarray, rk: np.ndarray, right: np.ndarray, step: int) -> Iterator[pd.DataFrame]:
+        """Links between what doesn't hang together yet; what does is not scored."""
+        forest = self.forest
+        for begin in range(0, len(mine), step):
+            if self.rooted != forest.changes:
+                self.roots, self.rooted = forest.roots(self.names), forest.changes
+            rk = forest.roots(rk)
+            some = mine[begin : begin + step]
+            if (rk == rk[0]).all():
+                some = some[self.roots[some] != rk[0]]
+            if len(some):
+                forest.add(self.kernel(self.roots[some], self.left[some], rk, right))
+        if len(forest.parent) > FOREST_NAMES:
+            yield forest.links()
+            self.forest, self.rooted = Forest(), -1
+
     def _best(self, some: np.ndarray, rk: np.ndarray, right: np.ndarray) -> pd.DataFrame:
         """Candidates for the ``k`` best of some rows: what reaches the floor, or the ``k``-th best here."""
         s = inner_products(self.left[some], right)
@@ -376,6 +504,9 @@ class _Held:
         self.hits, self.waiting = [hits], 0
 
     def finish(self) -> Iterator[pd.DataFrame]:
+        if self.forest is not None and self.forest.parent:
+            yield self.forest.links()
+            self.forest = Forest()
         if self.hits:
             self._cut()
             hits = self.hits[0]
@@ -397,6 +528,26 @@ def pairs_above(
     return matcher.run(rows, matcher.plan(rows), kernel, schema)
 
 
+def linked(rows: DataFrame, floor: float, block_rows: int = BLOCK_ROWS, measured: tuple[int, int, float] | None = None) -> tuple[DataFrame, DataFrame]:
+    """``_lk _label`` of all ``rows`` and links ``_u _v`` of labels: what products above ``floor`` connect, exactly.
+
+    ``rows`` has whole numbers ``_lk`` and vectors ``_lv``. Each block is settled by itself first. Then blocks meet the cells they
+    visit, as labels: a task yields a forest of the labels it saw, no pairs, and scores only what doesn't hang together yet.
+    """
+    right = rows.select(F.col("_lk").alias("_rk"), F.col("_lv").alias("_rv"))
+    n, _, longest = measured or measure(right, "_rv")
+    matcher = Matcher(rows, right, Tree(right, n, longest), block_rows)
+    kernel = links(floor)
+    settled = matcher.settle_blocks(kernel)
+    labels = settled.select("_lk", "_label")
+    if matcher.blocks < 2:
+        return labels, settled.select(F.col("_lk").alias("_u"), F.col("_label").alias("_v")).limit(0)
+    left = settled.select(F.col("_label").alias("_lk"), "_lv", "_block", F.lit(float(floor)).alias("_floor"))
+    named = matcher.right.join(labels, F.col("_rk") == F.col("_lk")).select(F.col("_label").alias("_rk"), "_rv", "_h")
+    schema = T.StructType([T.StructField("_u", T.LongType()), T.StructField("_v", T.LongType())])
+    return labels, matcher.run(left, matcher.plan(left), kernel, schema, right=named, forest=True)
+
+
 def nearest(
     left: DataFrame, right: DataFrame, k: int, schema: T.StructType,
     broadcast_bytes: int = BROADCAST_BYTES, block_rows: int = BLOCK_ROWS,

@@ -154,23 +154,28 @@ def sem_dedup(
     of one value cost nothing.
     """
     require_columns(df, [value_col, vec_col])
-    nodes = (
-        df.where(~missing(df, value_col) & pick(df, vec_col).isNotNull())
-        .select(pick(df, value_col).alias("_value"), pick(df, vec_col).alias("_vec"))
-        .distinct()
-        .withColumn("_id", F.md5(F.col("_value").cast("string")))
-    )
-    nodes = stage(nodes, "nodes")
-    left = nodes.select(F.col("_id").alias("_lk"), F.col("_vec").alias("_lv"))
-    right = nodes.select(F.col("_id").alias("_rk"), F.col("_vec").alias("_rv"))
-    schema = T.StructType([T.StructField("_u", T.StringType()), T.StructField("_v", T.StringType())])
-    edges = M.pairs_above(left, right, threshold, V.links(threshold), schema, broadcast_bytes, block_rows)
-    linked = components(edges)
-    members = linked.select("_u", "_v").union(linked.select("_v", "_v").distinct())
-    names = nodes.select(F.col("_id").alias("_u"), "_value").distinct()
-    named = stage(members.join(names, "_u"), "members")
+    held = df.where(~missing(df, value_col) & pick(df, vec_col).isNotNull()).select(pick(df, value_col).alias("_value"), pick(df, vec_col).alias("_vec"))
+    held = stage(held.select(F.md5(F.col("_value").cast("string")).alias("_id"), "_value", "_vec"), "held")
+    # values may be whole texts: their hashes are compared, and only members of larger components are read again
+    nodes = stage(held.select("_id", "_vec").distinct().withColumn("_n", F.monotonically_increasing_id()), "nodes")
+    rows = nodes.select(F.col("_n").alias("_lk"), F.col("_vec").alias("_lv"))
+    n, dim, longest = V.measure(rows, "_lv")
+    if not n:
+        return df
+    # a block of rows at least, even where less than that would be broadcast
+    labels, edges = M.linked(rows, threshold, max(block_rows, min(n, broadcast_bytes // (16 * (8 * dim + 64)))), (n, dim, longest))
+    # a value with several vectors is one value
+    several = nodes.groupBy("_id").agg(F.min("_n").alias("_v"), F.count("*").alias("_c")).where("_c > 1")
+    same = nodes.select("_id", F.col("_n").alias("_lk")).join(several, "_id").join(labels, "_lk").select(F.col("_label").alias("_u"), F.col("_v").alias("_lk"))
+    same = same.join(labels, "_lk").select("_u", F.col("_label").alias("_v")).where("_u != _v")
+    joined = components(edges.union(same))
+    labels = stage(split_join(labels.withColumnRenamed("_label", "_u"), joined, "_u", "left").select(F.col("_lk").alias("_n"), F.coalesce("_v", "_u").alias("_v")), "labels")
+    open_ = labels.groupBy("_v").count().where("count > 1").select("_v")
+    members = nodes.select("_n", "_id").join(split_join(labels, open_, "_v"), "_n").select(F.col("_id"), "_v").distinct()
+    named = stage(split_join(held.select("_id", "_value"), stage(members, "members"), "_id").distinct().withColumnRenamed("_id", "_u"), "named")
     keep = named.groupBy("_v").agg(F.min("_value").alias("_keep"))
     # one component may hold a third of all values
     dropped = split_join(named, keep, "_v").where(F.col("_value") != F.col("_keep")).select("_u")
-    return df.join(dropped, F.md5(pick(df, value_col).cast("string")) == F.col("_u"), "left_anti")
+    # hashed beside the values, so that a caller who doesn't select these need not move them
+    return df.withColumn("_id", F.md5(col(value_col).cast("string"))).join(dropped, F.col("_id") == F.col("_u"), "left_anti").drop("_id")
 

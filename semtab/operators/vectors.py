@@ -94,7 +94,8 @@ def links(floor: float) -> Kernel:
     """
 
     def kernel(lk, left, rk, right):
-        near = inner_products(left, right) > floor
+        # a name needs no link to itself
+        near = (inner_products(left, right) > floor) & (lk[:, None] != rk[None])
         open_left = near.any(axis=1)
         roots, members = [], []
         for start in np.flatnonzero(open_left):
@@ -128,7 +129,7 @@ def measure(vectors: DataFrame, vec: str) -> tuple[int, int, float]:
 
     def run(v: pa.Array) -> pa.Array:
         m = arrow_matrix(v)
-        return pa.array((m * m).sum(axis=1) if len(m) else np.zeros(0))
+        return pa.array(np.nan_to_num((m * m).sum(axis=1)) if len(m) else np.zeros(0))
 
     run.__annotations__ = {"v": pa.Array, "return": pa.Array}
     square = F.arrow_udf(run, T.DoubleType())

@@ -143,6 +143,27 @@ def test_dedup_keeps_copies_and_rows_without_vector(spark):
     assert rows(E.sem_dedup(df, "name", "vec", 0.9), "id") == [(1,), (2,), (4,), (5,)]
 
 
+def test_dedup_with_several_vectors_of_a_value_and_missing_numbers(spark):
+    df = spark.createDataFrame(
+        [(1, "c", [1.0, 0.0]), (2, "c", [0.0, 1.0]), (3, "b", [0.99, 0.1]), (4, "a", [0.1, 0.99]), (5, "d", [float("nan"), 1.0]), (6, "e", [-1.0, 0.0]), (7, "b", [0.99, 0.1])],
+        "id long, name string, vec array<double>")
+    for size in ({}, {"broadcast_bytes": 0, "block_rows": 1}):
+        assert rows(E.sem_dedup(df, "name", "vec", 0.9, **size), "id") == [(4,), (5,), (6,)]
+
+
+def test_more_rows_than_blocks_send_no_more(spark):
+    """Right rows go to a bounded number of blocks, however small the least block is."""
+    m = np.random.default_rng(3).normal(size=(3_000, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "_lk long, _lv array<double>")
+    right = df.select(F.col("_lk").alias("_rk"), F.col("_lv").alias("_rv"))
+    matcher = M.Matcher(df, right, M.Tree(right, 3_000, float((m**2).sum(axis=1).max())), 10)
+    assert matcher.blocks <= 2 * M.BLOCKS_PER_CORE * spark.sparkContext.defaultParallelism
+    labels, edges = M.linked(df, -100.0, 10)
+    assert labels.select("_label").distinct().count() <= matcher.blocks
+    # a star per task over what each block has settled, not links of rows
+    assert edges.count() <= matcher.blocks**2
+
+
 def test_blocks_of_copies_yield_few_links():
     m = np.ones((400, 3))
     names = np.array([f"n{i:03d}" for i in range(400)], dtype=object)
