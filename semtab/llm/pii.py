@@ -206,8 +206,8 @@ def boost(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 24, ra
     return model
 
 
-def learn_trees(docs: DataFrame, sample_docs: int = 20_000, precision: float = 0.95, support: int = 20, id_col: str = "doc_id", text_col: str = "text") -> Trees:
-    """Trees and thresholds from the candidates of about ``sample_docs`` documents, chosen by a hash of id and text.
+def learn_trees(docs: DataFrame, sample_docs: int | None = None, precision: float = 0.95, support: int = 20, id_col: str = "doc_id", text_col: str = "text") -> Trees:
+    """Trees and thresholds from the candidates of all documents, or of about ``sample_docs`` of them, chosen by a hash of id and text.
 
     Matches of the base patterns are examples: those that fulfil their rule (check digits, octets, number of
     digits) are good ones, the others bad. So are matches of the wider patterns that meet a good one of the base: good if
@@ -217,12 +217,13 @@ def learn_trees(docs: DataFrame, sample_docs: int = 20_000, precision: float = 0
     ``precision`` of ``support`` or more examples are good. A wider generator without examples in that half, as that
     of spelt-out addresses, uses the limit of its kind; one with examples but without such a score adds nothing.
     """
-    grain = 1 << 30
-    share = min(grain, grain * sample_docs // max(docs.count(), 1) + 1)
-    place = F.pmod(F.xxhash64(col(id_col), col(text_col)), F.lit(grain))
-    # written first: generators would otherwise run over every text, the sample being taken by a filter behind them
-    sample = stage(docs.where(place < share).select(col(id_col).alias("_id"), col(text_col).alias("_text")), "pii-sample")
-    some = candidates(sample, "_id", "_text")
+    if sample_docs is not None:
+        grain = 1 << 30
+        share = min(grain, grain * sample_docs // max(docs.count(), 1) + 1)
+        place = F.pmod(F.xxhash64(col(id_col), col(text_col)), F.lit(grain))
+        # written first: generators would otherwise run over every text, the sample being taken by a filter behind them
+        docs = stage(docs.where(place < share).select(col(id_col), col(text_col)), "pii-sample")
+    some = candidates(docs, id_col, text_col)
     half = F.pmod(F.xxhash64(F.lit(1), "_text"), F.lit(2))
     seen = some.select(half.alias("half"), F.explode(_examples(F.col("_spans"))).alias("s")).where("s.good IS NOT NULL")
     counted = seen.groupBy("half", F.col("s.features"), F.col("s.good").alias("valid")).agg(F.count("*").alias("n"))

@@ -148,3 +148,16 @@ def test_wider_matches_learn_from_those_of_the_base(make):
     phones = F.size(F.filter("spans", lambda s: s["kind"] == KINDS.index("phone")))
     found = find_personal_data(make([(1, "call 1 706 555 3138"), (2, "card 4111 1111 1111 5")]), trees).select("_id", phones).collect()
     assert {r[0]: r[1] for r in found} == {1: 1, 2: 0}
+
+
+def test_learning_reads_all_documents(spark, monkeypatch):
+    import semtab.llm.pii as pii
+
+    seen = []
+    monkeypatch.setattr(pii, "boost", lambda x, y, weight: seen.append(weight.sum()) or Trees())
+    docs = spark.range(50_000).selectExpr("id AS doc_id", "concat('+12 ', 1000000 + id, CASE WHEN id % 2 = 0 THEN '0' ELSE '00000000' END) AS text")
+    learn_trees(docs)
+    learn_trees(docs, sample_docs=20_000)
+    # each text is a candidate phone and, from its first digit on, a candidate card
+    half = docs.where("pmod(xxhash64(1, text), 2) = 0").count()
+    assert seen[0] == 2 * half > 2 * seen[1]
