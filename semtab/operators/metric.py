@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from semtab.operators.vectors import BROADCAST_BYTES, SLACK, Kernel, arrow_matrix, best, fits_broadcast, inner_products, links, match_broadcast, matrix, measure
+from semtab.operators.vectors import BROADCAST_BYTES, SLACK, Kernel, arrow_matrix, best, best_pairs, fits_broadcast, inner_products, links, match_broadcast, matrix, measure
 from semtab.runtime import stage
 
 #: Left rows of a block, if there are no more blocks than tasks for the cores; else blocks are larger, up to some bytes of vectors.
@@ -285,7 +285,7 @@ class Matcher:
     ) -> DataFrame:
         """What ``kernel`` yields for the left rows and the right rows of the cells they visit; with ``k`` the best rows per left row.
 
-        The plan says which right rows a block is sent. Inside the task each left row meets only the cells that itself has to visit.
+        The plan says which right rows a block is sent. Inside the task each left row meets the cells that itself has to visit, and those that most rows of its block visit.
         ``right`` stands for the right rows of the matcher. With ``forest`` a task yields each link of names that its earlier ones don't imply.
         """
         small = plan.count() <= PLAN_ROWS
@@ -332,9 +332,7 @@ class Matcher:
             forest = Forest()
             for at in range(0, len(m), LOOKED_UP):
                 for other in range(at, len(m), TILE):
-                    left, right = forest.roots(names[at : at + LOOKED_UP]), forest.roots(names[other : other + TILE])
-                    if not (left == right[0]).all() or not (right == right[0]).all():
-                        forest.add(kernel(left, m[at : at + LOOKED_UP], right, m[other : other + TILE]))
+                    forest.link(kernel, forest.roots(names[at : at + LOOKED_UP]), m[at : at + LOOKED_UP], forest.roots(names[other : other + TILE]), m[other : other + TILE])
             labels, at = forest.roots(names), 0
             for b in held:
                 yield pa.RecordBatch.from_arrays([b.column(2), pa.array(labels[at : at + b.num_rows], pa.int64()), b.column(3), b.column(0)], schema=arrow)
@@ -409,6 +407,16 @@ class Forest:
                 self.parent.setdefault(min(a, b), min(a, b))
                 self.changes += 1
 
+    def link(self, kernel: Kernel, left_names: np.ndarray, left: np.ndarray, right_names: np.ndarray, right: np.ndarray) -> None:
+        """Add links between rows named by their roots; pairs that share the commonest right root are not scored."""
+        roots, counts = np.unique(right_names, return_counts=True)
+        common = roots[counts.argmax()]
+        apart, rest = left_names != common, right_names != common
+        if apart.any():
+            self.add(kernel(left_names[apart], left[apart], right_names, right))
+        if rest.any() and not apart.all():
+            self.add(kernel(left_names[~apart], left[~apart], right_names[rest], right[rest]))
+
     def links(self) -> pd.DataFrame:
         found = [(x, self.root(x)) for x in list(self.parent)]
         return pd.DataFrame([f for f in found if f[0] != f[1]], columns=["_u", "_v"])
@@ -425,6 +433,8 @@ class _Held:
         self.block, self.pieces, self.left = block, [], None
         self.hits: list[pd.DataFrame] = []
         self.waiting = 0
+        self.wide: list[tuple[np.ndarray, np.ndarray]] = []
+        self.wide_rows = 0
 
     def _settle(self) -> None:
         """The left rows of the block, and for each cell which of them visit it, eight rows to a byte."""
@@ -455,19 +465,34 @@ class _Held:
         for at in range(0, rows.num_rows if len(mine) else 0, TILE):
             tile = rows.slice(at, TILE)
             rk, right = tile.column(3).to_pandas().to_numpy(), arrow_matrix(tile.column(4))
-            step = max(1, 4_000_000 // len(rk))
-            if self.forest is not None:
-                yield from self._link(mine, rk, right, step)
+            if 2 * len(mine) <= len(self.names):
+                yield from self._score(mine, rk, right)
                 continue
-            for begin in range(0, len(mine), step):
-                some = mine[begin : begin + step]
-                if self.k is None:
-                    yield self.kernel(self.names[some], self.left[some], rk, right)
-                else:
-                    self.hits.append(self._best(some, rk, right))
-                    self.waiting += len(self.hits[-1])
-            if self.k is not None and self.waiting > max(1_000_000, 4 * self.k * len(self.names)):
-                self._cut()
+            # cells that most rows visit are scored for all rows, several at once
+            self.wide.append((rk, right))
+            self.wide_rows += len(rk)
+            if self.wide_rows >= TILE:
+                yield from self._score_wide()
+
+    def _score_wide(self) -> Iterator[pd.DataFrame]:
+        rk, right = (np.concatenate(x) for x in zip(*self.wide))
+        self.wide, self.wide_rows = [], 0
+        yield from self._score(np.arange(len(self.names)), rk, right)
+
+    def _score(self, mine: np.ndarray, rk: np.ndarray, right: np.ndarray) -> Iterator[pd.DataFrame]:
+        step = max(1, 4_000_000 // len(rk))
+        if self.forest is not None:
+            yield from self._link(mine, rk, right, step)
+            return
+        for begin in range(0, len(mine), step):
+            some = mine[begin : begin + step]
+            if self.k is None:
+                yield self.kernel(self.names[some], self.left[some], rk, right)
+            else:
+                self.hits.append(self._best(some, rk, right))
+                self.waiting += len(self.hits[-1])
+                if self.waiting > max(1_000_000, 4 * self.k * len(self.names)):
+                    self._cut()
 
     def _link(self, mine: np.ndarray, rk: np.ndarray, right: np.ndarray, step: int) -> Iterator[pd.DataFrame]:
         """Links between what doesn't hang together yet; what does is not scored."""
@@ -477,22 +502,23 @@ class _Held:
                 self.roots, self.rooted = forest.roots(self.names), forest.changes
             rk = forest.roots(rk)
             some = mine[begin : begin + step]
-            if (rk == rk[0]).all():
-                some = some[self.roots[some] != rk[0]]
-            if len(some):
-                forest.add(self.kernel(self.roots[some], self.left[some], rk, right))
+            forest.link(self.kernel, self.roots[some], self.left[some], rk, right)
         if len(forest.parent) > FOREST_NAMES:
             yield forest.links()
             self.forest, self.rooted = Forest(), -1
 
     def _best(self, some: np.ndarray, rk: np.ndarray, right: np.ndarray) -> pd.DataFrame:
         """Candidates for the ``k`` best of some rows: what reaches the floor, or the ``k``-th best here."""
+        floor = None if self.first or not np.isfinite(self.floor[some]).all() else self.floor[some]
+        few = best_pairs(self.left[some], right, self.k, floor)
+        if few is not None and len(few[0]) <= 8 * self.k * len(some) + 1_000:
+            return pd.DataFrame({"_lk": some[few[0]], "_rk": rk[few[1]], "_score": few[2]})
         s = inner_products(self.left[some], right)
-        if self.first or not np.isfinite(self.floor[some]).all():
+        if floor is None:
             n = s.shape[1]
             least = np.partition(s, n - self.k, axis=1)[:, n - self.k] if self.k < n else s.min(axis=1)
         else:
-            least = self.floor[some]
+            least = floor
         li, ri = np.nonzero(s >= least[:, None])
         if len(li) > 8 * self.k * len(some) + 1_000:  # many equal scores: settle them here
             return self.kernel(some, self.left[some], rk, right)
@@ -502,8 +528,14 @@ class _Held:
         hits = pd.concat(self.hits).sort_values(["_lk", "_score", "_rk"], ascending=[True, False, True], kind="stable")
         hits = hits[hits.groupby("_lk").cumcount() < self.k]
         self.hits, self.waiting = [hits], 0
+        # what a row has found bounds what it still looks for
+        last = hits[hits.groupby("_lk").cumcount() == self.k - 1]
+        rows = last["_lk"].to_numpy(np.int64)
+        self.floor[rows] = np.fmax(self.floor[rows], last["_score"].to_numpy())
 
     def finish(self) -> Iterator[pd.DataFrame]:
+        if self.wide:
+            yield from self._score_wide()
         if self.forest is not None and self.forest.parent:
             yield self.forest.links()
             self.forest = Forest()

@@ -38,6 +38,57 @@ def inner_products(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return np.round(left @ right.T, 10)
 
 
+def rough_products(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, float] | None:
+    """All products in 32-bit floats, and how far from the exact ones they may be; None where a number is missing or too large."""
+    longest = np.sqrt((left * left).sum(axis=1).max(initial=0.0)) * np.sqrt((right * right).sum(axis=1).max(initial=0.0))
+    if not longest < 1e15:
+        return None
+    return left.astype(np.float32) @ right.astype(np.float32).T, 2.0**-22 * (left.shape[1] + 4) * longest + 1e-9
+
+
+def some_products(left: np.ndarray, right: np.ndarray, li: np.ndarray, ri: np.ndarray) -> np.ndarray:
+    """The products of :func:`inner_products` for some pairs of rows."""
+    parts = [np.einsum("ij,ij->i", left[li[at : at + 16_384]], right[ri[at : at + 16_384]]) for at in range(0, len(li), 16_384)]
+    return np.round(np.concatenate(parts), 10) if parts else np.zeros(0)
+
+
+def near_pairs(left: np.ndarray, right: np.ndarray, floor: float) -> np.ndarray:
+    """Which products are above ``floor``; only those too near to it for 32-bit floats are worked out exactly."""
+    rough = rough_products(left, right)
+    if rough is None:
+        return inner_products(left, right) > floor
+    s, off = rough
+    off += abs(floor) * 2.0**-22
+    near = s > np.float32(floor - off)
+    li, ri = np.nonzero(near & (s <= np.float32(floor + off)))
+    near[li, ri] = some_products(left, right, li, ri) > floor
+    return near
+
+
+def best_pairs(left: np.ndarray, right: np.ndarray, k: int, floor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """Rows of both sides and their exact products: the ``k`` best of each left row and few more, or what reaches its ``floor``.
+
+    None where a number is missing, or where many products tie.
+    """
+    rough = rough_products(left, right)
+    if rough is None:
+        return None
+    s, off = rough
+    if floor is None:
+        n = s.shape[1]
+        least = (np.partition(s, n - k, axis=1)[:, n - k] if k < n else s.min(axis=1)) - np.float32(2 * off)
+    else:
+        least = (floor - off - np.abs(floor) * 2.0**-22).astype(np.float32)
+    li, ri = np.nonzero(s >= least[:, None])
+    if floor is None and len(li) > 8 * k * len(s) + 1_000:
+        return None
+    score = some_products(left, right, li, ri)
+    if floor is not None:
+        kept = score >= floor[li]
+        li, ri, score = li[kept], ri[kept], score[kept]
+    return li, ri, score
+
+
 def dot_column(vector: Column, query) -> Column:
     """Inner product of a vector column with one query vector."""
     q = np.asarray(query, dtype=np.float64)
@@ -58,6 +109,13 @@ def best(k: int) -> Kernel:
     def kernel(lk, left, rk, right):
         order = np.argsort(rk, kind="stable")
         rk, right = rk[order], right[order]
+        few = best_pairs(left, right, k)
+        if few is not None:
+            li, ri, score = few
+            order = np.lexsort((ri, -score, li))
+            li, ri, score = li[order], ri[order], score[order]
+            place = np.arange(len(li)) - np.searchsorted(li, li)
+            return pd.DataFrame({"_lk": lk[li], "_rk": rk[ri], "_score": score})[place < k]
         s = inner_products(left, right)
         n = min(k, s.shape[1])
         if n < s.shape[1]:
@@ -95,7 +153,7 @@ def links(floor: float) -> Kernel:
 
     def kernel(lk, left, rk, right):
         # a name needs no link to itself
-        near = (inner_products(left, right) > floor) & (lk[:, None] != rk[None])
+        near = near_pairs(left, right, floor) & (lk[:, None] != rk[None])
         open_left = near.any(axis=1)
         roots, members = [], []
         for start in np.flatnonzero(open_left):

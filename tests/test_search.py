@@ -164,6 +164,36 @@ def test_more_rows_than_blocks_send_no_more(spark):
     assert edges.count() <= matcher.blocks**2
 
 
+def test_what_hangs_together_is_not_scored():
+    m = np.random.default_rng(5).normal(size=(500, 4))
+    names, seen = np.arange(500), []
+
+    def kernel(lk, left, rk, right):
+        seen.append(len(lk) * len(rk))
+        return V.links(2.0)(lk, left, rk, right)
+
+    forest = M.Forest()
+    forest.add(V.links(-100.0)(names[:490], m[:490], names[:490], m[:490]))
+    forest.link(kernel, forest.roots(names), m, forest.roots(names), m)
+    assert sum(seen) <= 2 * 10 * 500
+    near = m @ m.T > 2.0
+    assert all(forest.root(i) == 0 for i in range(490, 500) if near[i, :490].any())
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e9])
+def test_rough_products_decide_nothing_that_is_close(scale):
+    rng = np.random.default_rng(2)
+    a, b = rng.normal(size=(40, 16)), rng.normal(size=(90, 16))
+    b[5] = b[17]
+    a, b = a * scale, b * scale
+    s = V.inner_products(a, b)
+    for floor in (s[3, 5], s[7, 8], 0.0):
+        assert (V.near_pairs(a, b, floor) == (s > floor)).all()
+    got = V.best(3)(np.arange(40), a, np.arange(90), b)
+    want = [j for i in range(40) for j in np.argsort(-s[i], kind="stable")[:3]]
+    assert got["_rk"].tolist() == want
+
+
 def test_blocks_of_copies_yield_few_links():
     m = np.ones((400, 3))
     names = np.array([f"n{i:03d}" for i in range(400)], dtype=object)
