@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from semtab.models.answering import pair_score_column, spread, vector_column
+from semtab.models.answering import pair_score_column, slots, spread, vector_column
 from semtab.models.base import Embedder, PairScorer
 from semtab.operators import metric as M
 from semtab.operators import vectors as V
@@ -15,11 +18,40 @@ from semtab.operators.components import components
 from semtab.runtime import col, dtype_of, key_hash, missing, pick, require_columns, same_key, split_join, stage
 
 
+#: Texts that a task remembers, by their hashes, so as to send a copy no further.
+SEEN = 200_000
+
+
+def _first_seen(h1: Column, h2: Column) -> Column:
+    """False where an earlier row of the task had the same hashes, as far as these are remembered."""
+
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        seen: set = set()
+        for a, b in batches:
+            fresh = []
+            for pair in zip(a.to_pylist(), b.to_pylist()):
+                fresh.append(pair not in seen)
+                seen.add(pair)
+            if len(seen) > SEEN:
+                seen = set()
+            yield pa.array(fresh, pa.bool_())
+
+    run.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, T.BooleanType()).asNondeterministic()(h1, h2)
+
+
 def embed(df: DataFrame, column: str, embedder: Embedder, out: str = "vec") -> DataFrame:
     """Add a vector for a text column; each distinct text is encoded once and its vector written out."""
     require_columns(df, [column])
-    texts = df.where(~missing(df, column)).select(col(column)).distinct()
-    coded = spread(texts.select(*key_hash(texts, [column]), col(column).cast("string").alias("_text")))
+    texts = df.where(~missing(df, column))
+    if dtype_of(df, column) == T.StringType():
+        # long texts move once: dealt out by their hashes, one of each kept where they arrive
+        texts = texts.select(*key_hash(df, [column]), col(column).alias("_text"))
+        tasks = max(slots(df.sparkSession), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        coded = texts.where(_first_seen(F.col("_h1"), F.col("_h2"))).repartition(tasks, "_h1", "_h2").distinct()
+    else:
+        texts = texts.select(col(column)).distinct()
+        coded = spread(texts.select(*key_hash(texts, [column]), col(column).cast("string").alias("_text")))
     coded = stage(coded.select("_h1", "_h2", vector_column(F.col("_text"), embedder).alias("_vec")), "vectors")
     joined = df.join(coded, same_key(df, [column]), "left")
     return joined.select(*[pick(df, c) for c in df.columns if c != out], F.col("_vec").alias(out))
@@ -154,8 +186,8 @@ def sem_dedup(
     of one value cost nothing.
     """
     require_columns(df, [value_col, vec_col])
-    held = df.where(~missing(df, value_col) & pick(df, vec_col).isNotNull()).select(pick(df, value_col).alias("_value"), pick(df, vec_col).alias("_vec"))
-    held = stage(held.select(F.md5(F.col("_value").cast("string")).alias("_id"), "_value", "_vec"), "held")
+    held = df.where(~missing(df, value_col) & pick(df, vec_col).isNotNull())
+    held = held.select(F.md5(col(value_col).cast("string")).alias("_id"), col(value_col).alias("_value"), col(vec_col).alias("_vec"))
     # values may be whole texts: their hashes are compared, and only members of larger components are read again
     nodes = stage(held.select("_id", "_vec").distinct().withColumn("_n", F.monotonically_increasing_id()), "nodes")
     rows = nodes.select(F.col("_n").alias("_lk"), F.col("_vec").alias("_lv"))
@@ -171,11 +203,16 @@ def sem_dedup(
     joined = components(edges.union(same))
     labels = stage(split_join(labels.withColumnRenamed("_label", "_u"), joined, "_u", "left").select(F.col("_lk").alias("_n"), F.coalesce("_v", "_u").alias("_v")), "labels")
     open_ = labels.groupBy("_v").count().where("count > 1").select("_v")
-    members = nodes.select("_n", "_id").join(split_join(labels, open_, "_v"), "_n").select(F.col("_id"), "_v").distinct()
-    named = stage(split_join(held.select("_id", "_value"), stage(members, "members"), "_id").distinct().withColumnRenamed("_id", "_u"), "named")
-    keep = named.groupBy("_v").agg(F.min("_value").alias("_keep"))
+    members = stage(nodes.select("_n", "_id").join(split_join(labels, open_, "_v"), "_n").select(F.col("_id"), "_v").distinct(), "members")
+    named = split_join(held.select("_id", "_value"), members, "_id")
+    texts = dtype_of(df, value_col) == T.StringType()
+    if not texts:
+        named = stage(named.distinct(), "named")
+    # of texts, only the least one's hash is handed on
+    told = "_id" if texts else "_value"
+    keep = named.groupBy("_v").agg(F.min_by(told, "_value").alias("_keep"))
     # one component may hold a third of all values
-    dropped = split_join(named, keep, "_v").where(F.col("_value") != F.col("_keep")).select("_u")
+    dropped = split_join(members if texts else named, keep, "_v").where(F.col(told) != F.col("_keep")).select(F.col("_id").alias("_u"))
     # hashed beside the values, so that a caller who doesn't select these need not move them
     return df.withColumn("_id", F.md5(col(value_col).cast("string"))).join(dropped, F.col("_id") == F.col("_u"), "left_anti").drop("_id")
 

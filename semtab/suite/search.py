@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from semtab.models.base import HashEmbedder, OverlapScorer
 from semtab.operators import retrieval as E
-from semtab.runtime import staging_root
+from semtab.runtime import stage, staging_root
 from semtab.suite.registry import query
 
 #: A fixed query vector for the 64-valued test embeddings.
@@ -107,7 +107,8 @@ def _vectors_sql(table: str, key: str) -> str:
           r(u, v) AS (SELECT u, v FROM l UNION SELECT r.u, l.v FROM r JOIN l ON r.v = l.u)
           SELECT doc_id FROM documents WHERE text NOT IN (SELECT u FROM r WHERE v < u)""")
 def sem_dedup_text(t):
-    coded = E.embed(t.documents.select("doc_id", "text"), "text", HashEmbedder(64), "vec")
+    # read several times by the next step: written, so that the texts don't move to their vectors each time
+    coded = stage(E.embed(t.documents.select("doc_id", "text"), "text", HashEmbedder(64), "vec"), "coded")
     return E.sem_dedup(coded, "text", "vec", 0.97).select("doc_id")
 
 

@@ -234,6 +234,24 @@ def test_hits_of_vectors_with_missing_numbers(spark):
     assert got[1] == [1] and got[3] == [2]
 
 
+def test_texts_move_once_to_be_encoded(spark, monkeypatch):
+    """Whole texts are in one exchange, not in one for the distinct ones and one to deal them out; each is encoded once."""
+    df = spark.createDataFrame([(i, f"text {i % 7}" if i % 5 else None) for i in range(400)], "id long, text string").repartition(4)
+    plans, real = [], E.stage
+
+    def staged(table, label="table"):
+        plans.append(table._jdf.queryExecution().optimizedPlan().toString())
+        out = real(table, label)
+        assert label != "vectors" or out.count() == 7
+        return out
+
+    monkeypatch.setattr(E, "stage", staged)
+    out = E.embed(df, "text", HashEmbedder(8))
+    assert out.count() == 400 and out.where("(text IS NULL) <> (vec IS NULL)").count() == 0
+    aggregate = plans[0].index("Aggregate")
+    assert "Repartition" not in plans[0][:aggregate] and "RepartitionByExpression" in plans[0][aggregate:]
+
+
 def test_search(spark):
     df = spark.createDataFrame([(1, "red apple", [1.0, 0.0]), (2, "green pear", [0.0, 1.0]), (3, "red pear", [0.7, 0.7]), (4, None, None)],
                                "id long, text string, vec array<float>")
