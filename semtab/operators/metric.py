@@ -47,6 +47,9 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 class Tree:
     """Right rows around leaf pivots, leaf pivots around top pivots; vectors are lifted so that a larger product is a smaller distance."""
 
+    #: The share of a block's rows that visit a cell from which on it is scored for all of them.
+    wide = 0.5
+
     def __init__(self, right: DataFrame, rows: int, longest: float) -> None:
         self.longest = longest
         wanted = int(min(MAX_CELLS, max(1, ceil(CELLS_PER_ROOT * sqrt(rows))), max(1, rows // 4)))
@@ -138,6 +141,9 @@ class Buckets:
     and more for nearer ones.
     """
 
+    #: Only cells that all rows visit: which pairs a row meets decides its hits here.
+    wide = 1.0
+
     def __init__(self, right: DataFrame, rows: int, longest: float, dim: int, recall: float, seed: int = 0) -> None:
         self.longest, self.dim, self.recall = longest, dim, recall
         self.bits = int(max(1, min(MAX_BITS, dim, round(np.log2(max(2.0, CELLS_PER_ROOT * sqrt(rows)))) - 1)))
@@ -465,10 +471,10 @@ class _Held:
         for at in range(0, rows.num_rows if len(mine) else 0, TILE):
             tile = rows.slice(at, TILE)
             rk, right = tile.column(3).to_pandas().to_numpy(), arrow_matrix(tile.column(4))
-            if 2 * len(mine) <= len(self.names):
+            if len(mine) < len(self.names) * self.index.wide:
                 yield from self._score(mine, rk, right)
                 continue
-            # cells that most rows visit are scored for all rows, several at once
+            # scored for all rows, several cells at once
             self.wide.append((rk, right))
             self.wide_rows += len(rk)
             if self.wide_rows >= TILE:
