@@ -18,6 +18,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 BROADCAST_BYTES = 64 << 20
 BLOCK_ROWS = 2048
+#: Left rows and rows of a held right side that are scored at once.
+STEP, HELD_TILE = 1_024, 4_096
 SLACK = 1e-6
 
 Kernel = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], pd.DataFrame]
@@ -262,12 +264,33 @@ def held_matrix(right: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         table) else np.zeros((0, 0))
 
 
+def best_held(m: np.ndarray, rk: np.ndarray, r: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of ``m``, of a right side sorted by key, and their products: the ``k`` best, by tiles that keep what they need small."""
+    kernel = best(k)
+    # a missing number of the right side counts among the best of what is scored with it, so all is scored at once then
+    tile = HELD_TILE if np.isfinite(r).all() else len(r)
+    floor = np.full(len(m), -np.inf)
+    li, ri, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    for at in range(0, len(r), tile):
+        some = r[at : at + tile]
+        few = best_pairs(m, some, k, floor if np.isfinite(floor).all() else None) if tile == HELD_TILE else None
+        if few is None or len(few[0]) > 8 * k * len(m) + 1_000:
+            hits = kernel(np.arange(len(m)), m, np.arange(len(some)), some)
+            few = hits["_lk"].to_numpy(np.int64), hits["_rk"].to_numpy(np.int64), hits["_score"].to_numpy(float)
+        li, ri, score = np.concatenate([li, few[0]]), np.concatenate([ri, few[1] + at]), np.concatenate([score, few[2]])
+        order = np.lexsort((ri, -score, li))
+        li, ri, score = li[order], ri[order], score[order]
+        place = np.arange(len(li)) - np.searchsorted(li, li)
+        floor[li[place == k - 1]] = score[place == k - 1]
+        li, ri, score = li[place < k], ri[place < k], score[place < k]
+    return li, ri, score
+
+
 def hits_column(vector: Column, right: DataFrame, k: int, key_type: T.DataType) -> Column:
     """The ``k`` best rows of a right side of checked size, as an array of ``_rk _score`` for every vector."""
-    held = held_matrix(right)
-    shared = right.sparkSession.sparkContext.broadcast(held)
-    step = max(1, 4_000_000 // max(len(held[0]), 1))
-    kernel = best(k)
+    keys, rows = held_matrix(right)
+    order = np.argsort(keys, kind="stable")
+    shared = right.sparkSession.sparkContext.broadcast((keys[order], rows[order]))
     arrow_key = to_arrow_type(key_type)
 
     def run(vectors: pa.Array) -> pa.Array:
@@ -275,13 +298,15 @@ def hits_column(vector: Column, right: DataFrame, k: int, key_type: T.DataType)
         shape = pa.struct([("_rk", arrow_key), ("_score", pa.float64())])
         if not len(rk) or not len(vectors):
             return pa.array([[] for _ in range(len(vectors))], pa.list_(shape))
-        m = arrow_matrix(vectors)
-        parts = [kernel(np.arange(at, min(at + step, len(m))), m[at : at + step], rk, r) for at in range(0, len(m), step)]
-        hits = pd.concat(parts).sort_values("_lk", kind="stable")
+        parts = []
+        step = STEP if np.isfinite(r).all() else max(1, 4_000_000 // len(r))
+        for at in range(0, len(vectors), step):
+            li, ri, score = best_held(arrow_matrix(vectors.slice(at, step)), rk, r, k)
+            parts.append((li + at, ri, score))
+        li, ri, score = (np.concatenate(x) for x in zip(*parts))
         # a vector with a missing number has no hits, so rows differ in their number
-        ends = np.concatenate([[0], np.bincount(hits["_lk"].to_numpy(np.int64), minlength=len(m)).cumsum()])
-        values = pa.StructArray.from_arrays(
-            [pa.array(hits["_rk"].to_numpy(), arrow_key), pa.array(hits["_score"].to_numpy())], ["_rk", "_score"])
+        ends = np.concatenate([[0], np.bincount(li, minlength=len(vectors)).cumsum()])
+        values = pa.StructArray.from_arrays([pa.array(rk[ri], arrow_key), pa.array(score)], ["_rk", "_score"])
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
 
     run.__annotations__ = {"vectors": pa.Array, "return": pa.Array}

@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -252,6 +254,42 @@ def test_texts_move_once_to_be_encoded(spark, monkeypatch):
     assert "Repartition" not in plans[0][:aggregate] and "RepartitionByExpression" in plans[0][aggregate:]
 
 
+@pytest.mark.parametrize("wide, met", [(0.5, {0, 1, 2, 3}), (1.0, {0, 1, 2})])
+def test_what_a_row_finds_bounds_what_it_looks_for(wide, met):
+    """Cells that most rows visit are scored together, by an approximate index only for the rows that visit them."""
+    class Index:
+        counts = np.ones(2)
+
+        def needed_cells(self, m, floor):
+            yield np.array([0, 1, 2]), np.zeros(3, np.int32)
+
+    Index.wide = wide
+    rng = np.random.default_rng(1)
+    left, right = rng.normal(size=(4, 3)), rng.normal(size=(50, 3))
+    held = M._Held(Index(), V.best(2), 2, False)
+
+    def batch(m):
+        n = np.arange(len(m))
+        return pa.RecordBatch.from_arrays([pa.array(n), pa.array(n), pa.array(n), pa.array(n), pa.array(m.tolist()), pa.array(np.full(len(m), -5.0))], names=list("abcdef"))
+
+    assert not list(held.read(0, -1, batch(left))) and not list(held.read(0, 0, batch(right)))
+    out = pd.concat(held.finish())
+    best = np.sort(left @ right.T, axis=1)[:, -2]
+    assert set(out["_lk"]) == met and np.allclose(held.floor[sorted(met)], best[sorted(met)])
+
+
+def test_a_held_side_is_scored_by_tiles(monkeypatch):
+    rng = np.random.default_rng(4)
+    r = rng.normal(size=(20_000, 8))
+    r[500:520] = r[3]
+    m = np.vstack([rng.normal(size=(50, 8)), r[3:4] * 2])
+    s, sizes, real = V.inner_products(m, r), [], V.rough_products
+    monkeypatch.setattr(V, "rough_products", lambda a, b: sizes.append(len(a) * len(b)) or real(a, b))
+    li, ri, score = V.best_held(m, np.arange(len(r)), r, 3)
+    assert ri.reshape(-1, 3).tolist() == [np.argsort(-x, kind="stable")[:3].tolist() for x in s]
+    assert (li == np.repeat(np.arange(51), 3)).all() and (score == s[li, ri]).all() and max(sizes) <= 51 * V.HELD_TILE
+
+
 def test_search(spark):
     df = spark.createDataFrame([(1, "red apple", [1.0, 0.0]), (2, "green pear", [0.0, 1.0]), (3, "red pear", [0.7, 0.7]), (4, None, None)],
                                "id long, text string, vec array<float>")
