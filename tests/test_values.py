@@ -109,6 +109,16 @@ def test_join_spreads_the_rows_of_a_key(spark):
     assert len(made) > 8 and max(r["count"] for r in made) < dealt.count() / 4
 
 
+def test_join_spread_writes_short_runs(spark):
+    a = spark.range(100).selectExpr("0 AS k", "id AS v")
+    b = spark.range(4_000).selectExpr("0 AS k", "id AS w").union(spark.range(600).selectExpr("0 AS k", "-1L AS w"))
+    made = V.join(a, b, "k", "k", spread=2).select(F.spark_partition_id().alias("p"), "v", "w").toPandas()
+    assert len(made) == 100 * 4_600 and (made["w"] == -1).sum() == 100 * 600 and made["v"].nunique() == 100
+    for _, task in made.groupby("p"):
+        # left rows take turns with the same few right rows
+        assert task["v"][:8 * V.RUN_ROWS].nunique() >= 8 and task["w"][:8 * V.RUN_ROWS].nunique() <= V.RUN_ROWS
+
+
 def test_join_spread_compares_keys_of_two_types(spark):
     a = spark.createDataFrame([(1, "p"), (None, "q"), (16_777_217, "r"), (0, "s")], "k long, name string")
     b = spark.createDataFrame([(1.0, "P"), (None, "Q"), (16_777_216.0, "R"), (16_777_217.0, "S"), (-0.0, "T"), (NAN, "U")], "k2 double, name string")
