@@ -15,7 +15,7 @@ visits its cell, so there are no more blocks than keep the cores busy until a bl
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from math import ceil, sqrt
+from math import ceil, log2, sqrt
 
 import numpy as np
 import pandas as pd
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from semtab.operators.vectors import BROADCAST_BYTES, SLACK, Kernel, arrow_matrix, best, best_pairs, fits_broadcast, inner_products, links, match_broadcast, matrix, measure
+from semtab.operators.vectors import BROADCAST_BYTES, SLACK, Kernel, arrow_matrix, best, best_pairs, fits_broadcast, inner_products, links_by_bounds, match_broadcast, matrix, measure
 from semtab.runtime import stage
 
 #: Left rows of a block, if there are no more blocks than tasks for the cores; else blocks are larger, up to some bytes of vectors.
@@ -37,6 +37,8 @@ CELLS_PER_ROOT, MAX_CELLS = 8, 16_384
 MAX_BITS = 12
 #: Right rows that are scored at once, and rows of a plan up to which it is broadcast.
 TILE, PLAN_ROWS = 4_096, 2_000_000
+#: For links: rows of a leaf and times that leaves are halved at most, sampled rows for each leaf, directions, and rows of a tile.
+LEAF_ROWS, HALVINGS, SAMPLED, DIRECTIONS, LINK_ROWS = 8, 12, 8, 32, 2_048
 _HOME = T.StructType([T.StructField("cell", T.IntegerType()), T.StructField("far", T.DoubleType()), T.StructField("far_top", T.DoubleType())])
 
 
@@ -200,6 +202,78 @@ class Buckets:
         yield self._until(chance, enough)
 
 
+class Splits:
+    """Rows in leaves by halving them along the directions in which they spread most; both sides of links are the same rows.
+
+    Linked rows are near each other, and nearer yet in these directions, so leaves, or tiles of rows, whose boxes are too far apart
+    hold no link. Directions and halves are learnt from some rows, which decides how much is skipped, not what is found.
+    """
+
+    def __init__(self, rows: DataFrame, n: int, longest: float) -> None:
+        self.longest = longest
+        halvings = int(min(HALVINGS, max(0.0, log2(max(1, n // LEAF_ROWS)))))
+        chosen = rows.orderBy(F.xxhash64("_rk")).limit(max(1_024, SAMPLED << halvings)).select("_rv").toArrow()["_rv"]
+        m = arrow_matrix(pa.concat_arrays(chosen.chunks))
+        m = m[np.isfinite(m).all(axis=1)] if np.isfinite(m).all(axis=1).any() else np.zeros_like(m[:1])
+        self.dim = m.shape[1]
+        with np.errstate(over="ignore", invalid="ignore"):
+            spread = (m - m.mean(axis=0)).T @ (m - m.mean(axis=0))
+        turn = np.linalg.eigh(spread)[1][:, ::-1] if np.isfinite(spread).all() else np.eye(self.dim)
+        self.turn = turn[:, : min(DIRECTIONS, self.dim)]
+        p = m @ self.turn
+        inner = (1 << halvings) - 1
+        self.axis, self.middle = np.zeros(inner, np.int64), np.full(inner, np.inf)
+        low, high = np.full((2 * inner + 1, p.shape[1]), -np.inf), np.full((2 * inner + 1, p.shape[1]), np.inf)
+        members = [np.arange(len(p))]
+        for node in range(inner):
+            some = p[members[node]]
+            if len(some):
+                self.axis[node] = axis = some.var(axis=0).argmax()
+                self.middle[node] = np.median(some[:, axis])
+            axis, middle = self.axis[node], self.middle[node]
+            above = some[:, axis] > middle
+            members += [members[node][~above], members[node][above]]
+            for child in (2 * node + 1, 2 * node + 2):
+                low[child], high[child] = low[node], high[node]
+            high[2 * node + 1, axis] = min(high[node, axis], middle)
+            low[2 * node + 2, axis] = max(low[node, axis], middle)
+        self.low, self.high = low[inner:], high[inner:]
+        self.counts = np.zeros(inner + 1)
+
+    def find(self, m: np.ndarray, flat: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        p, node = m @ self.turn, np.zeros(len(m), np.int64)
+        while len(self.axis) and node.min(initial=len(self.axis)) < len(self.axis):
+            node = 2 * node + 1 + (p[np.arange(len(m)), self.axis[node]] > self.middle[node])
+        return (node - len(self.axis)).astype(np.int32), np.zeros(len(m)), np.zeros(len(m))
+
+    def learn(self, found: list) -> None:
+        for r in found:
+            self.counts[r["cell"]] = r["n"]
+
+    def bounded(self, m: np.ndarray) -> np.ndarray:
+        """The rows, and beside them their places along the directions and the length of what is left: products of these are no smaller."""
+        p = m @ self.turn
+        return np.column_stack([m, p, np.sqrt(np.maximum((m * m).sum(axis=1) - (p * p).sum(axis=1), 0.0))])
+
+    def boxes(self, rows: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Least and largest places in each tile of :meth:`bounded` rows, and their largest squared lengths; a row with a missing number has no place."""
+        p = rows[:, self.dim : -1]
+        known = np.isfinite(p)
+        low, high = np.minimum.reduceat(np.where(known, p, -np.inf), starts), np.maximum.reduceat(np.where(known, p, np.inf), starts)
+        return low, high, np.fmax.reduceat((rows[:, : self.dim] ** 2).sum(axis=1), starts)
+
+    def reach(self, floor: float, one, other) -> np.ndarray:
+        """How far rows of these squared lengths may be apart if their product is above ``floor``."""
+        apart = np.nan_to_num(np.maximum(np.asarray(one) + other - 2 * floor, 0.0), nan=np.inf, posinf=np.inf)
+        return np.sqrt(apart) * (1 + 1e-9) + SLACK * max(1.0, sqrt(self.longest))
+
+    @staticmethod
+    def near(low: np.ndarray, high: np.ndarray, lows: np.ndarray, highs: np.ndarray, reach) -> np.ndarray:
+        """Which of the boxes ``lows highs``, or rows where these are the same, are within ``reach`` of the box ``low high``."""
+        gaps = np.maximum(np.maximum(lows - high, low - highs), 0.0)
+        return np.flatnonzero(~((gaps * gaps).sum(axis=1) > np.square(reach)))
+
+
 class Matcher:
     """Both sides laid out for matching: right rows by cell, left rows by block, both written once."""
 
@@ -269,6 +343,26 @@ class Matcher:
         pairs = rows.select("_lv", "_block", floor.cast("double").alias("_floor")).mapInArrow(run, "_block long, _cell int")
         return stage(pairs.distinct(), "plan")
 
+    def plan_links(self, floor: float) -> DataFrame:
+        """``_block _cell``: which leaves a block meets. Of two blocks one is sent the other's rows; leaves of the block alone are settled in it."""
+        index, begin, parts = self.index, self.begin, self.parts
+        reach = index.reach(floor, index.longest, index.longest)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for leaf in batch.column(0).to_pylist():
+                    cells = index.near(index.low[leaf], index.high[leaf], index.low, index.high, reach)
+                    cells = cells[index.counts[cells] > 0] if index.counts[leaf] else cells[:0]
+                    for block in range(begin[leaf], begin[leaf] + parts[leaf]):
+                        # by turns, so that blocks near many others share what they have in common
+                        home = begin[cells]
+                        mine = (home != block) & ((np.mod(home + block, 2) == 1) == (block < home)) | (parts[cells] > 1)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(mine.sum(), block), pa.int64()), pa.array(cells[mine].astype(np.int32))], names=["_block", "_cell"])
+
+        session = self.right.sparkSession
+        leaves = session.range(0, len(index.counts), 1, max(1, min(len(index.counts), session.sparkContext.defaultParallelism)))
+        return stage(leaves.mapInArrow(run, "_block long, _cell int").distinct(), "plan")
+
     def count(self, rows: DataFrame, k: int) -> int:
         """Pairs of rows that both rounds score."""
         index = self.index
@@ -287,19 +381,19 @@ class Matcher:
 
     def run(
         self, rows: DataFrame, plan: DataFrame, kernel: Kernel, schema: T.StructType, k: int | None = None, first: bool = False,
-        right: DataFrame | None = None, forest: bool = False,
+        right: DataFrame | None = None, floor: float | None = None,
     ) -> DataFrame:
         """What ``kernel`` yields for the left rows and the right rows of the cells they visit; with ``k`` the best rows per left row.
 
         The plan says which right rows a block is sent. Inside the task each left row meets the cells that itself has to visit, and those that most rows of its block visit.
-        ``right`` stands for the right rows of the matcher. With ``forest`` a task yields each link of names that its earlier ones don't imply.
+        ``right`` stands for the right rows of the matcher. With ``floor`` a task yields links of names that its earlier ones don't imply, from tiles near each other.
         """
         small = plan.count() <= PLAN_ROWS
         cells = (self.right if right is None else right).select("_rk", "_rv", F.col("_h.cell").alias("_cell"))
         visits = cells.join(F.broadcast(plan) if small else plan, "_cell")
         lk, rk = rows.schema["_lk"].dataType, cells.schema["_rk"].dataType
-        floor = F.lit(0.0) if first else F.col("_floor")
-        left = rows.select("_block", F.lit(-1).alias("_cell"), "_lk", F.lit(None).cast(rk).alias("_rk"), F.col("_lv").alias("_v"), floor.cast("double").alias("_floor"))
+        worst = F.lit(0.0) if first or floor is not None else F.col("_floor")
+        left = rows.select("_block", F.lit(-1).alias("_cell"), "_lk", F.lit(None).cast(rk).alias("_rk"), F.col("_lv").alias("_v"), worst.cast("double").alias("_floor"))
         right = visits.select("_block", "_cell", F.lit(None).cast(lk).alias("_lk"), "_rk", F.col("_rv").alias("_v"), F.lit(None).cast("double").alias("_floor"))
         tasks = max(1, min(self.blocks, 100_000))
         # by number, not by hash, so that no task gets several blocks while others have none
@@ -313,7 +407,7 @@ class Matcher:
                     yield pa.RecordBatch.from_pandas(f[schema.fieldNames()], schema=arrow, preserve_index=False)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held = _Held(index, kernel, k, first, Forest() if forest else None)
+            held = _Held(index, kernel, k, first) if floor is None else _Linking(index, kernel, floor)
             for batch in batches:
                 block, cell = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
                 mark = block * (len(index.counts) + 1) + cell + 1
@@ -325,7 +419,7 @@ class Matcher:
 
         return dealt.mapInArrow(run, schema)
 
-    def settle_blocks(self, kernel: Kernel) -> DataFrame:
+    def settle_blocks(self, kernel: Kernel, floor: float) -> DataFrame:
         """``_lk _label _lv _block`` of the left rows: the least name that links inside the block lead to. Names are whole numbers."""
         tasks = max(1, min(self.blocks, 100_000))
         rows = self.left.select("_block", "_home", "_lk", "_lv")
@@ -333,12 +427,13 @@ class Matcher:
         schema = T.StructType([rows.schema["_lk"], T.StructField("_label", T.LongType()), rows.schema["_lv"], rows.schema["_block"]])
         arrow = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in schema.fields])
 
+        index = self.index
+
         def settled(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names, m = np.concatenate([b.column(2).to_numpy() for b in held]), np.concatenate([arrow_matrix(b.column(3)) for b in held])
-            forest = Forest()
-            for at in range(0, len(m), LOOKED_UP):
-                for other in range(at, len(m), TILE):
-                    forest.link(kernel, forest.roots(names[at : at + LOOKED_UP]), m[at : at + LOOKED_UP], forest.roots(names[other : other + TILE]), m[other : other + TILE])
+            forest, tiles = Forest(), _Tiles(index, names, m)
+            for one in range(len(tiles.starts)):
+                tiles.meet(forest, kernel, floor, tiles, one, one)
             labels, at = forest.roots(names), 0
             for b in held:
                 yield pa.RecordBatch.from_arrays([b.column(2), pa.array(labels[at : at + b.num_rows], pa.int64()), b.column(3), b.column(0)], schema=arrow)
@@ -418,7 +513,9 @@ class Forest:
         roots, counts = np.unique(right_names, return_counts=True)
         common = roots[counts.argmax()]
         apart, rest = left_names != common, right_names != common
-        if apart.any():
+        if apart.all():
+            self.add(kernel(left_names, left, right_names, right))
+        elif apart.any():
             self.add(kernel(left_names[apart], left[apart], right_names, right))
         if rest.any() and not apart.all():
             self.add(kernel(left_names[~apart], left[~apart], right_names[rest], right[rest]))
@@ -431,8 +528,8 @@ class Forest:
 class _Held:
     """One block of left rows and, for the best rows, what they have found so far."""
 
-    def __init__(self, index, kernel: Kernel, k: int | None, first: bool, forest: Forest | None = None) -> None:
-        self.index, self.kernel, self.k, self.first, self.forest = index, kernel, k, first, forest
+    def __init__(self, index, kernel: Kernel, k: int | None, first: bool) -> None:
+        self.index, self.kernel, self.k, self.first = index, kernel, k, first
         self._begin(None)
 
     def _begin(self, block: int | None) -> None:
@@ -446,7 +543,6 @@ class _Held:
         """The left rows of the block, and for each cell which of them visit it, eight rows to a byte."""
         names, vectors, floors = zip(*self.pieces)
         self.names, self.left, self.floor, self.pieces = np.concatenate(names), np.concatenate(vectors), np.concatenate(floors), []
-        self.rooted = -1
         self.visits = np.zeros((len(self.index.counts), -(-len(self.names) // 8)), np.uint8)
         for at in range(0, len(self.names), LOOKED_UP):
             some = slice(at, at + LOOKED_UP)
@@ -487,9 +583,6 @@ class _Held:
 
     def _score(self, mine: np.ndarray, rk: np.ndarray, right: np.ndarray) -> Iterator[pd.DataFrame]:
         step = max(1, 4_000_000 // len(rk))
-        if self.forest is not None:
-            yield from self._link(mine, rk, right, step)
-            return
         for begin in range(0, len(mine), step):
             some = mine[begin : begin + step]
             if self.k is None:
@@ -500,19 +593,6 @@ class _Held:
                 if self.waiting > max(1_000_000, 4 * self.k * len(self.names)):
                     self._cut()
 
-    def _link(self, mine: np.ndarray, rk: np.ndarray, right: np.ndarray, step: int) -> Iterator[pd.DataFrame]:
-        """Links between what doesn't hang together yet; what does is not scored."""
-        forest = self.forest
-        for begin in range(0, len(mine), step):
-            if self.rooted != forest.changes:
-                self.roots, self.rooted = forest.roots(self.names), forest.changes
-            rk = forest.roots(rk)
-            some = mine[begin : begin + step]
-            forest.link(self.kernel, self.roots[some], self.left[some], rk, right)
-        if len(forest.parent) > FOREST_NAMES:
-            yield forest.links()
-            self.forest, self.rooted = Forest(), -1
-
     def _best(self, some: np.ndarray, rk: np.ndarray, right: np.ndarray) -> pd.DataFrame:
         """Candidates for the ``k`` best of some rows: what reaches the floor, or the ``k``-th best here."""
         floor = None if self.first or not np.isfinite(self.floor[some]).all() else self.floor[some]
@@ -542,9 +622,6 @@ class _Held:
     def finish(self) -> Iterator[pd.DataFrame]:
         if self.wide:
             yield from self._score_wide()
-        if self.forest is not None and self.forest.parent:
-            yield self.forest.links()
-            self.forest = Forest()
         if self.hits:
             self._cut()
             hits = self.hits[0]
@@ -552,6 +629,80 @@ class _Held:
         self.hits = []
 
 
+class _Tiles:
+    """Named rows by leaf, in tiles with the boxes that hold them, and the roots of their names as they were some links ago."""
+
+    def __init__(self, index: Splits, names: np.ndarray, m: np.ndarray) -> None:
+        order = np.argsort(index.find(m)[0], kind="stable")
+        self.index, self.rows = index, index.bounded(m[order])
+        self.distinct, self.place = np.unique(names[order], return_inverse=True)
+        self.roots, self.changes = self.distinct, 0
+        self.starts = np.arange(0, len(m), LINK_ROWS)
+        self.low, self.high, self.length = index.boxes(self.rows, self.starts)
+
+    def named(self, forest: Forest) -> np.ndarray:
+        """The roots of all rows' names; links of late may be missing, which only costs scores."""
+        if forest.changes - self.changes > len(self.distinct) // 16:
+            self.roots, self.changes = forest.roots(self.distinct), forest.changes
+        return self.roots
+
+    def meet(self, forest: Forest, kernel: Kernel, floor: float, other: _Tiles, one: int, since: int = 0) -> None:
+        """Link a tile of ``other`` and those of these tiles that are near it, from ``since`` on."""
+        index, begin = self.index, other.starts[one]
+        reach = index.reach(floor, other.length[one], self.length)
+        for tile in index.near(other.low[one], other.high[one], self.low[since:], self.high[since:], reach[since:]) + since:
+            at = self.starts[tile]
+            left, right = (index.near(low, high, p := x.rows[a : a + LINK_ROWS, index.dim : -1], p, reach[tile]) + a
+                           for x, a, low, high in ((self, at, other.low[one], other.high[one]), (other, begin, self.low[tile], self.high[tile])))
+            if len(left) and len(right):
+                forest.link(kernel, self.named(forest)[self.place[left]], self.rows[left], other.named(forest)[other.place[right]], other.rows[right])
+
+
+class _Linking:
+    """One block of left rows, and the links of names that a task has found."""
+
+    def __init__(self, index: Splits, kernel: Kernel, floor: float) -> None:
+        self.index, self.kernel, self.floor, self.forest = index, kernel, floor, Forest()
+        self._begin(None)
+
+    def _begin(self, block: int | None) -> None:
+        self.block, self.pieces, self.left = block, [], None
+        self.waiting: list[tuple[np.ndarray, np.ndarray]] = []
+        self.rows = 0
+
+    def read(self, block: int, cell: int, rows: pa.RecordBatch) -> Iterator[pd.DataFrame]:
+        if block != self.block:
+            yield from self._meet()
+            self._begin(block)
+        if cell < 0:
+            self.pieces.append((rows.column(2).to_numpy(zero_copy_only=False), arrow_matrix(rows.column(4))))
+            return
+        self.waiting.append((rows.column(3).to_numpy(zero_copy_only=False), arrow_matrix(rows.column(4))))
+        self.rows += rows.num_rows
+        if self.rows >= TILE:
+            yield from self._meet()
+
+    def _meet(self) -> Iterator[pd.DataFrame]:
+        if not self.waiting or not (self.pieces or self.left):
+            return
+        if self.left is None:
+            self.left, self.pieces = _Tiles(self.index, *(np.concatenate(x) for x in zip(*self.pieces))), []
+        right = _Tiles(self.index, *(np.concatenate(x) for x in zip(*self.waiting)))
+        self.waiting, self.rows = [], 0
+        right.changes = -len(right.distinct)
+        for one in range(len(right.starts)):
+            self.left.meet(self.forest, self.kernel, self.floor, right, one)
+        if len(self.forest.parent) > FOREST_NAMES:
+            yield self.forest.links()
+            self.forest, self.left.roots, self.left.changes = Forest(), self.left.distinct, 0
+
+    def finish(self) -> Iterator[pd.DataFrame]:
+        yield from self._meet()
+        if self.forest.parent:
+            yield self.forest.links()
+        self.forest = Forest()
+
+
 def pairs_above(
     left: DataFrame, right: DataFrame, floor: float, kernel: Kernel, schema: T.StructType,
     broadcast_bytes: int = BROADCAST_BYTES, block_rows: int = BLOCK_ROWS,
@@ -569,21 +720,21 @@ def pairs_above(
 def linked(rows: DataFrame, floor: float, block_rows: int = BLOCK_ROWS, measured: tuple[int, int, float] | None = None) -> tuple[DataFrame, DataFrame]:
     """``_lk _label`` of all ``rows`` and links ``_u _v`` of labels: what products above ``floor`` connect, exactly.
 
-    ``rows`` has whole numbers ``_lk`` and vectors ``_lv``. Each block is settled by itself first. Then blocks meet the cells they
-    visit, as labels: a task yields a forest of the labels it saw, no pairs, and scores only what doesn't hang together yet.
+    ``rows`` has whole numbers ``_lk`` and vectors ``_lv``. Each block is settled by itself first. Then blocks meet the leaves of others
+    near them, as labels: a task yields a forest of the labels it saw, no pairs, and scores only what doesn't hang together yet.
     """
     right = rows.select(F.col("_lk").alias("_rk"), F.col("_lv").alias("_rv"))
     n, _, longest = measured or measure(right, "_rv")
-    matcher = Matcher(rows, right, Tree(right, n, longest), block_rows)
-    kernel = links(floor)
-    settled = matcher.settle_blocks(kernel)
+    matcher = Matcher(rows, right, Splits(right, n, longest), block_rows)
+    kernel = links_by_bounds(floor, matcher.index.dim)
+    settled = matcher.settle_blocks(kernel, floor)
     labels = settled.select("_lk", "_label")
     if matcher.blocks < 2:
         return labels, settled.select(F.col("_lk").alias("_u"), F.col("_label").alias("_v")).limit(0)
-    left = settled.select(F.col("_label").alias("_lk"), "_lv", "_block", F.lit(float(floor)).alias("_floor"))
+    left = settled.select(F.col("_label").alias("_lk"), "_lv", "_block")
     named = matcher.right.join(labels, F.col("_rk") == F.col("_lk")).select(F.col("_label").alias("_rk"), "_rv", "_h")
     schema = T.StructType([T.StructField("_u", T.LongType()), T.StructField("_v", T.LongType())])
-    return labels, matcher.run(left, matcher.plan(left), kernel, schema, right=named, forest=True)
+    return labels, matcher.run(left, matcher.plan_links(floor), kernel, schema, right=named, floor=floor)
 
 
 def nearest(

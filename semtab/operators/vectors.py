@@ -181,6 +181,38 @@ def links(floor: float) -> Kernel:
     return kernel
 
 
+NO_LINKS = pd.DataFrame({"_u": [], "_v": []}, dtype=object)
+
+
+def links_by_bounds(floor: float, dim: int) -> Kernel:
+    """Like :func:`links` for rows of ``dim`` numbers, then fewer whose products are at least as large as those of the rows.
+
+    Pairs are ruled out by the fewer numbers; where few remain, a link each is returned.
+    """
+    stars = links(floor)
+
+    def kernel(lk, left, rk, right):
+        rows = np.arange(len(lk))
+        for part in (slice(dim, None), slice(dim)):
+            rough = rough_products(left[rows, part], right[:, part])
+            if rough is None:
+                break
+            s, off = rough
+            least = np.float32(floor - off - abs(floor) * 2.0**-22)
+            some = np.flatnonzero(s.max(axis=1) > least)
+            rows, near = rows[some], np.flatnonzero(s[some] > least)
+            if not len(near):
+                return NO_LINKS
+            if len(near) <= 8 * (len(lk) + len(rk)):
+                li, ri = rows[near // len(rk)], near % len(rk)
+                kept = some_products(left[:, :dim], right[:, :dim], li, ri) > floor
+                u, v = lk[li[kept]], rk[ri[kept]]
+                return pd.DataFrame({"_u": np.maximum(u, v), "_v": np.minimum(u, v)})[u != v]
+        return stars(lk[rows], left[rows, :dim], rk, right[:, :dim])
+
+    return kernel
+
+
 # --- sizes -----------------------------------------------------------------
 
 

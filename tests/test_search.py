@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from semtab.models import base
 from semtab.models.base import HashEmbedder, OverlapScorer
 from semtab.operators import metric as M
 from semtab.operators import retrieval as E
@@ -182,6 +183,78 @@ def test_what_hangs_together_is_not_scored():
     assert all(forest.root(i) == 0 for i in range(490, 500) if near[i, :490].any())
 
 
+def _splits(spark, m):
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "_rk long, _rv array<double>")
+    return M.Splits(df, len(m), float(np.nan_to_num(m * m).sum(axis=1).max()))
+
+
+def test_tiles_that_cannot_hold_a_link_are_not_scored(spark, monkeypatch):
+    """Rows in groups: a tile meets few others, each link is found, and copies and missing numbers do no harm."""
+    monkeypatch.setattr(M, "LINK_ROWS", 64)
+    rng = np.random.default_rng(11)
+    m = (rng.normal(size=(60, 1, 40)) + rng.normal(size=(1, 50, 40)) * 0.04).reshape(-1, 40)
+    m = rng.permutation(m / np.sqrt((m * m).sum(axis=1))[:, None])
+    m[7], m[9, 3], m[11] = m[8], np.nan, 0.0
+    index, scored = _splits(spark, m), []
+
+    def kernel(lk, left, rk, right):
+        scored.append(len(lk) * len(rk))
+        return V.links_by_bounds(0.95, 40)(lk, left, rk, right)
+
+    forest, names = M.Forest(), np.arange(len(m))
+    tiles = M._Tiles(index, names, m)
+    for one in range(len(tiles.starts)):
+        tiles.meet(forest, kernel, 0.95, tiles, one, one)
+    near = np.nan_to_num(V.inner_products(m, m)) > 0.95
+    label = names.copy()
+    for _ in range(20):
+        label = np.array([min(label[near[i]].min(initial=label[i]), label[i]) for i in range(len(m))])
+    assert (forest.roots(names) == label).all() and len(np.unique(label)) < 100
+    assert sum(scored) < len(m) ** 2 / 10
+
+
+def test_leaves_have_homes_within_their_bounds(spark):
+    m = np.random.default_rng(4).normal(size=(900, 6)) * [4, 2, 1, 1, 1, 1]
+    index = _splits(spark, m)
+    leaf, p = index.find(m)[0], m @ index.turn
+    assert len(np.unique(leaf)) > 50 and (p >= index.low[leaf]).all() and (p <= index.high[leaf]).all()
+    bounded, s = index.bounded(m), m @ m.T
+    assert (bounded[:, 6:] @ bounded[:, 6:].T >= s - 1e-9).all()
+
+
+@pytest.mark.parametrize("floor", [0.99, 0.3, -2.0])
+def test_links_by_bounds_connect_what_links_do(floor):
+    rng = np.random.default_rng(6)
+    m = rng.normal(size=(300, 12))
+    m /= np.sqrt((m * m).sum(axis=1))[:, None]
+    m[20:40] = m[:20]
+    bounded = np.column_stack([m, m[:, :5], np.sqrt((m[:, 5:] ** 2).sum(axis=1))])
+    names, got, want = np.arange(300), M.Forest(), M.Forest()
+    got.add(V.links_by_bounds(floor, 12)(names[:150], bounded[:150], names[100:], bounded[100:]))
+    want.add(V.links(floor)(names[:150], m[:150], names[100:], m[100:]))
+    assert (got.roots(names) == want.roots(names)).all()
+
+
+def test_words_are_hashed_once(monkeypatch):
+    hashed = []
+    md5 = base.hashlib.md5
+    monkeypatch.setattr(base.hashlib, "md5", lambda data, **kw: hashed.append(data) or md5(data, **kw))
+    texts = ["the cat the Cat", "the dog", "", "w" * 100 + " cat", "a b c d e f the"]
+    for room in (200_000, 3):
+        monkeypatch.setattr(HashEmbedder, "held_words", room)
+        got, hashed[:] = HashEmbedder(16).embed(texts * 3), []
+        want = np.zeros((5, 16))
+        for i, text in enumerate(texts):
+            for word in text.lower().split():
+                h = md5(word.encode()).digest()
+                want[i, int.from_bytes(h[:4], "big") % 16] += 1 if h[4] & 1 else -1
+        want /= np.maximum(np.sqrt((want**2).sum(axis=1)), 1e-9)[:, None]
+        assert np.allclose(got, np.vstack([want] * 3), atol=1e-6)
+    encoder = HashEmbedder(16)
+    encoder.embed(["the cat the cat"] * 50)
+    assert sorted(hashed) == [b"cat", b"the"]
+
+
 @pytest.mark.parametrize("scale", [1.0, 1e9])
 def test_rough_products_decide_nothing_that_is_close(scale):
     rng = np.random.default_rng(2)
